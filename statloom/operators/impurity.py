@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import sql
+
 MIN_GAIN = 1e-9
 WHOLE = -1
 
@@ -40,44 +42,45 @@ def split_scores(rows: DataFrame, features: Sequence[str], node: str = "node_id"
     """Score every feature at every node in one pass.
 
     ``rows`` has ``node``, the features, ``label`` and a row weight ``n``.
-    Result per node and feature index: ``n_rows``, ``gain``, base and conditional
-    entropy, majority ``majority``, distinct labels ``n_labels``, and ``m``, the
-    number of input rows.  Index ``WHOLE`` stands for the node itself.
+    Result per node: ``n_rows``, ``m`` (input rows), ``label`` (majority),
+    ``n_labels``, ``base_entropy`` and ``gains``, an array with one struct
+    ``(idx, n_values, conditional_entropy, gain)`` per feature.
     """
-    choices = [F.struct(F.lit(WHOLE).alias("idx"), F.lit(None).cast("string").alias("value"))] + [
-        F.struct(F.lit(i).alias("idx"), F.col(f).cast("string").alias("value")) for i, f in enumerate(features)
-    ]
+    numbered = [(i, sql.name(f)) for i, f in enumerate(features)]
+    choices = [f"struct({WHOLE} AS idx, CAST(NULL AS STRING) AS value)"]
+    choices += [f"struct({i} AS idx, CAST({f} AS STRING) AS value)" for i, f in numbered]
     counts = (
-        rows.select(node, "label", "n", F.inline(F.array(*choices)))
+        rows.select(node, "label", "n", F.expr(f"inline(array({', '.join(choices)}))"))
         .groupBy(node, "idx", "value", "label")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+        .agg(F.expr("sum(n) AS n"), F.expr("count(*) AS m"))
     )
     per_value = counts.groupBy(node, "idx", "value").agg(
-        F.sum("n").alias("t"),
-        F.sum("m").alias("m"),
-        F.sum(_n_log_n("n")).alias("s"),
-        F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("label"))).alias("best"),
-        F.count("*").alias("n_labels"),
+        F.expr("sum(n) AS t"),
+        F.expr("sum(m) AS m"),
+        F.expr("sum(n * log2(n)) AS s"),
+        F.expr("min(struct(-n AS minus_n, label)) AS best"),
+        F.expr("count(*) AS n_labels"),
     )
-    per_feature = per_value.groupBy(node, "idx").agg(
-        F.sum("t").alias("n_rows"),
-        F.sum("m").alias("m"),
-        (F.sum(_n_log_n("t")) - F.sum("s")).alias("bits"),
-        F.min("best").alias("best"),
-        F.max("n_labels").alias("n_labels"),
+    per_node = per_value.groupBy(node).agg(
+        *[
+            F.expr(f"{total} FILTER (WHERE idx = {WHOLE}) AS {alias}")
+            for total, alias in (
+                ("sum(t)", "n_rows"), ("sum(m)", "m"), ("min(best)", "best"), ("max(n_labels)", "n_labels"),
+                ("sum(t * log2(t) - s)", "base"),
+            )
+        ],
+        *[F.expr(f"count(*) FILTER (WHERE idx = {i}) AS values{i}") for i, _ in numbered],
+        *[F.expr(f"sum(t * log2(t) - s) FILTER (WHERE idx = {i}) AS bits{i}") for i, _ in numbered],
+    )
+    gains = [
+        f"struct({i} AS idx, values{i} AS n_values, bits{i} / n_rows AS conditional_entropy, "
+        f"greatest((base - bits{i}) / n_rows, 0D) AS gain)"
+        for i, _ in numbered
+    ]
+    return per_node.selectExpr(
+        node, "n_rows", "m", "best.label AS label", "n_labels", "base / n_rows AS base_entropy",
+        f"array({', '.join(gains)}) AS gains",
     )
-    at_node = Window.partitionBy(node)
-    whole = F.col("idx") == WHOLE
-    return per_feature.select(
-        node,
-        "idx",
-        "n_rows",
-        F.max(F.when(whole, F.col("m"))).over(at_node).alias("m"),
-        F.max(F.when(whole, F.col("best.label"))).over(at_node).alias("majority"),
-        F.max(F.when(whole, F.col("n_labels"))).over(at_node).alias("n_labels"),
-        (F.max(F.when(whole, F.col("bits"))).over(at_node) / F.col("n_rows")).alias("base_entropy"),
-        (F.col("bits") / F.col("n_rows")).alias("conditional_entropy"),
-    ).withColumn("gain", F.greatest(F.col("base_entropy") - F.col("conditional_entropy"), F.lit(0.0)))
 
 
 def information_gain(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
@@ -86,7 +89,7 @@ def information_gain(df: DataFrame, features: Sequence[str], label: str = "label
     names = F.array(*[F.lit(f) for f in features])
     return (
         split_scores(rows, features)
-        .where(F.col("idx") != WHOLE)
+        .select("n_rows", "base_entropy", F.inline("gains"))
         .select(
             "idx",
             F.get(names, F.col("idx")).alias("feature"),

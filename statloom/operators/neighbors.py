@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statloom.partitioning import spread
 from statloom.storage import materialize
 
 BROADCAST_ROWS = 50_000
@@ -247,14 +248,14 @@ def neighbors(
 ) -> DataFrame:
     """The ``k`` nearest training rows of every query: ``(qid, tid, label, d2, place)``.
 
-    ``queries(qid, x)`` and ``train(tid, x, label)`` have numeric array columns of
+    ``queries(qid, x)``, a scan or a stored table, and ``train(tid, x, label)`` have numeric array columns of
     one length.  With ``skip_same_id`` a row is not its own neighbour.  ``method``
     is ``broadcast``, ``pruned``, or ``auto``: broadcast when the counted training
     rows fit the limits.  With fewer than ``k`` training rows all are neighbours.
     """
     if method not in ("auto", "broadcast", "pruned"):
         raise ValueError(f"unknown method: {method}")
-    queries = queries.select("qid", F.col("x").cast("array<double>").alias("x"))
+    queries = spread(queries.select("qid", F.col("x").cast("array<double>").alias("x")), "qid")
     train = train.select("tid", F.col("x").cast("array<double>").alias("x"), "label")
     rows, dims = train.agg(F.count("*"), F.max(F.size("x"))).first()
     fits = rows <= BROADCAST_ROWS and rows * (dims or 0) * 8 <= BROADCAST_BYTES

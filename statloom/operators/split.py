@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Slots per pass: few where many tasks each hold them, more where rows are few.
 BINS = 4096
+FINE_BINS = 1 << 16
+FEW_ROWS = 1 << 20
 SMALL_DRAW = 10_000
 
 
@@ -29,28 +32,25 @@ def draw_key(row_id: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def nth_smallest(df: DataFrame, key: str, n: int, bins: int = BINS) -> int | None:
-    """The ``n``-th smallest value of an integer column, counted from 1.
+def _key_range(df: DataFrame, key: str) -> tuple[int | None, int | None, int]:
+    return tuple(df.agg(F.min(key), F.max(key), F.count(key)).first())
 
-    Counts rows in equal slots of the value range, then looks into the slot that
-    holds rank ``n``.  Each pass is an aggregation into at most ``bins`` + 2
-    groups and divides the range by ``bins``, so six passes do for any BIGINT.
-    """
-    low, high, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
+
+def _nth_in(df: DataFrame, key: str, n: int, low: int | None, high: int | None, total: int) -> int | None:
     if n < 1 or total == 0:
         return None
     if n >= total:
         return high
+    bins = FINE_BINS if total <= FEW_ROWS else BINS
     while low < high:
         width = (high - low) // bins + 1
         slots = (
             df.where(F.col(key).between(low, high))
             .groupBy(F.expr(f"`{key}` div {width}L").alias("slot"))
             .agg(F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
-            .orderBy("slot")
             .collect()
         )
-        for slot in slots:
+        for slot in sorted(slots, key=lambda s: s["low"]):
             if n <= slot["rows"]:
                 low, high = slot["low"], slot["high"]
                 break
@@ -60,6 +60,16 @@ def nth_smallest(df: DataFrame, key: str, n: int, bins: int = BINS) -> int | Non
     return low
 
 
+def nth_smallest(df: DataFrame, key: str, n: int) -> int | None:
+    """The ``n``-th smallest value of an integer column, counted from 1.
+
+    Counts rows in equal slots of the value range, then looks into the slot that
+    holds rank ``n``.  Each pass is an aggregation into a bounded number of slots
+    and divides the range by it, so six passes do for any BIGINT.
+    """
+    return _nth_in(df, key, n, *_key_range(df, key))
+
+
 def first_rows(df: DataFrame, key: str, n: int) -> Column:
     """True for the ``n`` rows with the smallest ``key`` (unique integers)."""
     cut = nth_smallest(df, key, n)
@@ -68,7 +78,9 @@ def first_rows(df: DataFrame, key: str, n: int) -> Column:
 
 def positional_holdout(df: DataFrame, key: str, ratio: float) -> DataFrame:
     """``is_test`` for the first ``floor(rows * ratio)`` rows in ``key`` order."""
-    return df.withColumn("is_test", first_rows(df, key, int(df.count() * ratio)))
+    low, high, total = _key_range(df, key)
+    cut = _nth_in(df, key, int(total * ratio), low, high, total)
+    return df.withColumn("is_test", F.lit(False) if cut is None else F.col(key) <= F.lit(cut))
 
 
 def counted_holdout(df: DataFrame, key: str, n: int, seed: int = 42, small: int = SMALL_DRAW) -> DataFrame:

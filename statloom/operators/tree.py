@@ -9,66 +9,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.impurity import MIN_GAIN, WHOLE, split_scores
+from statloom.functions import sql
+from statloom.operators.impurity import MIN_GAIN, split_scores
 from statloom.operators.lookup import BROADCAST_BYTES, lookup_join
 from statloom.storage import materialize
 
 # Step text of a missing value; "%" itself is escaped, so no value reads like it.
 MISSING = "%00"
 COMPILED_NODES = 400
+DRIVER_NODES = 4096
 
 
-def _escaped(text: Column) -> Column:
-    for plain, code in (("%", "%25"), ("/", "%2F"), ("=", "%3D")):
-        text = F.replace(text, F.lit(plain), F.lit(code))
-    return text
+def _escaped(text: str) -> str:
+    return f"replace(replace(replace({text}, '%', '%25'), '/', '%2F'), '=', '%3D')"
 
 
-def _unescaped(text: Column) -> Column:
-    for plain, code in (("=", "%3D"), ("/", "%2F"), ("%", "%25")):
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
+def _unescaped(text: str) -> str:
+    return f"replace(replace(replace({text}, '%3D', '='), '%2F', '/'), '%25', '%')"
 
 
 def _child_id(features: Sequence[str]) -> Column:
     """Path of the child a row goes to, from its node's ``split_feature``."""
-    picked = [F.when(F.col("split_feature") == f, F.col(f).cast("string")) for f in features]
-    value = F.coalesce(*[_escaped(p) for p in picked], F.lit(MISSING))
-    return F.concat("node_id", _escaped(F.col("split_feature")), F.lit("="), value, F.lit("/"))
+    picked = " ".join(f"WHEN {sql.text(f)} THEN CAST({sql.name(f)} AS STRING)" for f in features)
+    value = f"coalesce({_escaped(f'CASE split_feature {picked} END')}, '{MISSING}')"
+    return F.expr(f"concat(node_id, {_escaped('split_feature')}, '=', {value}, '/')")
 
 
 def _level_nodes(rows: DataFrame, features: Sequence[str], depth: int, max_depth: int | None, min_rows: int) -> DataFrame:
-    """Node rows of one level, with ``m`` input rows as routing weight."""
-    scores = split_scores(rows, features)
-    order = Window.partitionBy("node_id").orderBy(F.col("idx") == WHOLE, F.desc(F.round("gain", 9)), "idx")
-    best = scores.withColumn("place", F.row_number().over(order)).where("place = 1")
-    may_split = (
-        (F.col("idx") != WHOLE)
-        & (F.round("gain", 9) > MIN_GAIN)
-        & (F.col("n_labels") > 1)
-        & (F.col("n_rows") >= min_rows)
+    """Node rows of one level, with ``m`` input rows and ``n_children``."""
+    # The highest gain, rounded so that equal gains tie, then the first feature.
+    top = (
+        "array_max(transform(gains, g -> struct(round(g.gain, 9) AS rounded, -g.idx AS minus_idx, "
+        "g.gain AS gain, g.n_values AS n_values)))"
     )
+    scores = split_scores(rows, features).withColumn("top", F.expr(top))
     if max_depth is not None and depth >= max_depth:
-        may_split = F.lit(False)
-    names = F.array(*[F.lit(f) for f in features]) if features else F.array().cast("array<string>")
-    last_step = F.regexp_extract("node_id", "([^/]+)/$", 1)
-    edge = F.when(F.lit(depth > 0), last_step)
-    value = F.substring_index(edge, "=", -1)
-    return best.select(
+        split = "false"
+    else:
+        split = f"(top.rounded > {MIN_GAIN}D AND n_labels > 1 AND n_rows >= {min_rows})"
+    names = f"array({', '.join(sql.text(f) for f in features)})"
+    edge = "regexp_extract(node_id, '([^/]+)/$', 1)"
+    value = f"substring_index({edge}, '=', -1)"
+    has_edge = "true" if depth else "false"
+    return scores.selectExpr(
         "node_id",
-        F.when(F.lit(depth > 0), F.regexp_extract("node_id", "^(.*/)[^/]+/$", 1)).alias("parent_id"),
-        F.lit(depth).alias("depth"),
-        _unescaped(F.substring_index(edge, "=", 1)).alias("edge_feature"),
-        F.when(value != MISSING, _unescaped(value)).alias("edge_value"),
-        F.when(may_split, F.get(names, F.col("idx"))).alias("split_feature"),
+        f"CASE WHEN {has_edge} THEN regexp_extract(node_id, '^(.*/)[^/]+/$', 1) END AS parent_id",
+        f"{depth} AS depth",
+        f"CASE WHEN {has_edge} THEN {_unescaped(f'substring_index({edge}, {sql.text("=")}, 1)')} END AS edge_feature",
+        f"CASE WHEN {has_edge} AND {value} <> '{MISSING}' THEN {_unescaped(value)} END AS edge_value",
+        f"CASE WHEN {split} THEN get({names}, -top.minus_idx) END AS split_feature",
         "n_rows",
-        F.col("majority").alias("label"),
-        (~may_split).alias("is_leaf"),
-        F.when(may_split, F.col("gain")).alias("gain"),
+        "label",
+        f"NOT {split} AS is_leaf",
+        f"CASE WHEN {split} THEN top.gain END AS gain",
         "m",
+        f"CASE WHEN {split} THEN top.n_values ELSE 0L END AS n_children",
     )
 
 
@@ -78,6 +76,7 @@ def train(
     label: str = "label",
     max_depth: int | None = None,
     min_rows: int = 1,
+    driver_nodes: int = DRIVER_NODES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Grow a tree and return its node table (NODE_SCHEMA).
@@ -86,24 +85,48 @@ def train(
     works on that smaller table.  Pure nodes, nodes without gain and nodes at
     ``max_depth`` or below ``min_rows`` become leaves with the majority label.
     A feature used above has a single value below, hence no gain.
+
+    A level tells how many nodes the next one has.  Up to ``driver_nodes`` they
+    are held as a literal table; beyond that every level is a stored table.
     """
     columns = [F.col(f).cast("string").alias(f) for f in features]
     cells = df.select(*columns, F.col(label).cast("string").alias("label"))
     cells = cells.groupBy(*features, "label").agg(F.count("*").alias("n"))
     rows = materialize(cells, "tree-cells").withColumn("node_id", F.lit("/"))
-    levels = []
-    depth = 0
+    levels: list[DataFrame] = []
+    depth, n_nodes = 0, 1
     while True:
-        level = materialize(_level_nodes(rows, features, depth, max_depth, min_rows), f"tree-level{depth}")
-        levels.append(level.drop("m"))
-        splits = level.where(~F.col("is_leaf")).select("node_id", "split_feature", "m")
-        if (max_depth is not None and depth >= max_depth) or splits.isEmpty():
+        level = _level_nodes(rows, features, depth, max_depth, min_rows)
+        if n_nodes <= driver_nodes:
+            level, found = _as_literals(level)
+            n_nodes = sum(node["n_children"] for node in found)
+        else:
+            level, found = materialize(level, f"tree-level{depth}"), None
+            n_nodes = level.agg(F.sum("n_children")).first()[0]
+        levels.append(level.drop("m", "n_children"))
+        if not n_nodes:
             return reduce(DataFrame.unionByName, levels)
-        rows = lookup_join(rows, splits, "node_id", "m", broadcast_bytes=broadcast_bytes)
-        rows = rows.withColumn("node_id", _child_id(features)).drop("split_feature", "m")
+        rows = _at_split(rows, level, found, broadcast_bytes)
+        rows = rows.withColumn("node_id", _child_id(features)).drop("split_feature")
         depth += 1
 
 
+def _as_literals(level: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """A level known to be short, as a table of literals and as rows."""
+    found = level.toArrow()
+    return level.sparkSession.createDataFrame(found, level.schema), found.to_pylist()
+
+
+def _at_split(rows: DataFrame, level: DataFrame, found: list[dict] | None, broadcast_bytes: int) -> DataFrame:
+    """Rows of the nodes that split, with the node's ``split_feature``."""
+    if found is not None and len(found) == 1:
+        return rows.withColumn("split_feature", F.lit(found[0]["split_feature"]))
+    splits = level.where(~F.col("is_leaf")).select("node_id", "split_feature", "m")
+    if found is not None and sum(len(node["node_id"]) + 128 for node in found) <= broadcast_bytes:
+        return rows.join(F.broadcast(splits.drop("m")), "node_id")
+    return lookup_join(rows, splits, "node_id", "m", broadcast_bytes=broadcast_bytes).drop("m")
+
+
 def leaves_and_depth(nodes: DataFrame) -> DataFrame:
     """Number of leaves and of decision levels."""
     return nodes.agg(F.count_if("is_leaf").alias("n_leaves"), F.max("depth").alias("depth"))

@@ -18,11 +18,12 @@ from statloom.operators import impurity, naive_bayes, perceptron, scaling, tree,
 from statloom.operators.evaluate import confusion, error_rate, misclassified_rows
 from statloom.operators.neighbors import neighbors
 from statloom.operators.split import counted_holdout, drawn, labelled_union, positional_holdout
+from statloom.partitioning import spread
 from statloom.plans import documents as document_plans
 from statloom.plans import points
 from statloom.plans.trees import stored_tree, tree_of_file
 from statloom.sources.feeds import paired_feeds
-from statloom.sources.files import numeric_rows, spread, with_bitmap
+from statloom.sources.files import numeric_rows, with_bitmap
 from statloom.storage import materialize, new_path
 from statloom.streaming.scoring import document_stream, score_stream, scored_documents
 
@@ -249,7 +250,7 @@ def union_labelled(spark, folder):
 
 
 def _vectors(spark, folder) -> DataFrame:
-    return spread(table(spark, folder, "embeddings"), "vec_id")
+    return table(spark, folder, "embeddings")
 
 
 def _leave_one_out(spark, folder, method: str) -> DataFrame:
@@ -286,7 +287,7 @@ def knn_error_rate(spark, folder):
 
 
 def _parts(spark, folder) -> DataFrame:
-    parts = spread(table(spark, folder, "part").select("p_partkey", "p_type", *PART_FEATURES), "p_partkey")
+    parts = table(spark, folder, "part").select("p_partkey", "p_type", *PART_FEATURES)
     codes = {name: i + 1 for i, name in enumerate(PART_TYPES)}
     return parts.withColumn("label", encode_label("p_type", codes))
 

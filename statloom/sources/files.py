@@ -13,18 +13,6 @@ from statloom.functions.vectors import bitmap_bits, bitmap_rows
 from statloom.operators.split import labelled_union
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than there are cores.
-
-    Meant for tables kept in a file or two whose rows are costly to work on; a
-    scan that is already wide stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """One row ``(path, text)`` per file."""
     files = spark.read.text(folder, wholetext=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statloom.operators.naive_bayes import NaiveBayesModel, score
+from statloom.partitioning import spread
 
 
 def document_stream(
@@ -27,7 +28,8 @@ def score_stream(docs: DataFrame, model: NaiveBayesModel, out: str, checkpoint:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch, model, doc_id, **options).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        scored = score(spread(batch, doc_id), model, doc_id, **options)
+        scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         docs.writeStream.foreachBatch(write)
