@@ -38,12 +38,13 @@ def lookup_join(
         F.coalesce(F.sum(weight), F.lit(0)),
     ).first()
     table = right if how != "left_semi" else right.select(on)
+    columns = [*left.columns, *(c for c in table.columns if c != on)]
     if size <= broadcast_bytes:
-        return left.join(F.broadcast(table), on, how)
+        return left.join(F.broadcast(table), on, how).select(columns)
     is_hot = (F.col(weight) * hot_keys >= total) & (F.octet_length(on) <= HOT_KEY_BYTES)
     hot = right.where(is_hot & (F.col(weight) > 0))
     cold = right.where(~(is_hot & (F.col(weight) > 0)))
     hot_table, cold_table = (hot, cold) if how != "left_semi" else (hot.select(on), cold.select(on))
     near = left.join(F.broadcast(hot_table), on, "inner" if how == "left" else how)
     far = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold_table, on, how)
-    return near.unionByName(far)
+    return near.unionByName(far).select(columns)

@@ -1,0 +1,123 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from statloom.operators import neighbors as nb
+from statloom.plans import points
+
+
+def frame(spark, name, x, labels=None, ids=None):
+    ids = list(range(len(x))) if ids is None else ids
+    kind = "STRING" if ids and isinstance(ids[0], str) else "BIGINT"
+    rows = [(i, [float(v) for v in row]) + ((labels[n],) if labels is not None else ()) for n, (i, row) in enumerate(zip(ids, x))]
+    schema = f"{name} {kind}, x ARRAY<DOUBLE>" + (", label INT" if labels is not None else "")
+    return spark.createDataFrame(rows, schema)
+
+
+def brute(queries, train, k, skip_same=False):
+    out = {}
+    for q, a in enumerate(queries):
+        ranked = sorted((float(((a - b) ** 2).sum()), t) for t, b in enumerate(train) if not (skip_same and t == q))
+        out[q] = [t for _, t in ranked[:k]]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in df.orderBy("qid", "place").collect():
+        out.setdefault(r["qid"], []).append(r["tid"])
+    return out
+
+
+def clustered(rng, n, dims):
+    """Integer grid points in a few clumps, a third of them one and the same point."""
+    x = rng.integers(0, 12, (n, dims)) + 40 * rng.integers(0, 4, (n, 1))
+    x[: n // 3] = x[0]
+    return x[rng.permutation(n)].astype(float)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 8])
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_pruned_equals_brute_force(spark, dims, block_rows):
+    rng = np.random.default_rng(dims)
+    train, queries = clustered(rng, 400, dims), clustered(rng, 90, dims)
+    q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * len(train))
+    pruned = nb.neighbors(q, t, 5, method="pruned", block_rows=block_rows)
+    assert found(pruned) == brute(queries, train, 5)
+
+
+def test_broadcast_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    train, queries = clustered(rng, 500, 3), clustered(rng, 60, 3)
+    q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * len(train))
+    assert found(nb.neighbors(q, t, 4)) == brute(queries, train, 4)
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_leave_one_out_without_self(spark, method):
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 150, 2)
+    df = nb.neighbors(frame(spark, "qid", x), frame(spark, "tid", x, [0] * 150), 3, method=method, skip_same_id=True)
+    assert found(df) == brute(x, x, 3, skip_same=True)
+
+
+def test_many_dimensions_fall_back_to_blocks(spark):
+    rng = np.random.default_rng(5)
+    train, queries = rng.standard_normal((300, 48)), rng.standard_normal((40, 48))
+    q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * 300)
+    assert found(nb.neighbors(q, t, 3, method="pruned", block_rows=32)) == brute(queries, train, 3)
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_more_neighbours_than_rows(spark, method):
+    q, t = frame(spark, "qid", [[0.0]]), frame(spark, "tid", [[1.0], [2.0]], [7, 7])
+    assert found(nb.neighbors(q, t, 5, method=method)) == {0: [0, 1]}
+    assert nb.classify(q, t, 5, method=method).collect() == [(0, 7)]
+
+
+def test_no_training_rows(spark):
+    q, t = frame(spark, "qid", [[0.0]]), frame(spark, "tid", [[1.0]], [7])
+    assert nb.neighbors(q, t.where("tid < 0"), 3).count() == 0
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_text_ids_order_ties(spark, method):
+    names = ["b_2.txt", "a_10.txt", "a_9.txt", "B.txt"]
+    q = frame(spark, "qid", [[0.0]], ids=["q"])
+    t = frame(spark, "tid", [[1.0]] * 4, [0] * 4, ids=names)
+    assert found(nb.neighbors(q, t, 3, method=method)) == {"q": sorted(names)[:3]}
+
+
+def test_toy_points(spark):
+    train = spark.createDataFrame(
+        [(0, [1.0, 1.1], "A"), (1, [1.0, 1.0], "A"), (2, [0.0, 0.0], "B"), (3, [0.0, 0.1], "B")],
+        "tid INT, x ARRAY<DOUBLE>, label STRING",
+    )
+    q = frame(spark, "qid", [[0.0, 0.0], [1.0, 1.2]])
+    assert sorted(nb.classify(q, train, 3).collect()) == [(0, "B"), (1, "A")]
+    own = train.select(F.col("tid").alias("qid"), "x")
+    assert sorted(nb.classify(own, train, 1).collect()) == [(0, "A"), (1, "A"), (2, "B"), (3, "B")]
+
+
+def test_vote_ties_go_to_the_nearer_label(spark):
+    rows = [(1, "z", 1), (1, "a", 2), (2, "a", 2), (2, "b", 1), (2, "a", 3)]
+    votes = spark.createDataFrame(rows, "qid INT, label STRING, place INT")
+    assert sorted(nb.vote(votes).collect()) == [(1, "z"), (2, "a")]
+
+
+def test_scaled_evaluation(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.random()) * 1000 * (i % 2 + 1), float(i % 2), 5.0, i % 2 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id BIGINT, a DOUBLE, b DOUBLE, same DOUBLE, label INT")
+    for fit in ("all", "train"):
+        report = points.scaled_evaluation(df, ["a", "b", "same"], "id", fit_on=fit).first()
+        assert tuple(report) == (30, 0, 0.0)
+
+
+def test_classify_new_names_the_answer(spark):
+    known = spark.createDataFrame(
+        [(i, 100.0 * (i % 3), 1.0 * (i % 3), i % 3 + 1) for i in range(30)], "id BIGINT, a DOUBLE, b DOUBLE, label INT"
+    )
+    new = spark.createDataFrame([(0, 10.0, 0.1), (1, 95.0, 1.1), (2, 500.0, 2.0)], "who BIGINT, a DOUBLE, b DOUBLE")
+    got = points.classify_new(new, known, ["a", "b"], "who", "id", "label", ["low", "middle", "high"])
+    assert sorted((r["who"], r["answer"]) for r in got.collect()) == [(0, "low"), (1, "middle"), (2, "high")]
