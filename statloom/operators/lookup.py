@@ -9,6 +9,7 @@ BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 4096
 HOT_KEY_BYTES = 1024
 ROW_OVERHEAD = 64
+SALTS = 16
 
 
 def lookup_join(
@@ -26,7 +27,8 @@ def lookup_join(
     table within ``broadcast_bytes`` is broadcast.  Beyond that, keys holding at
     least 1/``hot_keys`` of the weight are: there can be no more than
     ``hot_keys`` of them and each is short, so that part is bounded whatever the
-    data.  Only the remaining rows are shuffled, and no key among them is heavy.
+    data.  Only the remaining rows are shuffled.  They are salted, because the
+    weight may be an estimate and left keys missing in ``right`` have none.
     ``right`` is read more than once, so pass a stored table.
     """
     widths = [
@@ -46,5 +48,9 @@ def lookup_join(
     cold = right.where(~(is_hot & (F.col(weight) > 0)))
     hot_table, cold_table = (hot, cold) if how != "left_semi" else (hot.select(on), cold.select(on))
     near = left.join(F.broadcast(hot_table), on, "inner" if how == "left" else how)
-    far = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold_table, on, how)
+    hashed = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").withColumn("_salt", salt)
+    copies = cold_table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    far = rest.join(copies, [on, "_salt"], how).drop("_salt")
     return near.unionByName(far).select(columns)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statloom.operators.split import draw_key, drawn
 from statloom.partitioning import spread
 from statloom.storage import materialize
 
@@ -27,11 +28,13 @@ BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 MAX_BLOCK_ROWS = 8192
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 1 << 14
 PIVOT_BYTES = 8 << 20
-# Cells are only worth their copies of the queries when they rule out this much.
-MIN_PRUNED = 0.5
-TILE = 4 << 20
+PIVOT_SEED = 1
+# Sending a copy of a row to a block costs about as much as this many distances.
+COPY_COST = 500
+# Distances held at a time.
+TILE = 1 << 20
 
 
 def nearest(
@@ -113,7 +116,8 @@ def _pivots(train: DataFrame, rows: int, k: int, dims: int) -> np.ndarray:
     """A bounded, seeded sample of training points."""
     most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * dims))
     count = max(1, min(most, rows, int(math.sqrt(rows)) + k))
-    chosen = train.orderBy(F.md5(F.concat(F.lit("pivot:"), F.col("tid").cast("string"))), "tid").limit(count)
+    few = train.where(drawn("tid", min(1.0, 2 * (count + 50) / rows), PIVOT_SEED))
+    chosen = few.orderBy(draw_key("tid", PIVOT_SEED), "tid").limit(count)
     return _matrix(chosen.select("x").toArrow()["x"], dims)
 
 
@@ -128,9 +132,13 @@ def _with_cell(train: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = _pivot_distances(_matrix(batch.column("x"), dims), pivots)
-            cell = far.argmin(axis=1).astype(np.int32)
-            r = far[np.arange(len(cell)), cell]
+            points = _matrix(batch.column("x"), dims)
+            cell, r = np.empty(len(points), np.int32), np.empty(len(points))
+            step = max(1, TILE // len(pivots))
+            for start in range(0, len(points), step):
+                far = _pivot_distances(points[start : start + step], pivots)
+                cell[start : start + step] = far.argmin(axis=1)
+                r[start : start + step] = far.min(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell), pa.array(r)], names=[*batch.schema.names, "cell", "r"]
             )
@@ -149,7 +157,6 @@ def _candidate_cells(
     widened by more than the rounding error of the distances.
     """
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    between = _pivot_distances(pivots, pivots)
     size = float(np.sqrt(np.einsum("ij,ij->i", pivots, pivots).max()))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def _candidate_cells(
                 else:
                     reach = np.full((len(q), 1), np.inf)
                 own = far.argmin(axis=1)
-                gap = between[own]
+                gap = _pivot_distances(pivots[own], pivots)
                 nearer = far[np.arange(len(q)), own][:, None]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.where(gap > 0, (far**2 - nearer**2) / (2.0 * gap), 0.0)
@@ -182,15 +189,27 @@ def _candidate_cells(
     return queries.mapInArrow(pair, schema)
 
 
+def _blocks(rows: int, block_rows: int) -> int:
+    return math.ceil(int(rows) / block_rows)
+
+
+def _cost(sizes: list[tuple[int, int, int]], block_rows: int) -> float:
+    """Distances to compute plus rows to copy, for ``(cell, points, queries)``."""
+    return sum(
+        float(n) * float(asked) + COPY_COST * (n * _blocks(asked, block_rows) + asked * _blocks(n, block_rows))
+        for _, n, asked in sizes
+    )
+
+
 def _pruned_neighbors(
     queries: DataFrame, train: DataFrame, rows: int, k: int, dims: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
     spark = train.sparkSession
+    pivots = _pivots(train, rows, k, dims)
     # Of equal points only the k smallest ids can be neighbours; copies go early.
     same = Window.partitionBy("x").orderBy("tid")
-    train = train.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
-    pivots = _pivots(train, rows, k, dims)
-    placed = materialize(_with_cell(train, pivots, dims), "knn-cells")
+    single = train.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
+    placed = materialize(_with_cell(single, pivots, dims), "knn-cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
     radius[cells["cell"]] = cells["radius"]
@@ -198,14 +217,12 @@ def _pruned_neighbors(
     pairs = _candidate_cells(queries, pivots, cells["cell"].to_numpy(), radius, k, dims)
     wanted = pairs.groupBy("cell").agg(F.count("*").alias("wanted")).toPandas()
     n_queries = queries.count()
-    if wanted["wanted"].sum() > (1 - MIN_PRUNED) * n_queries * len(cells):
+    sizes = list(cells.merge(wanted, on="cell")[["cell", "n", "wanted"]].itertuples(index=False))
+    if _cost(sizes, block_rows) > _cost([(0, cells["n"].sum(), n_queries)], block_rows):
+        # Cells rule out too little to be worth their copies: one cell, blocks only.
+        sizes = [(0, cells["n"].sum(), n_queries)]
         placed, pairs = placed.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
-        plan = [(0, math.ceil(cells["n"].sum() / block_rows), math.ceil(n_queries / block_rows))]
-    else:
-        plan = [
-            (int(c), math.ceil(n / block_rows), math.ceil(w / block_rows))
-            for c, n, w in cells.merge(wanted, on="cell")[["cell", "n", "wanted"]].itertuples(index=False)
-        ]
+    plan = [(int(cell), _blocks(points, block_rows), _blocks(asked, block_rows)) for cell, points, asked in sizes]
     # At most MAX_PIVOTS rows: how many blocks each side of a cell is cut into.
     blocks = F.broadcast(spark.createDataFrame(plan, "cell INT, t_blocks INT, q_blocks INT"))
     key = ["cell", "t_block", "q_block"]

@@ -25,8 +25,8 @@ def top_words(counts: DataFrame, k: int = 30) -> DataFrame:
 
 
 def without_words(table: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``table`` whose word is not in the short list ``dropped``."""
-    return table.join(F.broadcast(dropped.select("word")), "word", "left_anti")
+    """Rows of ``table`` whose word is not in ``dropped``; Spark broadcasts a short list."""
+    return table.join(dropped.select("word"), "word", "left_anti")
 
 
 def bag_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 """Tables between jobs, and saved models.
 
-Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``:
-a written table survives lost executors, ends the lineage and lets the planner
-see the true size.
+Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``,
+under the application's id: a written table survives lost executors, ends the
+lineage and lets the planner see the true size.  Results read these tables, so
+the folder is removed after the application, not by the library.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/statloom/{name}-{uuid.uuid4().hex}"
+    app = spark.conf.get("spark.app.id", "session")
+    return f"{shared_folder(spark)}/statloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

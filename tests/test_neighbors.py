@@ -38,7 +38,9 @@ def clustered(rng, n, dims):
 
 @pytest.mark.parametrize("dims", [1, 2, 8])
 @pytest.mark.parametrize("block_rows", [16, 4096])
-def test_pruned_equals_brute_force(spark, dims, block_rows):
+@pytest.mark.parametrize("copy_cost", [0, 1e9])
+def test_pruned_equals_brute_force(spark, monkeypatch, dims, block_rows, copy_cost):
+    monkeypatch.setattr(nb, "COPY_COST", copy_cost)
     rng = np.random.default_rng(dims)
     train, queries = clustered(rng, 400, dims), clustered(rng, 90, dims)
     q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * len(train))

@@ -42,8 +42,9 @@ def digest_order(values, seed=42):
     return sorted(values, key=lambda v: (hashlib.md5(f"{seed}:{v}".encode()).hexdigest()[:15], v))
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_counted_holdout_draws_exactly_n(spark, small):
+@pytest.mark.parametrize(("small", "reach"), [(10_000, 1 << 60), (0, 1 << 60), (10_000, 1 << 40)])
+def test_counted_holdout_draws_exactly_n(spark, monkeypatch, small, reach):
+    monkeypatch.setattr(split, "DRAW_RANGE", reach)
     df = ids(spark, range(200))
     tested = split.counted_holdout(df, "id", 15, small=small).where("is_test")
     assert sorted(r["id"] for r in tested.collect()) == sorted(digest_order(range(200))[:15])
