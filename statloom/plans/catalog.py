@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom import schemas
 from statloom.functions.labels import decode_label, encode_label
-from statloom.functions.text import blank_separated, explode_words
+from statloom.functions.text import blank_separated
+from statloom.functions.vectors import bitmap_distance, squared_distance
 from statloom.operators import impurity, naive_bayes, perceptron, scaling, tree, words
 from statloom.operators.evaluate import confusion, error_rate, misclassified_rows
 from statloom.operators.neighbors import neighbors
@@ -325,6 +325,18 @@ def bitmap_lines(spark, folder):
     return _bitmaps(spark, folder).select("vec_id", F.posexplode("rows").alias("line", "bits"))
 
 
+def vector_distance(spark, folder):
+    """Distance of every vector, and of its sign bitmap, to the one with the next id."""
+    rows = _bitmaps(spark, folder).join(_vectors(spark, folder).select("vec_id", "embedding"), "vec_id")
+    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "rows")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("x2"), F.col("rows").alias("rows2"))
+    return rows.join(after, "vec_id").select(
+        "vec_id",
+        F.round(F.sqrt(squared_distance("x", "x2")), 6).alias("distance"),
+        bitmap_distance("rows", "rows2").alias("bits"),
+    )
+
+
 def bitmap_error_rate(spark, folder):
     split = _bitmaps(spark, folder).withColumn("is_test", drawn("vec_id", TEST_SHARE))
     report = points.bitmap_evaluation(split.where("not is_test"), split.where("is_test"), "vec_id")
@@ -470,7 +482,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     minmax_stats, minmax_apply, label_encode_decode, holdout_random, holdout_fraction,
     holdout_positional, union_labelled,
     knn_topk, knn_topk_pruned, knn_classify, knn_error_rate, knn_scaled_error_rate, knn_scaled_pruned,
-    knn_new_rows, bitmap_vectors, bitmap_lines, bitmap_error_rate,
+    knn_new_rows, bitmap_vectors, bitmap_lines, vector_distance, bitmap_error_rate,
     entropy, info_gain, best_split, split_dataset, majority_label, id3_nodes, id3_classify,
     id3_classify_routed, id3_tree_stats, tree_save_load, delimited_tree, delimited_numeric,
     perceptron_primal, perceptron_predict, perceptron_dual, dual_weights, gram_product,

@@ -290,6 +290,9 @@ ORACLES: dict[str, str] = {
     "bitmap_lines": _with(BITS)
     + """SELECT vec_id, line::INTEGER AS line, CAST(list_sum(list_transform(range(8), lambda c: v[line * 8 + c + 1] * (2 ** (7 - c)))) AS BIGINT) AS bits
          FROM bits, range(8) AS lines(line)""",
+    "vector_distance": _with(BITS.replace("SELECT vec_id, label,", "SELECT vec_id, label, embedding::DOUBLE[] AS x,"))
+    + """SELECT a.vec_id, round(list_distance(a.x, b.x), 6) AS distance,
+         CAST(round(list_distance(a.v::DOUBLE[], b.v::DOUBLE[]) ** 2) AS BIGINT) AS bits FROM bits a JOIN bits b ON b.vec_id = a.vec_id + 1""",
     "bitmap_error_rate": _with(
         BITS,
         """pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, list_distance(q.v::DOUBLE[], t.v::DOUBLE[]) AS d
