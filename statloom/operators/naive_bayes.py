@@ -18,7 +18,7 @@ from statloom import schemas
 from statloom.functions.text import explode_words
 from statloom.operators.lookup import BROADCAST_BYTES, lookup_join
 from statloom.operators.words import top_words, without_words
-from statloom.storage import load_model, materialize, save_model
+from statloom.storage import literal_table, load_model, materialize, save_model
 
 
 @dataclass(frozen=True)
@@ -83,9 +83,8 @@ def train(
     base = 2.0 if denominator == "plus2" else float(size)
     den1, den0 = base + mass1, base + mass0
     n_docs, n_pos = docs.where(~F.col("is_test")).agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
-    prior = docs.sparkSession.createDataFrame(
-        [(n_docs, n_pos / n_docs if n_docs else None, den1, den0)], schemas.PRIOR_SCHEMA
-    )
+    p1 = n_pos / n_docs if n_docs else None
+    prior = literal_table(docs.sparkSession, [(n_docs, p1, den1, den0)], schemas.PRIOR_SCHEMA)
     model = counts.select(
         "word",
         "n_seen",

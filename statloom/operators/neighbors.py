@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from statloom.operators.split import draw_key, drawn
 from statloom.partitioning import spread
-from statloom.storage import materialize
+from statloom.storage import literal_table, materialize
 
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
@@ -115,10 +115,10 @@ def _broadcast_neighbors(queries: DataFrame, train: DataFrame, k: int, dims: int
 def _pivots(train: DataFrame, rows: int, k: int, dims: int) -> np.ndarray:
     """A bounded, seeded sample of training points."""
     most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * dims))
-    count = max(1, min(most, rows, int(math.sqrt(rows)) + k))
+    count = max(1, min(most, rows, 2 * int(math.sqrt(rows)) + k))
     few = train.where(drawn("tid", min(1.0, 2 * (count + 50) / rows), PIVOT_SEED))
     chosen = few.orderBy(draw_key("tid", PIVOT_SEED), "tid").limit(count)
-    return _matrix(chosen.select("x").toArrow()["x"], dims)
+    return np.unique(_matrix(chosen.select("x").toArrow()["x"], dims), axis=0)
 
 
 def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def _pruned_neighbors(
         placed, pairs = placed.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
     plan = [(int(cell), _blocks(points, block_rows), _blocks(asked, block_rows)) for cell, points, asked in sizes]
     # At most MAX_PIVOTS rows: how many blocks each side of a cell is cut into.
-    blocks = F.broadcast(spark.createDataFrame(plan, "cell INT, t_blocks INT, q_blocks INT"))
+    blocks = F.broadcast(literal_table(spark, plan, "cell INT, t_blocks INT, q_blocks INT"))
     key = ["cell", "t_block", "q_block"]
 
     def block(value: str, count: str):

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from statloom import schemas
 from statloom.functions.labels import sign_label
 from statloom.functions.vectors import components, linear_score, misclassified
+from statloom.storage import literal_table
 
 # Up to here sums are one generated expression per dimension; beyond, array arithmetic.
 UNROLLED_DIMS = 16
@@ -112,7 +113,7 @@ def train_primal(rows: DataFrame, epochs: int, rate: float = 1.0, step: float |
         history.append((epoch, n_wrong, list(plane.w), plane.b))
         if n_wrong == 0:
             break
-    return rows.sparkSession.createDataFrame(history, schemas.PERCEPTRON_SCHEMA)
+    return literal_table(rows.sparkSession, history, schemas.PERCEPTRON_SCHEMA)
 
 
 def last_plane(model: DataFrame) -> Plane:

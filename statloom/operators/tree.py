@@ -171,9 +171,6 @@ def classify(
     size, depth = nodes.agg(F.count("*"), F.max("depth")).first()
     if size <= compiled_nodes:
         return df.withColumn("predicted", compile_tree(nodes.collect(), on_unseen))
-    here = nodes.select(
-        F.col("node_id").alias("step"), "split_feature", F.col("label").alias("node_label"), "is_leaf", "n_rows"
-    )
     root = nodes.where("depth = 0").first()
     rows = df.withColumns(
         {
@@ -185,11 +182,10 @@ def classify(
     )
     open_row = F.col("split_feature").isNotNull()
     for level in range(1, depth + 1):
-        edges = here.join(nodes.where(F.col("depth") == level).select(F.col("node_id").alias("step")), "step", "left_semi")
-        edges = edges.select(
-            "step",
+        edges = nodes.where(F.col("depth") == level).select(
+            F.col("node_id").alias("step"),
             F.col("split_feature").alias("next_feature"),
-            F.col("node_label").alias("next_label"),
+            F.col("label").alias("next_label"),
             F.col("is_leaf").alias("next_leaf"),
             "n_rows",
         )

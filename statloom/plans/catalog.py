@@ -217,7 +217,8 @@ def minmax_stats(spark, folder):
 
 def minmax_apply(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *LINE_FEATURES)
-    scaled = scaling.minmax_apply(lines, scaling.minmax_stats(lines, LINE_FEATURES), LINE_FEATURES)
+    stats = scaling.minmax_stats(lines, LINE_FEATURES)
+    scaled = scaling.minmax_apply(spread(lines, "l_orderkey"), stats, LINE_FEATURES)
     return rounded(scaled, 6, *LINE_FEATURES)
 
 
@@ -445,7 +446,7 @@ def perceptron_primal(spark, folder):
 def perceptron_predict(spark, folder):
     rows = line_points(spark, folder)
     plane = perceptron.last_plane(perceptron.train_primal(rows, EPOCHS))
-    scored = perceptron.predict(rows, plane)
+    scored = perceptron.predict(spread(rows, "l_orderkey"), plane)
     return rounded(scored.select("l_orderkey", "l_linenumber", "score", "y", "predicted"), 6, "score")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statloom import schemas
 from statloom.functions.labels import DATING_CODES, encode_label
@@ -42,27 +43,29 @@ def bitmap_folder(spark: SparkSession, folder: str, width: int = 32) -> DataFram
     return with_bitmap(named, "text", width).drop("text")
 
 
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated fields of each line, after dropping its outer white space."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return spark.read.text(path).select(F.split(line, "\t").alias("fields"))
+
+
 def numeric_rows(
     spark: SparkSession, path: str, features: tuple[str, ...] = ("f1", "f2", "f3"),
     codes: Mapping[str, int] = DATING_CODES,
 ) -> DataFrame:
     """Tab-delimited numbers with the label last, as a number or a known text.
 
-    Outer white space of a line is dropped, also where that leaves the fields
-    shifted; fields between the features and the last one are ignored.
+    Fields between the features and the last one are ignored.
     """
-    fields = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\t")
-    lines = spark.read.text(path).select(fields.alias("fields"))
+    lines = _fields(spark, path)
     numbers = [F.col("fields")[i].cast("double").alias(f) for i, f in enumerate(features)]
     return lines.select(*numbers, encode_label(F.element_at("fields", -1), codes).alias("label"))
 
 
 def categorical_rows(spark: SparkSession, path: str, schema: str = schemas.LENSES_SCHEMA) -> DataFrame:
-    """Tab-delimited texts under ``schema``, the label last."""
-    return (
-        spark.read.schema(schema)
-        .option("sep", "\t")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
+    """Tab-delimited texts named by ``schema``, the label last.
+
+    Quotes and empty fields are values like any other, so this is no CSV.
+    """
+    columns = T.StructType.fromDDL(schema)
+    return _fields(spark, path).select(*[F.get("fields", F.lit(i)).alias(f.name) for i, f in enumerate(columns)])

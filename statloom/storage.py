@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -42,6 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as part of the plan itself, so that reading them takes no job."""
+    fields = T.StructType.fromDDL(schema)
+    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns), fields)
+
+
 def save_model(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 

@@ -51,10 +51,11 @@ def test_numeric_rows(spark, tmp_path):
 
 def test_categorical_rows(spark, tmp_path):
     path = tmp_path / "lenses.txt"
-    path.write_text("young\tmyope\tno\treduced\tno lenses\nyoung\tmyope\tno\tnormal\tsoft")
+    path.write_text('young\tmyope\tno\treduced\tno lenses\n"young"\t\tno\tnormal\tsoft')
     rows = files.categorical_rows(spark, str(path))
     assert rows.columns == ["age", "prescript", "astigmatic", "tearRate", "label"]
     assert [r["label"] for r in rows.collect()] == ["no lenses", "soft"]
+    assert tuple(rows.where("label = 'soft'").first())[:2] == ('"young"', "")
 
 
 def test_paired_feeds_take_as_many_as_the_shorter(spark):
