@@ -52,5 +52,8 @@ def lookup_join(
     salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").withColumn("_salt", salt)
     copies = cold_table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    far = rest.join(copies, [on, "_salt"], how).drop("_salt")
+    # Always shuffled: two parts partitioned alike would let the planner take
+    # their union for partitioned too, which Spark 4.1 does not keep up when
+    # exchanges are reused.
+    far = rest.join(copies.hint("merge"), [on, "_salt"], how).drop("_salt")
     return near.unionByName(far).select(columns)

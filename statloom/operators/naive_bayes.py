@@ -114,8 +114,7 @@ def score(
     """``score1``, ``score0`` and ``predicted`` for each document.
 
     Words outside the vocabulary drop out; a document left without words still
-    gets the prior.  That base row is added as a union, so documents and word
-    scores meet in a single grouping by id.
+    gets the prior.
     """
     occurrences = explode_words(docs, doc_id, text=text, distinct=not bag)
     known = lookup_join(
@@ -124,22 +123,12 @@ def score(
         "word",
         "n_seen",
         broadcast_bytes=broadcast_bytes,
-    ).select(doc_id, "log_p1", "log_p0")
-    zero = F.lit(0.0)
-    base = docs.select(doc_id, *keep, zero.alias("log_p1"), zero.alias("log_p0"))
-    sums = (
-        base.unionByName(known, allowMissingColumns=True)
-        .groupBy(doc_id)
-        .agg(
-            *[F.max(c).alias(c) for c in keep],
-            F.sum("log_p1").alias("sum1"),
-            F.sum("log_p0").alias("sum0"),
-        )
     )
+    sums = known.groupBy(doc_id).agg(F.sum("log_p1").alias("sum1"), F.sum("log_p0").alias("sum0"))
     p1 = model.prior.first()["p1"]
-    score1 = F.col("sum1") + _log_prior(p1)
-    score0 = F.col("sum0") + _log_prior(None if p1 is None else 1.0 - p1)
-    return sums.select(
+    score1 = F.coalesce("sum1", F.lit(0.0)) + _log_prior(p1)
+    score0 = F.coalesce("sum0", F.lit(0.0)) + _log_prior(None if p1 is None else 1.0 - p1)
+    return docs.select(doc_id, *keep).join(sums, doc_id, "left").select(
         doc_id,
         *keep,
         score1.alias("score1"),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than there are cores.
+    """Spread a scan that has fewer partitions than there are cores, by a hash of ``keys``.
 
     For tables kept in a file or two whose rows are costly to work on; a scan
     that is already wide stays as it is.  Pass a scan with filters and
@@ -15,4 +16,4 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores, *keys)
+    return scan.repartition(cores, F.xxhash64(*keys))

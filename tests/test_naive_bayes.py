@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import naive_bayes as nb
 from statloom.operators.evaluate import confusion, error_rate, misclassified_rows
+from statloom.partitioning import spread
 from statloom.plans.documents import classify_documents, feed_evaluation, spam_evaluation
 
 
@@ -93,6 +94,17 @@ def test_hot_words_path_gives_the_same_scores(posts):
         assert a["score1"] == pytest.approx(b["score1"]) and a["score0"] == pytest.approx(b["score0"])
 
 
+def test_scores_join_with_scores(posts):
+    """Scores of spread documents, read twice in one plan, small and split lookups."""
+    docs = spread(posts, "doc_id").repartition(3, "doc_id")
+    model = train_all(docs)
+    frames = [nb.score(docs, model, broadcast_bytes=size).alias(f"s{size}") for size in (1 << 20, 0)]
+    for a in frames:
+        for b in (nb.score(docs, model), nb.score(docs, model, broadcast_bytes=0)):
+            both = a.join(b.select("doc_id", F.col("score1").alias("other")), "doc_id")
+            assert both.where("abs(score1 - other) < 1e-9").count() == both.count() == 6
+
+
 def test_counts_add_up_over_parts(spark, posts):
     def counts(docs):
         return {r["word"]: (r["n1"], r["n0"]) for r in train_all(docs).words.collect()}
