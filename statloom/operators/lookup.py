@@ -18,19 +18,21 @@ def lookup_join(
     on: str,
     weight: str,
     how: str = "inner",
-    broadcast_bytes: int = BROADCAST_BYTES,
-    hot_keys: int = HOT_KEYS,
+    broadcast_bytes: int | None = None,
+    hot_keys: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` (one row per ``on``) as inner, left or left_semi.
 
     ``weight`` in ``right`` tells about how many left rows carry the key.  A
-    table within ``broadcast_bytes`` is broadcast.  Beyond that, keys holding at
+    table within ``broadcast_bytes`` (BROADCAST_BYTES) is broadcast.  Beyond that, keys holding at
     least 1/``hot_keys`` of the weight are: there can be no more than
     ``hot_keys`` of them and each is short, so that part is bounded whatever the
     data.  Only the remaining rows are shuffled.  They are salted, because the
     weight may be an estimate and left keys missing in ``right`` have none.
     ``right`` is read more than once, so pass a stored table.
     """
+    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    hot_keys = HOT_KEYS if hot_keys is None else hot_keys
     widths = [
         F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
         for f in right.schema.fields

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from statloom import schemas
 from statloom.functions.text import explode_words
-from statloom.operators.lookup import BROADCAST_BYTES, lookup_join
+from statloom.operators.lookup import lookup_join
 from statloom.operators.words import top_words, without_words
 from statloom.storage import literal_table, load_model, materialize, save_model
 
@@ -109,7 +109,7 @@ def score(
     text: str = "text",
     bag: bool = True,
     keep: tuple[str, ...] = (),
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``score1``, ``score0`` and ``predicted`` for each document.
 

@@ -76,8 +76,8 @@ def train(
     label: str = "label",
     max_depth: int | None = None,
     min_rows: int = 1,
-    driver_nodes: int = DRIVER_NODES,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    driver_nodes: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Grow a tree and return its node table (NODE_SCHEMA).
 
@@ -86,9 +86,11 @@ def train(
     ``max_depth`` or below ``min_rows`` become leaves with the majority label.
     A feature used above has a single value below, hence no gain.
 
-    A level tells how many nodes the next one has.  Up to ``driver_nodes`` they
-    are held as a literal table; beyond that every level is a stored table.
+    A level tells how many nodes the next one has.  Up to ``driver_nodes``
+    (DRIVER_NODES) they are held as a literal table; beyond that every level is
+    a stored table.
     """
+    driver_nodes = DRIVER_NODES if driver_nodes is None else driver_nodes
     columns = [F.col(f).cast("string").alias(f) for f in features]
     cells = df.select(*columns, F.col(label).cast("string").alias("label"))
     cells = cells.groupBy(*features, "label").agg(F.count("*").alias("n"))
@@ -117,12 +119,13 @@ def _as_literals(level: DataFrame) -> tuple[DataFrame, list[dict]]:
     return level.sparkSession.createDataFrame(found, level.schema), found.to_pylist()
 
 
-def _at_split(rows: DataFrame, level: DataFrame, found: list[dict] | None, broadcast_bytes: int) -> DataFrame:
+def _at_split(rows: DataFrame, level: DataFrame, found: list[dict] | None, broadcast_bytes: int | None) -> DataFrame:
     """Rows of the nodes that split, with the node's ``split_feature``."""
     if found is not None and len(found) == 1:
         return rows.withColumn("split_feature", F.lit(found[0]["split_feature"]))
     splits = level.where(~F.col("is_leaf")).select("node_id", "split_feature", "m")
-    if found is not None and sum(len(node["node_id"]) + 128 for node in found) <= broadcast_bytes:
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if found is not None and sum(4 * len(node["node_id"]) + 128 for node in found) <= limit:
         return rows.join(F.broadcast(splits.drop("m")), "node_id")
     return lookup_join(rows, splits, "node_id", "m", broadcast_bytes=broadcast_bytes).drop("m")
 
@@ -157,8 +160,8 @@ def classify(
     nodes: DataFrame,
     features: Sequence[str],
     on_unseen: str = "null",
-    compiled_nodes: int = COMPILED_NODES,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    compiled_nodes: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``predicted``: the label of the leaf each row reaches.
 
@@ -169,7 +172,7 @@ def classify(
     if on_unseen not in ("null", "majority"):
         raise ValueError(f"unknown on_unseen: {on_unseen}")
     size, depth = nodes.agg(F.count("*"), F.max("depth")).first()
-    if size <= compiled_nodes:
+    if size <= (COMPILED_NODES if compiled_nodes is None else compiled_nodes):
         return df.withColumn("predicted", compile_tree(nodes.collect(), on_unseen))
     root = nodes.where("depth = 0").first()
     rows = df.withColumns(
