@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from statloom.functions.labels import decode_label, encode_label
 from statloom.functions.text import blank_separated
 from statloom.functions.vectors import bitmap_distance, squared_distance
-from statloom.operators import impurity, naive_bayes, perceptron, scaling, tree, words
-from statloom.operators.evaluate import confusion, error_rate, misclassified_rows
+from statloom.operators import evaluate, impurity, naive_bayes, perceptron, scaling, tree, words
+from statloom.operators.evaluate import error_rate, misclassified_rows
 from statloom.operators.neighbors import neighbors
 from statloom.operators.split import counted_holdout, drawn, labelled_union, positional_holdout
 from statloom.partitioning import spread
@@ -148,8 +148,8 @@ def nb_errors(spark, folder):
     return misclassified_rows(_toxic_scores(spark, folder)).select("doc_id", "label", "predicted")
 
 
-def nb_confusion(spark, folder):
-    return confusion(_toxic_scores(spark, folder))
+def confusion(spark, folder):
+    return evaluate.confusion(_toxic_scores(spark, folder))
 
 
 def nb_save_load(spark, folder):
@@ -477,7 +477,7 @@ def gram_product(spark, folder):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
     top_words_30, vocab_without_top30,
-    nb_train, nb_train_set, nb_train_vocab, nb_prior, nb_score, nb_error_rate, nb_errors, nb_confusion,
+    nb_train, nb_train_set, nb_train_vocab, nb_prior, nb_score, nb_error_rate, nb_errors, confusion,
     nb_save_load, nb_entries, nb_counted_holdout, paired_feed_rows, local_words_model,
     local_words_error_rate, local_top_words, nb_stream_score,
     minmax_stats, minmax_apply, label_encode_decode, holdout_random, holdout_fraction,

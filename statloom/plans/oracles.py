@@ -246,7 +246,7 @@ ORACLES: dict[str, str] = {
     "nb_score": _with(*TOXIC_SCORES) + SHOW_SCORES,
     "nb_error_rate": _with(*TOXIC_SCORES) + REPORT,
     "nb_errors": _with(*TOXIC_SCORES) + "SELECT doc_id, label, predicted FROM result WHERE label <> predicted",
-    "nb_confusion": _with(*TOXIC_SCORES) + "SELECT label, predicted, count(*) AS n FROM result GROUP BY ALL",
+    "confusion": _with(*TOXIC_SCORES) + "SELECT label, predicted, count(*) AS n FROM result GROUP BY ALL",
     "nb_save_load": _with(*TOXIC_SCORES) + SHOW_SCORES,
     "nb_entries": _with(
         *_model(TOXIC.replace(IS_TEST, "false"), bag=False), *_scores("SELECT item_id, text FROM benchmark", "item_id", bag=False)
