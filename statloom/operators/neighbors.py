@@ -265,8 +265,9 @@ def neighbors(
 ) -> DataFrame:
     """The ``k`` nearest training rows of every query: ``(qid, tid, label, d2, place)``.
 
-    ``queries(qid, x)``, a scan or a stored table, and ``train(tid, x, label)`` have numeric array columns of
-    one length.  With ``skip_same_id`` a row is not its own neighbour.  ``method``
+    ``queries(qid, x)`` and ``train(tid, x, label)`` are scans or stored tables,
+    as they are read more than once, with numeric arrays of one length.  With
+    ``skip_same_id`` a row is not its own neighbour.  ``method``
     is ``broadcast``, ``pruned``, or ``auto``: broadcast when the counted training
     rows fit the limits.  With fewer than ``k`` training rows all are neighbours.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from statloom.operators.naive_bayes import NaiveBayesModel, score
 from statloom.partitioning import spread
@@ -20,9 +21,15 @@ def document_stream(
     )
 
 
-def score_stream(docs: DataFrame, model: NaiveBayesModel, out: str, checkpoint: str, doc_id: str = "doc_id", **options):
+def score_stream(
+    docs: DataFrame, model: NaiveBayesModel, out: str, checkpoint: str, doc_id: str = "doc_id",
+    trigger: dict | None = None, **options,
+) -> StreamingQuery:
     """Start scoring a document stream into ``out``; returns the streaming query.
 
+    Without ``trigger`` the files there are now are scored and the query ends;
+    ``{"processingTime": "1 minute"}`` keeps it waiting for more.
+
     A document is scored within its batch, so no state is kept.  Each batch
     replaces its own folder: a batch delivered again leaves the same result.
     """
@@ -34,7 +41,7 @@ def score_stream(docs: DataFrame, model: NaiveBayesModel, out: str, checkpoint:
     return (
         docs.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
