@@ -109,16 +109,19 @@ def score(
     text: str = "text",
     bag: bool = True,
     keep: tuple[str, ...] = (),
+    words: DataFrame | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """``score1``, ``score0`` and ``predicted`` for each document.
 
     Words outside the vocabulary drop out; a document left without words still
-    gets the prior.
+    gets the prior.  ``words`` may bring ready rows ``(doc_id, word)`` instead
+    of text.
     """
-    occurrences = explode_words(docs, doc_id, text=text, distinct=not bag)
+    if words is None:
+        words = explode_words(docs, doc_id, text=text, distinct=not bag)
     known = lookup_join(
-        occurrences,
+        words,
         model.words.select("word", "n_seen", "log_p1", "log_p0"),
         "word",
         "n_seen",

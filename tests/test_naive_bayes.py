@@ -45,6 +45,12 @@ def test_toy_posts_with_ready_words(spark):
     assert table["stupid"]["log_p1"] == pytest.approx(-1.6582280766, abs=1e-9)
     assert table["stupid"]["log_p0"] == pytest.approx(-3.2580965380, abs=1e-9)
     assert table["my"]["log_p0"] == pytest.approx(-1.8718021769, abs=1e-9)
+    entries = [(1, "love my dalmation"), (2, "stupid garbage")]
+    asked = spark.createDataFrame([(i, w) for i, text in entries for w in text.split()], "doc_id INT, word STRING")
+    scored = nb.score(spark.createDataFrame(entries, "doc_id INT, text STRING"), model, words=asked)
+    got = {r["doc_id"]: (r["score0"], r["score1"], r["predicted"]) for r in scored.collect()}
+    assert got[1] == (pytest.approx(-7.6948480724, abs=1e-9), pytest.approx(-9.8267144937, abs=1e-9), 0)
+    assert got[2] == (pytest.approx(-7.2093402566, abs=1e-9), pytest.approx(-4.7027505145, abs=1e-9), 1)
 
 
 @pytest.mark.parametrize("bag", [True, False])
@@ -114,6 +120,13 @@ def test_counts_add_up_over_parts(spark, posts):
         assert (n1, n0) == tuple(a + b for a, b in zip(low.get(word, (0, 0)), high.get(word, (0, 0))))
 
 
+def test_scores_do_not_depend_on_row_order(posts):
+    turned = posts.orderBy(F.desc("doc_id")).repartition(5)
+    a, b = (sorted(nb.score(posts, train_all(rows)).collect()) for rows in (posts, turned))
+    for left, right in zip(a, b):
+        assert tuple(left) == pytest.approx(tuple(right))
+
+
 def test_save_and_load(spark, posts, tmp_path):
     model = train_all(posts)
     model.save(str(tmp_path / "model"))

@@ -66,6 +66,13 @@ def test_gram_product_equals_all_products(spark, dims):
     assert got == pytest.approx((x @ x.T) @ c)
 
 
+def test_scaled_values_lie_between_zero_and_one(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1e6, 500)], "a DOUBLE")
+    scaled = scaling.minmax_apply(df, scaling.minmax_stats(df, ["a"]), ["a"])
+    assert tuple(scaled.agg(F.min("a"), F.max("a")).first()) == (0.0, 1.0)
+
+
 def test_minmax(spark):
     df = spark.createDataFrame([(0.0, 7, 1.0), (10.0, 7, 3.0)], "a DOUBLE, b INT, c DOUBLE")
     stats = scaling.minmax_stats(df, ["a", "b"])

@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statloom import schemas
@@ -56,6 +58,15 @@ def test_entropy_and_gain_of_lenses(lenses):
     assert gains == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from("pqr"), st.sampled_from("xyz")), min_size=1, max_size=30))
+def test_gain_lies_between_zero_and_entropy(spark, rows):
+    df = spark.createDataFrame(rows, "f STRING, g STRING, label STRING")
+    whole = impurity.entropy(df).first()["entropy"]
+    for r in impurity.information_gain(df, ["f", "g"]).collect():
+        assert 0 <= r["gain"] <= whole + 1e-9 and r["base_entropy"] == pytest.approx(whole, abs=1e-9)
+
+
 def test_pure_and_empty_entropy(spark):
     df = spark.createDataFrame([("a",), ("a",)], "label STRING")
     assert tuple(impurity.entropy(df).first()) == (2, 0.0)
