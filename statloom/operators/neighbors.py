@@ -33,6 +33,8 @@ PIVOT_BYTES = 8 << 20
 PIVOT_SEED = 1
 # Sending a copy of a row to a block costs about as much as this many distances.
 COPY_COST = 500
+# Fixed value: spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
 # Distances held at a time.
 TILE = 1 << 20
 
@@ -206,10 +208,12 @@ def _pruned_neighbors(
 ) -> DataFrame:
     spark = train.sparkSession
     pivots = _pivots(train, rows, k, dims)
-    # Of equal points only the k smallest ids can be neighbours; copies go early.
-    same = Window.partitionBy("x").orderBy("tid")
-    single = train.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
-    placed = materialize(_with_cell(single, pivots, dims), "knn-cells")
+    if k < GROUP_LIMIT:
+        # Of equal points only the k smallest ids can be neighbours.  Spark drops
+        # the other copies before the shuffle for limits below GROUP_LIMIT.
+        same = Window.partitionBy("x").orderBy("tid")
+        train = train.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
+    placed = materialize(_with_cell(train, pivots, dims), "knn-cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
     radius[cells["cell"]] = cells["radius"]

@@ -47,6 +47,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows as part of the plan itself, so that reading them takes no job."""
     fields = T.StructType.fromDDL(schema)
+    if not rows:
+        return spark.createDataFrame([], fields)
     columns = {f.name: [row[i] for row in rows] for i, f in enumerate(fields)}
     return spark.createDataFrame(pa.table(columns), fields)
 

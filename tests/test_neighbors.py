@@ -77,6 +77,19 @@ def test_more_neighbours_than_rows(spark, method):
     assert nb.classify(q, t, 5, method=method).collect() == [(0, 7)]
 
 
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_no_queries(spark, method):
+    q, t = frame(spark, "qid", [[0.0]]), frame(spark, "tid", [[1.0]], [7])
+    assert nb.neighbors(q.where("qid < 0"), t, 3, method=method).count() == 0
+
+
+def test_copies_kept_when_many_neighbours_are_asked(spark, monkeypatch):
+    monkeypatch.setattr(nb, "GROUP_LIMIT", 0)
+    x = clustered(np.random.default_rng(8), 120, 2)
+    q, t = frame(spark, "qid", x[:20]), frame(spark, "tid", x, [0] * 120)
+    assert found(nb.neighbors(q, t, 50, method="pruned", block_rows=16)) == brute(x[:20], x, 50)
+
+
 def test_no_training_rows(spark):
     q, t = frame(spark, "qid", [[0.0]]), frame(spark, "tid", [[1.0]], [7])
     assert nb.neighbors(q, t.where("tid < 0"), 3).count() == 0
