@@ -85,10 +85,12 @@ def split_scores(rows: DataFrame, features: Sequence[str], node: str = "node_id"
 
 def information_gain(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Gain and conditional entropy of ``label`` for each feature."""
-    rows = df.select(F.lit("/").alias("node_id"), *features, F.col(label).alias("label"), F.lit(1).cast("bigint").alias("n"))
+    columns = [F.col(sql.name(f)).alias(f"_f{i}") for i, f in enumerate(features)]
+    one = F.lit(1).cast("bigint").alias("n")
+    rows = df.select(F.lit("/").alias("node_id"), *columns, F.col(sql.name(label)).alias("label"), one)
     names = F.array(*[F.lit(f) for f in features])
     return (
-        split_scores(rows, features)
+        split_scores(rows, [f"_f{i}" for i in range(len(features))])
         .select("n_rows", "base_entropy", F.inline("gains"))
         .select(
             "idx",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import sql
+
 BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 4096
 HOT_KEY_BYTES = 1024
@@ -34,7 +36,7 @@ def lookup_join(
     broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     hot_keys = HOT_KEYS if hot_keys is None else hot_keys
     widths = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
+        F.coalesce(F.octet_length(sql.name(f.name)), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8)
         for f in right.schema.fields
     ]
     size, total = right.agg(
@@ -42,7 +44,7 @@ def lookup_join(
         F.coalesce(F.sum(weight), F.lit(0)),
     ).first()
     table = right if how != "left_semi" else right.select(on)
-    columns = [*left.columns, *(c for c in table.columns if c != on)]
+    columns = [sql.name(c) for c in [*left.columns, *(c for c in table.columns if c != on)]]
     if size <= broadcast_bytes:
         return left.join(F.broadcast(table), on, how).select(columns)
     is_hot = (F.col(weight) * hot_keys >= total) & (F.octet_length(on) <= HOT_KEY_BYTES)
@@ -50,7 +52,7 @@ def lookup_join(
     cold = right.where(~(is_hot & (F.col(weight) > 0)))
     hot_table, cold_table = (hot, cold) if how != "left_semi" else (hot.select(on), cold.select(on))
     near = left.join(F.broadcast(hot_table), on, "inner" if how == "left" else how)
-    hashed = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    hashed = [sql.name(f.name) for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").withColumn("_salt", salt)
     copies = cold_table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -31,32 +31,37 @@ def _unescaped(text: str) -> str:
     return f"replace(replace(replace({text}, '%3D', '='), '%2F', '/'), '%25', '%')"
 
 
-def _child_id(features: Sequence[str]) -> Column:
-    """Path of the child a row goes to, from its node's ``split_feature``."""
-    picked = " ".join(f"WHEN {sql.text(f)} THEN CAST({sql.name(f)} AS STRING)" for f in features)
-    value = f"coalesce({_escaped(f'CASE split_feature {picked} END')}, '{MISSING}')"
-    return F.expr(f"concat(node_id, {_escaped('split_feature')}, '=', {value}, '/')")
+def _child_id(columns: dict[str, str], node: str, split: str) -> Column:
+    """Path of the child a row goes to, from its node's path and split feature.
+
+    ``columns`` tells which column holds a feature.
+    """
+    picked = " ".join(f"WHEN {sql.text(f)} THEN CAST({sql.name(c)} AS STRING)" for f, c in columns.items())
+    value = f"coalesce({_escaped(f'CASE {split} {picked} END')}, '{MISSING}')"
+    return F.expr(f"concat({node}, {_escaped(split)}, '=', {value}, '/')")
 
 
-def _level_nodes(rows: DataFrame, features: Sequence[str], depth: int, max_depth: int | None, min_rows: int) -> DataFrame:
+def _level_nodes(
+    rows: DataFrame, columns: dict[str, str], depth: int, max_depth: int | None, min_rows: int
+) -> DataFrame:
     """Node rows of one level, with ``m`` input rows and ``n_children``."""
     # The highest gain, rounded so that equal gains tie, then the first feature.
     top = (
         "array_max(transform(gains, g -> struct(round(g.gain, 9) AS rounded, -g.idx AS minus_idx, "
         "g.gain AS gain, g.n_values AS n_values)))"
     )
-    scores = split_scores(rows, features).withColumn("top", F.expr(top))
+    scores = split_scores(rows, list(columns.values())).withColumn("top", F.expr(top))
     if max_depth is not None and depth >= max_depth:
         split = "false"
     else:
         split = f"(top.rounded > {MIN_GAIN}D AND n_labels > 1 AND n_rows >= {min_rows})"
-    names = f"array({', '.join(sql.text(f) for f in features)})"
+    names = f"array({', '.join(sql.text(f) for f in columns)})"
     edge = "regexp_extract(node_id, '([^/]+)/$', 1)"
     value = f"substring_index({edge}, '=', -1)"
     has_edge = "true" if depth else "false"
     return scores.selectExpr(
         "node_id",
-        f"CASE WHEN {has_edge} THEN regexp_extract(node_id, '^(.*/)[^/]+/$', 1) END AS parent_id",
+        f"CASE WHEN {has_edge} THEN regexp_extract(node_id, '(?s)^(.*/)[^/]+/$', 1) END AS parent_id",
         f"{depth} AS depth",
         f"CASE WHEN {has_edge} THEN {_unescaped(f'substring_index({edge}, {sql.text("=")}, 1)')} END AS edge_feature",
         f"CASE WHEN {has_edge} AND {value} <> '{MISSING}' THEN {_unescaped(value)} END AS edge_value",
@@ -91,14 +96,15 @@ def train(
     a stored table.
     """
     driver_nodes = DRIVER_NODES if driver_nodes is None else driver_nodes
-    columns = [F.col(f).cast("string").alias(f) for f in features]
-    cells = df.select(*columns, F.col(label).cast("string").alias("label"))
-    cells = cells.groupBy(*features, "label").agg(F.count("*").alias("n"))
+    columns = {f: f"_f{i}" for i, f in enumerate(features)}
+    texts = [F.col(sql.name(f)).cast("string").alias(c) for f, c in columns.items()]
+    cells = df.select(*texts, F.col(sql.name(label)).cast("string").alias("label"))
+    cells = cells.groupBy(*columns.values(), "label").agg(F.count("*").alias("n"))
     rows = materialize(cells, "tree-cells").withColumn("node_id", F.lit("/"))
     levels: list[DataFrame] = []
     depth, n_nodes = 0, 1
     while True:
-        level = _level_nodes(rows, features, depth, max_depth, min_rows)
+        level = _level_nodes(rows, columns, depth, max_depth, min_rows)
         if n_nodes <= driver_nodes:
             level, found = _as_literals(level)
             n_nodes = sum(node["n_children"] for node in found)
@@ -109,7 +115,7 @@ def train(
         if not n_nodes:
             return reduce(DataFrame.unionByName, levels)
         rows = _at_split(rows, level, found, broadcast_bytes)
-        rows = rows.withColumn("node_id", _child_id(features)).drop("split_feature")
+        rows = rows.withColumn("node_id", _child_id(columns, "node_id", "split_feature")).drop("split_feature")
         depth += 1
 
 
@@ -144,7 +150,7 @@ def compile_tree(nodes: Sequence, on_unseen: str = "null") -> Column:
     def build(node) -> Column:
         if node["is_leaf"]:
             return F.lit(node["label"])
-        here = F.col(node["split_feature"]).cast("string")
+        here = F.col(sql.name(node["split_feature"])).cast("string")
         result = F
         for child in sorted(children[node["node_id"]], key=lambda c: (c["edge_value"] is None, c["edge_value"])):
             meets = here.isNull() if child["edge_value"] is None else here == F.lit(child["edge_value"])
@@ -177,32 +183,34 @@ def classify(
     root = nodes.where("depth = 0").first()
     rows = df.withColumns(
         {
-            "node_id": F.lit("/"),
-            "split_feature": F.lit(root["split_feature"]),
-            "node_label": F.lit(root["label"]),
-            "is_leaf": F.lit(root["is_leaf"]),
+            "_node": F.lit("/"),
+            "_split": F.lit(root["split_feature"]),
+            "_label": F.lit(root["label"]),
+            "_leaf": F.lit(root["is_leaf"]),
         }
     )
-    open_row = F.col("split_feature").isNotNull()
+    columns = {f: f for f in features}
+    own = [F.col(sql.name(c)) for c in df.columns]
     for level in range(1, depth + 1):
         edges = nodes.where(F.col("depth") == level).select(
-            F.col("node_id").alias("step"),
-            F.col("split_feature").alias("next_feature"),
-            F.col("label").alias("next_label"),
-            F.col("is_leaf").alias("next_leaf"),
-            "n_rows",
+            F.col("node_id").alias("_step"),
+            F.col("split_feature").alias("_next_split"),
+            F.col("label").alias("_next_label"),
+            F.col("is_leaf").alias("_next_leaf"),
+            F.col("n_rows").alias("_n_rows"),
         )
         # A finished row looks for a step that no node has, spread by its content.
-        done = F.concat(F.lit("done:"), F.xxhash64(*df.columns).cast("string"))
-        rows = rows.withColumn("step", F.when(open_row, _child_id(features)).otherwise(done))
-        rows = lookup_join(rows, edges, "step", "n_rows", "left", broadcast_bytes)
-        moved = F.col("next_leaf").isNotNull()
+        done = F.concat(F.lit("done:"), F.xxhash64(*own).cast("string"))
+        is_open = F.col("_split").isNotNull()
+        rows = rows.withColumn("_step", F.when(is_open, _child_id(columns, "_node", "_split")).otherwise(done))
+        rows = lookup_join(rows, edges, "_step", "_n_rows", "left", broadcast_bytes)
+        moved = F.col("_next_leaf").isNotNull()
         rows = rows.select(
-            *df.columns,
-            F.when(moved, F.col("step")).otherwise(F.col("node_id")).alias("node_id"),
-            F.when(moved, F.col("next_feature")).alias("split_feature"),
-            F.when(moved, F.col("next_label")).otherwise(F.col("node_label")).alias("node_label"),
-            F.when(moved, F.col("next_leaf")).otherwise(F.col("is_leaf")).alias("is_leaf"),
+            *own,
+            F.when(moved, F.col("_step")).otherwise(F.col("_node")).alias("_node"),
+            F.when(moved, F.col("_next_split")).alias("_split"),
+            F.when(moved, F.col("_next_label")).otherwise(F.col("_label")).alias("_label"),
+            F.when(moved, F.col("_next_leaf")).otherwise(F.col("_leaf")).alias("_leaf"),
         )
-    answer = F.col("node_label") if on_unseen == "majority" else F.when(F.col("is_leaf"), F.col("node_label"))
-    return rows.select(*df.columns, answer.alias("predicted"))
+    answer = F.col("_label") if on_unseen == "majority" else F.when(F.col("_leaf"), F.col("_label"))
+    return rows.select(*own, answer.alias("predicted"))

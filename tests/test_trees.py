@@ -167,6 +167,22 @@ def test_values_with_path_characters_and_missing_values(spark):
         assert scored.where("label <> predicted or predicted is null").count() == 0
 
 
+def test_features_may_have_any_name(spark):
+    names = ["n", "label", "n_rows", "a.b", "it's\\"]
+    rows = [(str(i % 2), str(i % 3), "v\nw" if i % 5 else "x", str(i % 7), str(i % 2), str(i % 6)) for i in range(42)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` STRING" for c in [*names, "y"]))
+    gains = {r["feature"]: r["gain"] for r in impurity.information_gain(df, names, "y").collect()}
+    assert gains["n"] == pytest.approx(1.0) and gains["n_rows"] < 0.1
+    nodes = tree.train(df, names, "y")
+    want = plain_tree(rows, names)
+    assert {r["split_feature"] for r in nodes.collect()} == {split for split, _, _ in want.values()}
+    for compiled in (400, 0):
+        scored = tree.classify(df, nodes, names, compiled_nodes=compiled)
+        assert scored.where("y <> predicted or predicted is null").count() == 0
+    turned = tree.train(df, ["n_rows", "label"], "y")
+    assert turned.where("edge_feature = 'n_rows' and edge_value = 'v\\nw' and parent_id is not null").count() >= 1
+
+
 def test_canned_trees(spark):
     def node(path, split, label=None):
         depth = path.count("/") - 1
