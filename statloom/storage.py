@@ -1,39 +1,35 @@
 """Tables between jobs, and saved models.
 
-Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``,
-under the application's id: a written table survives lost executors, ends the
-lineage and lets the planner see the true size.  Results read these tables, so
-the folder is removed after the application, not by the library.
+Intermediate tables go to the shared folder named by ``spark.checkpoint.dir``
+or, where that is unset, below ``spark.sql.warehouse.dir``, under the
+application's id: a written table survives lost executors, ends the lineage and
+lets the planner see the true size.  Results read these tables, so they stay
+until :func:`remove_intermediate` is called.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_LOCAL_DIRS: dict[str, str] = {}
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    return f"{shared.rstrip('/')}/statloom/{spark.conf.get('spark.app.id', 'session')}"
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.conf.get("spark.app.id", "")
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="statloom-")
-    return _LOCAL_DIRS[app]
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete what this application wrote between jobs; no result that reads it may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.conf.get("spark.app.id", "session")
-    return f"{shared_folder(spark)}/statloom/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

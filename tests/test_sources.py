@@ -1,3 +1,4 @@
+from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ from statloom.plans.documents import spam_evaluation
 from statloom.plans.points import bitmap_evaluation
 from statloom.sources import files
 from statloom.sources.feeds import paired_feeds
-from statloom.storage import shared_folder
+from statloom.storage import materialize, remove_intermediate, work_folder
 from statloom.streaming.scoring import document_stream, score_stream, scored_documents
 
 
@@ -66,8 +67,16 @@ def test_paired_feeds_take_as_many_as_the_shorter(spark):
     assert paired_feeds(docs, "long", "absent").count() == 0
 
 
-def test_shared_folder_is_the_sessions(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_intermediate_tables_go_to_the_sessions_folder_and_can_be_removed(spark):
+    table = materialize(spark.range(3), "probe")
+    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert table.count() == 3
+    elsewhere = spark.newSession()
+    elsewhere.conf.set("spark.checkpoint.dir", spark.conf.get("spark.checkpoint.dir") + "/other")
+    gone = materialize(elsewhere.range(3), "probe").inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    remove_intermediate(elsewhere)
+    assert not Path(gone).exists()
+    assert table.count() == 3
 
 
 @pytest.fixture
