@@ -32,14 +32,13 @@ def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     return store[key]
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """``(node, component)`` for every node with an edge: the smallest node reachable by ``edges (a, b)``.
 
     Every round, each node takes the smallest of its neighbours' components and
     then the component of that component, until nothing changes.  Each round is
     a written table, so lineage stays short and lost executors cost one round.
-    ``nodes`` is ignored but for its session.  Rounds grow with the logarithm of
-    the longest chain, or so.
+    Rounds grow about with the logarithm of the longest chain.
     """
     both = materialize(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),

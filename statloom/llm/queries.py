@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import quality_rules
+from statloom.llm import minhash, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = [op4_quality_rules]
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+QUERIES = [op4_quality_rules, op8_minhash]
 ORACLES: dict[str, str] = {}
