@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from statloom.llm.common import BLANKS, let, words_of
 
 #: Labelled rows read for learning, at most (those with the smallest hashed ids).
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 4_000
 #: A rule must be right on this share of the documents it rejects.
 PRECISION = 0.98
 MAX_RULES = 12
@@ -38,10 +38,10 @@ def _repeat_words(hashes: Column) -> Column:
     """Words covered by windows of five words that occur twice or more in the text."""
 
     def covered(windows: Column) -> Column:
-        placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = let(
             placed,
-            lambda s: F.array_sort(
+            lambda s: F.sort_array(
                 F.transform(
                     F.filter(
                         s,
@@ -70,32 +70,33 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def _removed(text: Column, characters: str) -> Column:
-    """How many of ``characters`` the text holds."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """How many of ``characters`` the text holds; most texts hold none, which one search tells."""
+    some = F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.when(text.rlike("[" + characters.replace("&", "\\&") + "]"), some).otherwise(0).cast("long")
 
 
-def text_statistics(docs: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
-    """Add the struct column ``name``: counts over each whole text.  A null text counts as empty."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def statistics(text: Column) -> Column:
+    """A struct of counts over a whole text.  A null text counts as empty."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
-    hashes = F.transform(words_of(body), lambda w: F.xxhash64(w))
 
-    def counts(h: Column) -> Column:
+    def counts(words: Column, h: Column) -> Column:
         return F.struct(
             F.size(h).cast("long").alias("n_words"),
-            F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _removed(body, SYMBOLS).alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeat_words(h).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
             F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
             F.size(F.filter(h, lambda x, i: F.coalesce(x == F.get(h, i - 1), F.lit(False)))).cast("long").alias("n_echoes"),
-            (F.length(body) - F.length(F.regexp_replace(body, "\\p{Lu}", ""))).cast("long").alias("n_upper"),
+            F.size(F.regexp_extract_all(body, F.lit("\\p{Lu}{2}"), 0)).cast("long").alias("n_upper"),
             _removed(body, "!?").alias("n_marks"),
             _removed(body, "0123456789").alias("n_digits"),
         )
 
-    return docs.withColumn(name, let(hashes, counts))
+    hashed = lambda words: let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: counts(words, h))
+    return let(words_of(body), hashed)
 
 
 def shares(s: Column) -> dict[str, Column]:
@@ -219,11 +220,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
         .limit(TRAINING_ROWS)
     )
     known = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(F.broadcast(chosen), "_id")
-    measured = text_statistics(known).where(~base_failed(F.col("statistics")))
-    columns = shares(F.col("statistics"))
-    rows = measured.select("_at", "_id", "_quality", *(columns[c].alias(c) for c in SHARES)).collect()
-    rows.sort(key=lambda r: tuple(r))
-    x = np.array([r[3:] for r in rows], float).reshape(-1, len(SHARES))
+    measured = known.select("_at", "_id", "_quality", statistics(F.col("text")).alias("s"))
+    columns = shares(F.col("s"))
+    rows = measured.select("_at", "_id", "_quality", base_failed(F.col("s")).alias("failed"), *(columns[c].alias(c) for c in SHARES)).collect()
+    rows = sorted(tuple(r) for r in rows if not r["failed"])
+    x = np.array([r[4:] for r in rows], float).reshape(-1, len(SHARES))
     return x, np.array([r[2] == 0 for r in rows], bool)
 
 
@@ -239,25 +240,23 @@ def rejected_by(rules: list[Rule], s: Column) -> Column:
     return found
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``statistics``, ``base_failed``, ``rule`` (first rule that rejects) and ``kept``."""
-    rules = learn_rules(*training_rows(docs, labels))
-    s = F.col("statistics")
-    return text_statistics(docs).withColumns(
-        {"base_failed": base_failed(s), "rule": rejected_by(rules, s), "kept": ~base_failed(s) & rejected_by(rules, s).isNull()}
-    )
-
-
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: base statistics, ``base_failed`` and ``kept``."""
+    """One row per document: base statistics, ``base_failed``, ``kept`` and ``rule``, the first rule that rejects."""
+    rules = learn_rules(*training_rows(docs, labels))
+    s = F.col("s")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    found = judged(docs.select("doc_id", "text"), labels)
-    return found.select("doc_id", *(F.col("statistics")[c].alias(c) for c in base), "base_failed", "kept", "rule")
+    rule = rejected_by(rules, s)
+    return docs.select("doc_id", statistics(F.col("text")).alias("s")).select(
+        "doc_id",
+        *(s[c].alias(c) for c in base),
+        base_failed(s).alias("base_failed"),
+        (~base_failed(s) & rule.isNull()).alias("kept"),
+        rule.alias("rule"),
+    )
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, that no rule rejects."""
     rules = learn_rules(*training_rows(docs, labels))
-    marked = text_statistics(docs, name="_statistics")
-    s = F.col("_statistics")
-    return marked.where(~base_failed(s) & rejected_by(rules, s).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # One expression, so that the statistics are computed once for it.
+    return docs.where(let(statistics(F.col("text")), lambda s: ~base_failed(s) & rejected_by(rules, s).isNull()))

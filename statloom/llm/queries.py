@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import minhash, quality_rules
+from statloom.llm import minhash, packing, pii, quality_rules, substrings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,5 +19,17 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = [op4_quality_rules, op8_minhash]
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.substring_dedup(_table(spark, folder, "documents"))
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(_table(spark, folder, "documents"))
+
+
+QUERIES = [op1_best_fit_packing, op4_quality_rules, op5_substring_dedup, op8_minhash, op10_pii]
 ORACLES: dict[str, str] = {}
