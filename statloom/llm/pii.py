@@ -58,6 +58,7 @@ GENERATORS = {
     ),
 }
 
+KINDS = ["email", "ip", "card", "phone"]
 SPAN = "struct<start:int,end:int,s:string,before:string>"
 FEATURES = ["generator", "size", "digits", "letters", "capitals", "others", "past_f", "varied", "keyed", "contact", "luhn"]
 _KEY_NAME = r"(?i)(?:token|key|secret|passw|credential|auth)[^A-Za-z0-9]*$"
@@ -235,8 +236,11 @@ def learn(docs: DataFrame) -> Model:
         f = _features(kind, x)
         return F.struct(f.alias("f"), sure.alias("sure"), x["start"].alias("start"))
 
+    def examples_of(kind: str) -> Column:
+        return F.transform(f"of_{kind}", lambda x: example(kind, x))
+
     listed = some.select("at", flat.alias("fixed"), *(a.alias(f"of_{kind}") for kind, a in offers.items()))
-    examples = F.flatten(F.array(*(F.transform(f"of_{kind}", lambda x, kind=kind: example(kind, x)) for kind in GENERATORS)))
+    examples = F.flatten(F.array(*(examples_of(kind) for kind in GENERATORS)))
     rows = listed.select("at", F.explode(examples).alias("e")).select("at", "e.*")
     told = rows.where((F.col("sure")) | (F.col("f.keyed") == 1) | (F.col("f.digits") == 0))
     sampled = told.select(F.xxhash64("at", "start").alias("order"), *(F.col("f")[c].alias(c) for c in FEATURES), (F.col("sure") | (F.col("f.keyed") == 1)).alias("y"))
@@ -255,30 +259,26 @@ def all_spans(text: Column, model: Model) -> Column:
 
     def with_proposals(b: Column) -> Column:
         """Proposals are scored only where they reach beyond what is found already."""
-        columns = [b[kind].alias(kind) for kind in ("email", "ip", "card", "phone")]
-        for kind, offered in proposals(body).items():
-            threshold = model.thresholds.get(kind, float("inf"))
-            if threshold == float("inf"):
-                continue
-
-            def fits(x: Column, kind: str = kind, threshold: float = threshold) -> Column:
+        def selected(kind: str, offered: Column) -> Column:
+            def fits(x: Column) -> Column:
                 inside = F.lit(False)
-                for base in ("email", "ip", "card", "phone"):
+                for base in KINDS:
                     inside |= F.exists(b[base], lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]))
-                return ~inside & let(_features(kind, x), lambda f: model.score(f) > threshold)
+                return ~inside & let(_features(kind, x), lambda f: model.score(f) > model.thresholds[kind])
 
-            columns.append(F.transform(F.filter(offered, fits), plain).alias(kind))
-        return F.struct(*columns)
-
-    return let(fixed, with_proposals)
+            return F.transform(F.filter(offered, fits), plain)
 
+        used = {kind: a for kind, a in proposals(body).items() if model.thresholds.get(kind, np.inf) < np.inf}
+        return F.struct(*(b[kind].alias(kind) for kind in KINDS), *(selected(kind, a).alias(kind) for kind, a in used.items()))
 
-KINDS = ["email", "ip", "card", "phone"]
+    return let(fixed, with_proposals)
 
 
 def _written(found: Column, kinds: list[str]) -> Column:
-    parts = [F.transform(found[k], lambda x, k=k: F.concat(F.lit(f"{k}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))) for k in kinds]
-    return F.concat_ws(",", F.concat(*parts))
+    def of(kind: str) -> Column:
+        return F.transform(found[kind], lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+
+    return F.concat_ws(",", F.concat(*(of(kind) for kind in kinds)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -297,9 +297,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def _redacted(text: Column, found: Column, kinds: list[str]) -> Column:
     """``text`` with every span replaced by its kind; spans that overlap become one."""
-    tagged = F.array_sort(
-        F.concat(*(F.transform(found[k], lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k.upper()).alias("kind"))) for k in kinds))
-    )
+
+    def of(kind: str) -> Column:
+        return F.transform(found[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind.upper()).alias("kind")))
+
+    tagged = F.sort_array(F.concat(*(of(kind) for kind in kinds)))
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]

@@ -248,29 +248,72 @@ def _walk_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _covered(starts: list[int], lengths: list[int], n: int) -> np.ndarray:
-    """Which of ``n`` words the windows cover; a run of ``length`` windows covers ``length + 34`` words."""
+def _covered(runs: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words the windows cover.  A run is ``length << 32 | first window`` and covers ``length + 34`` words."""
     step = np.zeros(n + 1, np.int64)
-    first = np.minimum(np.asarray(starts, np.int64), n)
+    first = np.minimum(runs & 0xFFFFFFFF, n)
     np.add.at(step, first, 1)
-    np.add.at(step, np.minimum(first + np.asarray(lengths, np.int64) + WINDOW - 1, n), -1)
+    np.add.at(step, np.minimum(first + (runs >> 32) + WINDOW - 1, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
+def _key() -> dict[str, Column]:
+    """A row's key: its id and a hash of its text, as ids may repeat or lack."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return {"d": F.coalesce(F.col("doc_id"), F.lit(_NO_ID)), "t": F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF))}
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``(original, d, t)``.  Both joins below move exactly these columns, so that Spark moves the texts once."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("original"), *(key.alias(name) for name, key in _key().items()))
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return pc.struct_field(batch.column("original"), "text")
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """``(d, t, runs)``: runs of repeated windows by document."""
+    slim = docs.select("doc_id", "text").where("text IS NOT NULL").withColumns(_key()).select("text", "d", "t")
+    survey = materialize(slim.mapInArrow(_survey, SURVEYED), "suffix-survey")
+    anchors = survey.where("kind = 0")
+    suffixes = survey.where("kind = -1").agg(F.sum("p").alias("n")).first()["n"] or 0
+    often = survey.where("kind > 0").groupBy("kind", "value").agg(F.sum("p").alias("p")).where(F.col("p") > HOT_SHARE / 2 * suffixes)
+    frequent = often.select("kind", "value").collect()
+    hot = {level: np.array([r["value"] for r in frequent if r["kind"] == level], np.int64) for level in LEVELS}
+    # Equal texts: 1 stands for the rest, 2 is one of the rest.
+    digests = materialize(
+        slim.select("d", "t", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y"), F.length("text").alias("z")), "suffix-texts"
+    )
+    same = digests.groupBy("x", "y", "z").agg(F.count("*").alias("copies"), F.min(F.struct("d", "t")).alias("one")).where("copies > 1")
+    first = (F.col("d") == F.col("one.d")) & (F.col("t") == F.col("one.t"))
+    roles = digests.join(materialize(same, "suffix-copies"), ["x", "y", "z"]).select("d", "t", F.when(first, 1).otherwise(2).alias("role"))
+    roles = roles.groupBy("d", "t").agg(F.min("role").alias("role"))
+    repeated = materialize(anchors.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value"), "suffix-anchors")
+    places = anchors.join(repeated, "value", "left_semi").groupBy("d", "t").agg(F.collect_list("p").alias("places"))
+    wanted = materialize(places.join(roles, ["d", "t"], "left"), "suffix-places")
+
+    rows = _keyed(docs).join(wanted, ["d", "t"]).mapInArrow(_suffix_rows(hot), SUFFIXES)
+    trees = rows.repartition("key").sortWithinPartitions("key", "a", "b", "c")
+    found = trees.mapInArrow(_walk_trees, PASSAGES)
+    run = F.shiftleft(F.col("length").cast("long"), 32).bitwiseOR(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return found.select("d", F.shiftright("at", 32).cast("int").alias("t"), run.alias("run")).groupBy("d", "t").agg(F.collect_list("run").alias("runs"))
+
+
 def _cut(kept_text: bool):
     """A task that removes the covered words; returns counts and the digest, or the text that is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, results = [], [], []
-            column, at_list, length_list = _texts(batch), batch.column("starts"), batch.column("lengths")
+            column, runs = _texts(batch), batch.column("runs")
             for row in range(batch.num_rows):
                 text = column[row].as_py()
                 words = (text or "").encode().split()
-                starts = at_list[row].as_py()
                 gone, kept = 0, words
-                if starts:
-                    covered = _covered(starts, length_list[row].as_py(), len(words))
+                if runs[row].is_valid:
+                    covered = _covered(runs[row].values.to_numpy(), len(words))
                     gone = int(covered.sum())
                     kept = [words[i] for i in np.flatnonzero(~covered)]
                 total.append(len(words))
@@ -286,7 +329,7 @@ def _cut(kept_text: bool):
 
 
 def _cut_rows(docs: DataFrame, kept_text: bool) -> DataFrame:
-    joined = _keyed(docs).join(_passages(docs), ["d", "t"], "left").select("original", "starts", "lengths")
+    joined = _keyed(docs).join(_passages(docs), ["d", "t"], "left").select("original", "runs")
     kind = joined.schema["original"].dataType.simpleString()
     return joined.mapInArrow(_cut(kept_text), f"original {kind}, n_words long, n_removed long, result string")
 
