@@ -35,8 +35,9 @@ from statloom.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of the linear program, share of a length that a round covers, how fast covered lengths lose their price.
-ROUNDS, STEP, FALL, SLACK = 60, 0.02, 6.0, 0.01
+#: Rounds of the linear program, share of a length that a round covers, how fast covered lengths lose their price, how
+#: far below the best a configuration may be priced, lengths priced in a round.
+ROUNDS, STEP, FALL, SLACK, BLOCK = 100, 0.4, 0.5, 0.01, 256
 #: Configurations kept for rounding; the rest of the fractional solution goes to best fit.
 SUPPORT = 16_384
 #: Encoded words kept by a worker, and the longest kept.
@@ -119,44 +120,51 @@ def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np
         k = fits[room]
         if k:
             offers = best[room - lengths[:k]] + price[:k]
-            i = int(offers.argmax())
+            i = k - 1 - int(offers[::-1].argmax())  # of equals the longest
             if offers[i] > best[room]:
                 best[room], taken[room] = offers[i], i
     return best, taken
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[Config, float]:
-    """A nearly optimal fractional solution of the configuration linear program; no length is covered more than once."""
+    """A fractional solution of the configuration linear program; no length is covered more than once.
+
+    Each round prices the ``BLOCK`` least covered lengths and a draw of others.
+    """
     covered = np.zeros(len(lengths))
     solution: dict[Config, float] = {}
-    for turn in range(ROUNDS):
-        price = lengths / capacity * np.exp(-FALL * (covered - covered.min()))
-        best, taken = _knapsack(lengths, price, capacity)
-        worth = price + best[capacity - lengths]
-        limit = (turn + 1) * STEP
-        near = np.flatnonzero((worth >= (1 - SLACK) * best[capacity]) & (covered < limit))
-        for i in near[::-1]:
-            if covered[i] >= limit:
+    draw = np.random.default_rng(4096)
+    for _ in range(ROUNDS):
+        if covered.min() >= 1:
+            break
+        block = np.argsort(covered, kind="stable")[:BLOCK]
+        block = np.unique(np.concatenate([block, draw.integers(0, len(lengths), BLOCK // 4)]))
+        size, number, done = lengths[block], counts[block], covered[block]
+        price = size / capacity * np.exp(-FALL * (done - done.min()))
+        best, taken = _knapsack(size, price, capacity)
+        worth = price + best[capacity - size]
+        limit = done.min() + STEP
+        for i in np.flatnonzero(worth >= (1 - SLACK) * best[capacity])[::-1]:
+            if done[i] >= limit:
                 continue
-            config, room = {int(i): 1}, int(capacity - lengths[i])
+            config, room = {int(i): 1}, int(capacity - size[i])
             while room > 0:
                 j = int(taken[room])
                 if j < 0:
                     room -= 1
                 else:
                     config[j] = config.get(j, 0) + 1
-                    room -= int(lengths[j])
+                    room -= int(size[j])
             members = np.array(list(config))
-            times = np.array(list(config.values()))
-            share = times / counts[members]
-            # A step that takes no length far beyond this round's share.
-            amount = float(((limit + STEP - covered[members]) / share).min())
-            amount = min(amount, float((STEP / share).min()))
+            share = np.array(list(config.values())) / number[members]
+            # A step that takes no length much beyond this round's share.
+            amount = float(((limit + STEP - done[members]) / share).min())
             if amount <= 0:
                 continue
-            covered[members] += amount * share
-            key = tuple(sorted((int(lengths[j]), t) for j, t in config.items()))
+            done[members] += amount * share
+            key = tuple(sorted((int(size[j]), t) for j, t in config.items()))
             solution[key] = solution.get(key, 0.0) + amount
+        covered[block] = done
     most = covered.max(initial=0.0)
     return {c: v / most for c, v in solution.items()} if most > 0 else {}
 
