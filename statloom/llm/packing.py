@@ -38,6 +38,8 @@ END_ID = 1
 #: Rounds of the linear program, share of a length that a round covers, how fast covered lengths lose their price, how
 #: far below the best a configuration may be priced, lengths priced in a round.
 ROUNDS, STEP, FALL, SLACK, BLOCK = 100, 0.4, 0.5, 0.01, 256
+#: Parts of the solution that are tried; best fit packs the rest, and needs some short pieces for its gaps.
+PARTS = (1.0, 0.8, 0.5, 0.25, 0.1, 0.0)
 #: Configurations kept for rounding; the rest of the fractional solution goes to best fit.
 SUPPORT = 16_384
 #: Encoded words kept by a worker, and the longest kept.
@@ -200,13 +202,13 @@ def _best_fit(left: dict[int, int], open_bins: list[tuple[Config, int]], capacit
     return [entry for entries in by_room.values() for entry in entries]
 
 
-def _rounded(solution: dict[Config, float], left: dict[int, int]) -> list[tuple[Config, int]]:
-    """Whole numbers of configurations: first rounded down, then once more each where pieces remain."""
+def _rounded(solution: dict[Config, float], left: dict[int, int], part: float) -> list[tuple[Config, int]]:
+    """``part`` of the solution in whole numbers: first rounded down, then once more each where pieces remain."""
     kept = sorted(solution.items(), key=lambda e: (-e[1], e[0]))[:SUPPORT]
     used: dict[Config, int] = {}
     for whole in (True, False):
         for config, amount in kept:
-            times = int(amount) if whole else 1
+            times = int(amount * part) if whole else int(amount * part >= 0.5 or part == 1)
             times = min(times, *(left[n] // t for n, t in config))
             if times > 0:
                 used[config] = used.get(config, 0) + times
@@ -223,10 +225,12 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     if rest:
         lengths = np.array(sorted(rest))
         counts = np.array([rest[n] for n in sorted(rest)], float)
-        left = dict(rest)
-        from_program = _rounded(fractional(lengths, counts, capacity), left)
-        tries = [_best_fit(left, from_program, capacity), _best_fit(rest, [], capacity)]  # rounding all to nothing, too
-        plan += min(tries, key=lambda p: sum(t for _, t in p))
+        solution = fractional(lengths, counts, capacity)
+        tries = []
+        for part in PARTS:
+            left = dict(rest)
+            tries.append(_best_fit(left, _rounded(solution, left, part), capacity))
+        plan += min(tries, key=lambda p: sum(t for _, t in p))  # of equals the one that keeps most of the solution
     return plan
 
 

@@ -4,32 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import minhash, packing, pii, quality_rules, substrings
+from statloom.llm import embeddings, html, minhash, packing, pii, quality_knn, quality_rules, substrings, unigram
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
 
 
-def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, folder, "documents"))
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(_table(spark, folder, "pages"))
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_knn.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_dedup(_table(spark, folder, "documents"))
 
 
-def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(_table(spark, folder, "documents"))
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, folder, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(_table(spark, folder, "documents"))
+
+
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.round_trips(_table(spark, folder, "documents"))
 
 
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
-QUERIES = [op1_best_fit_packing, op4_quality_rules, op5_substring_dedup, op8_minhash, op10_pii]
+QUERIES = [
+    op1_best_fit_packing, op2_html_extraction, op3_quality_classifier, op4_quality_rules, op5_substring_dedup, op6_embedding_dedup,
+    op7_token_counts, op8_minhash, op9_sentencepiece, op10_pii,
+]
 ORACLES: dict[str, str] = {}
