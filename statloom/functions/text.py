@@ -31,6 +31,22 @@ def blank_separated(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(NON_BLANK), F.lit(0))
 
 
+def counted_words(text: Column | str) -> Column:
+    """Distinct lower-cased words with their occurrences, as an array of ``(word, n)``.
+
+    The words are sorted within the row and runs of equal ones are measured.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(ordered, i).alias("word"), (F.coalesce(F.get(s, k + 1), F.size(ordered)) - i).cast("bigint").alias("n")
+        )))[0]
+
+    found = F.transform(F.array(F.sort_array(words(text))), runs)[0]
+    return F.when(F.size(words(text)) > 0, found)
+
+
 def explode_words(docs: DataFrame, *keep: str, text: str = "text", distinct: bool = False) -> DataFrame:
     """One row per word occurrence, or per distinct word of a document.
 

@@ -3,7 +3,7 @@
 ``log_pc(word) = ln((1 + n_c(word)) / (base + total of n_c))``: the vocabulary
 holds the words of all documents, counts come from training documents only, and
 ``base`` is 2 (``plus2``) or the vocabulary size (``vocab``).  Class 0 is
-everything that is not labelled 1.
+everything that is not labelled 1, also rows without a label.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom import schemas
-from statloom.functions.text import explode_words
-from statloom.operators.lookup import lookup_join
+from statloom.functions.text import counted_words, explode_words, words as text_words
+from statloom.operators.lookup import lookup_join, measure
 from statloom.operators.words import top_words, without_words
 from statloom.storage import literal_table, load_model, materialize, save_model
 
@@ -51,7 +51,7 @@ def class_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(
         F.count("*").alias("n_seen"),
         F.count_if(train & (F.col("label") == 1)).alias("n1"),
-        F.count_if(train & (F.col("label") != 1)).alias("n0"),
+        F.count_if(train & ~F.col("label").eqNullSafe(1)).alias("n0"),
     )
 
 
@@ -102,6 +102,23 @@ def _log_prior(p: float | None) -> Column:
     return F.lit(math.log(p) if p > 0 else -math.inf)
 
 
+@dataclass(frozen=True)
+class Measured:
+    """Size and weight of a model's word table, and its prior."""
+
+    table: tuple[int, int]
+    p1: float | None
+
+
+def measured_model(model: NaiveBayesModel) -> Measured:
+    table = model.words.select("word", "n_seen", "log_p1", "log_p0")
+    return Measured(measure(table, "n_seen"), model.prior.first()["p1"])
+
+
+def _once(word: Column) -> Column:
+    return F.struct(word.alias("word"), F.lit(1).cast("bigint").alias("n"))
+
+
 def score(
     docs: DataFrame,
     model: NaiveBayesModel,
@@ -111,27 +128,33 @@ def score(
     keep: tuple[str, ...] = (),
     words: DataFrame | None = None,
     broadcast_bytes: int | None = None,
+    measured: Measured | None = None,
 ) -> DataFrame:
-    """``score1``, ``score0`` and ``predicted`` for each document.
+    """``score1``, ``score0`` and ``predicted`` for each document; ids are unique.
 
-    Words outside the vocabulary drop out; a document left without words still
-    gets the prior.  ``words`` may bring ready rows ``(doc_id, word)`` instead
-    of text.
+    Words are counted within the row, looked up and summed: the documents are
+    read once, and one row per document and distinct word moves.  Words outside
+    the vocabulary drop out; a document left without words still gets the prior.
+    ``words`` may bring ready rows ``(doc_id, word)`` instead of text, and
+    ``measured`` what :func:`measured_model` found, for many calls with one model.
     """
+    measured = measured or measured_model(model)
     if words is None:
-        words = explode_words(docs, doc_id, text=text, distinct=not bag)
-    known = lookup_join(
-        words,
-        model.words.select("word", "n_seen", "log_p1", "log_p0"),
-        "word",
-        "n_seen",
-        broadcast_bytes=broadcast_bytes,
+        listed = counted_words(text) if bag else F.transform(F.array_distinct(text_words(text)), _once)
+        rows = docs.select(doc_id, *keep, F.inline_outer(listed))
+    else:
+        counts = words.groupBy(doc_id, "word").agg(F.count("*").alias("n"))
+        rows = docs.select(doc_id, *keep).join(counts, doc_id, "left")
+    table = model.words.select("word", "n_seen", "log_p1", "log_p0")
+    known = lookup_join(rows, table, "word", "n_seen", "left", broadcast_bytes, measured=measured.table)
+    kept = [F.first(c).alias(c) for c in keep]
+    sums = known.groupBy(doc_id).agg(
+        *kept, F.sum(F.col("n") * F.col("log_p1")).alias("sum1"), F.sum(F.col("n") * F.col("log_p0")).alias("sum0")
     )
-    sums = known.groupBy(doc_id).agg(F.sum("log_p1").alias("sum1"), F.sum("log_p0").alias("sum0"))
-    p1 = model.prior.first()["p1"]
+    p1 = measured.p1
     score1 = F.coalesce("sum1", F.lit(0.0)) + _log_prior(p1)
     score0 = F.coalesce("sum0", F.lit(0.0)) + _log_prior(None if p1 is None else 1.0 - p1)
-    return docs.select(doc_id, *keep).join(sums, doc_id, "left").select(
+    return sums.select(
         doc_id,
         *keep,
         score1.alias("score1"),

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,14 @@ from statloom.storage import literal_table, materialize
 
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
-BLOCK_BYTES = 4 << 20
-MAX_BLOCK_ROWS = 8192
+# Share of a core's part of the task memory that a block of points may take.
+BLOCK_SHARE = 1 / 64
+MAX_BLOCK_ROWS = 1 << 16
 MAX_PIVOTS = 1 << 14
 PIVOT_BYTES = 8 << 20
 PIVOT_SEED = 1
 # Sending a copy of a row to a block costs about as much as this many distances.
 COPY_COST = 500
-# Fixed value: spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT = 1000
 # Distances held at a time.
 TILE = 1 << 20
 
@@ -208,17 +207,20 @@ def _pruned_neighbors(
 ) -> DataFrame:
     spark = train.sparkSession
     pivots = _pivots(train, rows, k, dims)
-    if k < GROUP_LIMIT:
-        # Of equal points only the k smallest ids can be neighbours.  Spark drops
-        # the other copies before the shuffle for limits below GROUP_LIMIT.
-        same = Window.partitionBy("x").orderBy("tid")
-        train = train.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
     placed = materialize(_with_cell(train, pivots, dims), "knn-cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
     radius[cells["cell"]] = cells["radius"]
     radius[radius < 0] = 0.0
-    pairs = _candidate_cells(queries, pivots, cells["cell"].to_numpy(), radius, k, dims)
+    if k < int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) and (cells["n"] > block_rows).any():
+        # In a cell too large for a block, only the k smallest ids of equal points can be neighbours.  Spark drops the
+        # other copies before the shuffle as long as k is below that setting.
+        large = F.col("cell").isin([int(c) for c in cells["cell"][cells["n"] > block_rows]])
+        same = Window.partitionBy("cell", "x").orderBy("tid")
+        fewer = placed.where(large).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
+        placed = materialize(placed.where(~large).unionByName(fewer), "knn-cells")
+        cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
+    pairs = materialize(_candidate_cells(queries, pivots, cells["cell"].to_numpy(), radius, k, dims), "knn-pairs")
     wanted = pairs.groupBy("cell").agg(F.count("*").alias("wanted")).toPandas()
     n_queries = queries.count()
     sizes = list(cells.merge(wanted, on="cell")[["cell", "n", "wanted"]].itertuples(index=False))
@@ -259,6 +261,16 @@ def _pruned_neighbors(
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(answer, schema)
 
 
+def _block_bytes(spark: SparkSession) -> int:
+    """Bytes of points in a block: a share of the memory that a core has."""
+    local = spark.conf.get("spark.master", "").startswith("local[")
+    memory = spark.conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    size = int(memory[:-1]) << units[memory[-1]] if memory[-1] in units else int(memory)
+    cores = spark.sparkContext.defaultParallelism if local else int(spark.conf.get("spark.executor.cores", "1"))
+    return max(1 << 20, int(size * BLOCK_SHARE / max(1, cores)))
+
+
 def neighbors(
     queries: DataFrame,
     train: DataFrame,
@@ -270,17 +282,28 @@ def neighbors(
     """The ``k`` nearest training rows of every query: ``(qid, tid, label, d2, place)``.
 
     ``queries(qid, x)`` and ``train(tid, x, label)`` are scans or stored tables,
-    as they are read more than once, with numeric arrays of one length.  With
-    ``skip_same_id`` a row is not its own neighbour.  ``method``
-    is ``broadcast``, ``pruned``, or ``auto``: broadcast when the counted training
-    rows fit the limits.  With fewer than ``k`` training rows all are neighbours.
+    as they are read more than once, with numeric arrays of one length (else an
+    error).  A row without a vector, or with a missing entry in it, has no
+    neighbours and is none.  With ``skip_same_id`` a row is not its own
+    neighbour.  ``method`` is ``broadcast`` (an error beyond the limits),
+    ``pruned``, or ``auto``: broadcast when the training rows, with their ids and
+    labels, fit the limits.  With fewer than ``k`` training rows all are neighbours.
     """
     if method not in ("auto", "broadcast", "pruned"):
         raise ValueError(f"unknown method: {method}")
-    queries = spread(queries.select("qid", F.col("x").cast("array<double>").alias("x")), "qid")
-    train = train.select("tid", F.col("x").cast("array<double>").alias("x"), "label")
-    rows, dims = train.agg(F.count("*"), F.max(F.size("x"))).first()
-    fits = rows <= BROADCAST_ROWS and rows * (dims or 0) * 8 <= BROADCAST_BYTES
+    whole = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())
+    queries = spread(queries.select("qid", F.col("x").cast("array<double>").alias("x")).where(whole), "qid")
+    train = train.select("tid", F.col("x").cast("array<double>").alias("x"), "label").where(whole)
+    texts = F.coalesce(F.octet_length(F.col("tid").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("label").cast("string")), F.lit(0))
+    rows, shortest, dims, text_bytes = train.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x")), F.sum(texts.cast("bigint"))).first()
+    if shortest != dims:
+        raise ValueError(f"training vectors have between {shortest} and {dims} entries")
+    wrong_size = F.raise_error(F.concat(F.lit(f"a query vector does not have {dims} entries: "), F.size("x").cast("string")))
+    if rows:
+        queries = queries.withColumn("x", F.when(F.size("x") == dims, F.col("x")).otherwise(wrong_size.cast("array<double>")))
+    fits = rows <= BROADCAST_ROWS and rows * (dims or 0) * 8 + (text_bytes or 0) <= BROADCAST_BYTES
+    if method == "broadcast" and not fits:
+        raise ValueError(f"{rows} training rows are too large to broadcast")
     wanted = k + 1 if skip_same_id else k
     schema = T.StructType(
         [
@@ -295,7 +318,7 @@ def neighbors(
     elif method == "broadcast" or (method == "auto" and fits):
         found = _broadcast_neighbors(queries, train, wanted, dims, schema)
     else:
-        size = block_rows or max(256, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * dims)))
+        size = block_rows or max(256, min(MAX_BLOCK_ROWS, _block_bytes(train.sparkSession) // (8 * dims)))
         found = _pruned_neighbors(queries, train, rows, wanted, dims, schema, size)
     if skip_same_id:
         found = found.where(F.col("qid") != F.col("tid"))

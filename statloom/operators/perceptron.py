@@ -3,10 +3,15 @@
 All rows that are misclassified under the current plane update it together, with
 step ``rate / rows``, so a pass is one aggregation and the result does not depend
 on row order.  Weights travel as literals.
+
+A row without a label, without a vector or with an entry that is missing or not
+finite takes no part in training and has no score, whatever the width.  Vectors of different lengths are
+an error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -92,9 +97,25 @@ def _wrong_sums(rows: DataFrame, dims: int, plane: Plane) -> tuple[int, list[flo
     return round(count), sums
 
 
-def _shape(rows: DataFrame) -> tuple[int, int]:
-    count, dims = rows.agg(F.count("*"), F.max(F.size("x"))).first()
-    return count, dims or 0
+def _whole_vector() -> Column:
+    missing = F.exists(F.col("x").cast("array<double>"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.coalesce(F.col("x").isNotNull() & ~missing, F.lit(False))
+
+
+def _usable(rows: DataFrame, given: str = "y") -> tuple[DataFrame, int, int]:
+    """Rows that count, their number, and the length of their vectors."""
+    usable = rows.where(_whole_vector() & F.col(given).isNotNull())
+    count, shortest, dims = usable.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x"))).first()
+    if shortest != dims:
+        raise ValueError(f"vectors have between {shortest} and {dims} entries")
+    return usable, count, dims or 0
+
+
+def _next(plane: Plane, step: float, sums: list[float]) -> Plane:
+    moved = Plane(tuple(v + step * s for v, s in zip(plane.w, sums[1:])), plane.b + step * sums[0])
+    if not all(math.isfinite(v) for v in (*moved.w, moved.b)):
+        raise ValueError("the plane is no longer finite: the step is too large for these numbers")
+    return moved
 
 
 def train_primal(rows: DataFrame, epochs: int, rate: float = 1.0, step: float | None = None) -> DataFrame:
@@ -103,13 +124,13 @@ def train_primal(rows: DataFrame, epochs: int, rate: float = 1.0, step: float |
     Result as in PERCEPTRON_SCHEMA: rows misclassified before the pass and the
     plane after it.  Ends early once nothing is misclassified.
     """
-    count, dims = _shape(rows)
+    rows, count, dims = _usable(rows)
     step = rate / max(count, 1) if step is None else step
     plane = Plane((0.0,) * dims, 0.0)
     history = []
     for epoch in range(1, epochs + 1):
         n_wrong, sums = _wrong_sums(rows, dims, plane)
-        plane = Plane(tuple(v + step * s for v, s in zip(plane.w, sums[1:])), plane.b + step * sums[0])
+        plane = _next(plane, step, sums)
         history.append((epoch, n_wrong, list(plane.w), plane.b))
         if n_wrong == 0:
             break
@@ -121,21 +142,25 @@ def last_plane(model: DataFrame) -> Plane:
     return Plane(tuple(row["w"]), row["b"])
 
 
+def _plane_score(plane: Plane) -> Column:
+    """``w . x + b``: one generated expression for few dimensions, array arithmetic for many."""
+    dims = len(plane.w)
+    if dims <= UNROLLED_DIMS:
+        score = linear_score(components("x", dims), plane.w, plane.b)
+    else:
+        products = F.zip_with(F.col("x").cast("array<double>"), F.lit(list(plane.w)), lambda x, w: x * w)
+        score = F.aggregate(products, F.lit(0.0), lambda total, p: total + p) + F.lit(float(plane.b))
+    return F.when(_whole_vector() & (F.size("x") == dims), score)
+
+
 def predict(rows: DataFrame, plane: Plane) -> DataFrame:
     """Add ``score`` and ``predicted`` (+1 on the plane itself)."""
-    score = linear_score(components("x", len(plane.w)), plane.w, plane.b)
-    return rows.withColumn("score", score).withColumn("predicted", sign_label("score"))
+    return rows.withColumn("score", _plane_score(plane)).withColumn("predicted", sign_label("score"))
 
 
 def weights_from_dual(rows: DataFrame, dims: int) -> list[float]:
-    """``sum(alpha * y)`` and then ``sum(alpha * y * x_j)`` per dimension."""
-    return _sums(rows, dims, F.col("alpha") * F.col("y"))
-
-
-def _alpha(x: np.ndarray, y: np.ndarray, planes: list[Plane], step: float) -> np.ndarray:
-    """One step for every pass whose plane put the row on the wrong side."""
-    scores = x @ np.array([p.w for p in planes]).T + np.array([p.b for p in planes])
-    return step * np.count_nonzero(y[:, None] * scores <= 0, axis=1)
+    """``sum(alpha * y)`` and then ``sum(alpha * y * x_j)`` per dimension, over rows that took part."""
+    return _sums(rows.where("alpha IS NOT NULL"), dims, F.col("alpha") * F.col("y"))
 
 
 def train_dual(
@@ -143,44 +168,45 @@ def train_dual(
 ) -> tuple[DataFrame, Plane]:
     """Train on ``rows(row_id, x, y)``; returns ``(row_id, x, y, alpha)`` and the plane.
 
-    Each pass raises ``alpha`` of the misclassified rows.  The score
-    ``sum_j alpha_j y_j (x_j . x_i) + b`` is taken as ``(sum_j alpha_j y_j x_j) . x_i
-    + b``: the same number without a table of all pairs of rows.  ``alpha`` of a
-    row follows from the row and the planes of the passes so far, so nothing is
-    kept between passes but those planes.
+    Each pass raises ``alpha`` of the misclassified rows by a step.  The score
+    ``sum_j alpha_j y_j (x_j . x_i) + b`` is ``w . x_i + b`` with ``w = sum_j
+    alpha_j y_j x_j``, and a pass adds ``step * y x`` of the misclassified rows
+    to ``w``: the same numbers without a table of all pairs of rows.  How often a
+    row was misclassified is counted once, at the end, from the passes' planes.
+    Rows that take no part have no ``alpha``.
     """
-    count, dims = _shape(rows)
+    usable, count, dims = _usable(rows)
     step = rate / max(count, 1) if step is None else step
-    wide = _wide(rows, y=F.col("y"))
     planes = [Plane((0.0,) * dims, 0.0)]
     for _ in range(epochs):
-
-        def terms(batch: pa.RecordBatch, x: np.ndarray, planes: list[Plane] = list(planes)) -> np.ndarray:
-            y = _numbers(batch, "y")
-            wrong = y * (x @ np.array(planes[-1].w) + planes[-1].b) <= 0
-            signed = _alpha(x, y, planes, step) * y
-            return np.concatenate(([np.count_nonzero(wrong), signed.sum()], signed @ x))
-
-        n_wrong, b, *w = _array_sums(wide, dims, dims + 2, terms)
+        n_wrong, sums = _wrong_sums(usable, dims, planes[-1])
         if n_wrong == 0:
             break
-        planes.append(Plane(tuple(w), b))
+        planes.append(_next(planes[-1], step, sums))
     used = planes[:-1] if len(planes) > epochs else planes
+    w, b = np.array([p.w for p in used]).reshape(len(used), dims), np.array([p.b for p in used])
 
     def with_alpha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alpha = _alpha(_matrix(batch, dims), _numbers(batch, "y"), used, step)
-            yield batch.append_column("alpha", pa.array(alpha))
+            y = _numbers(batch, "known_y")
+            x = batch.column("known_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if dims else np.empty((len(y), 0))
+            alpha = step * np.count_nonzero(y[:, None] * (x @ w.T + b) <= 0, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(alpha)], [*batch.schema.names[:-2], "alpha"])
 
     typed = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"))
+    counts = _whole_vector() & F.col("y").isNotNull()
+    known = typed.withColumns({"known_x": F.when(counts, F.col("x")).otherwise(F.array_repeat(F.lit(0.0), dims)), "known_y": F.coalesce(F.col("y").cast("double"), F.lit(0.0))})
     schema = T.StructType([*typed.schema.fields, T.StructField("alpha", T.DoubleType())])
-    return typed.mapInArrow(with_alpha, schema), planes[-1]
+    state = known.mapInArrow(with_alpha, schema)
+    return state.withColumn("alpha", F.when(counts, F.col("alpha"))), planes[-1]
 
 
-def gram_product(rows: DataFrame, coefficient: Column, dims: int) -> DataFrame:
+def gram_product(rows: DataFrame, coefficient: Column) -> DataFrame:
     """Add ``product`` = ``sum_j c_j (x_j . x_i)``: the Gram matrix applied to ``c``.
 
-    Two linear passes; the matrix itself is never built.
+    Two linear passes; the matrix itself is never built.  Rows without a whole
+    vector or a coefficient add nothing; without a whole vector there is no product.
     """
-    _, *w = _sums(rows, dims, coefficient)
-    return rows.withColumn("product", linear_score(components("x", dims), w, 0.0))
+    usable, _, dims = _usable(rows.withColumn("_c", coefficient), "_c")
+    _, *w = _sums(usable, dims, F.col("_c"))
+    return rows.withColumn("product", _plane_score(Plane(tuple(w), 0.0)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions import sql
+
 # Slots per pass: few where many tasks each hold them, more where rows are few.
 BINS = 4096
 FINE_BINS = 1 << 16
@@ -61,14 +63,50 @@ def _nth_in(df: DataFrame, key: str, n: int, low: int | None, high: int | None,
     return low
 
 
-def nth_smallest(df: DataFrame, key: str, n: int) -> int | None:
-    """The ``n``-th smallest value of an integer column, counted from 1.
+def _nth_text(df: DataFrame, key: str, n: int, low: str | None, high: str | None, total: int) -> str | None:
+    """As :func:`_nth_in` for text: slots are the next two bytes after what all remaining keys share."""
+    if n < 1 or total == 0:
+        return None
+    if n >= total:
+        return high
+    data = F.col(sql.name(key)).cast("binary")
+    while low < high:
+        first, last = low.encode(), high.encode()
+        shared = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        slots = (
+            df.where(F.col(sql.name(key)).between(low, high))
+            .groupBy(F.substring(data, shared + 1, 2).alias("slot"))
+            .agg(F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
+            .collect()
+        )
+        for slot in sorted(slots, key=lambda s: s["low"].encode()):
+            if n <= slot["rows"]:
+                low, high = slot["low"], slot["high"]
+                break
+            n -= slot["rows"]
+        if n == 1:
+            return low
+    return low
+
+
+def _nth(df: DataFrame, key: str, n: int, low, high, total: int):
+    kind = df.schema[key].dataType.typeName()
+    if kind == "string":
+        return _nth_text(df, key, n, low, high, total)
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"keys are integers or text, not {kind}: {key}")
+    return _nth_in(df, key, n, low, high, total)
+
+
+def nth_smallest(df: DataFrame, key: str, n: int):
+    """The ``n``-th smallest value of an integer or text column, counted from 1; nulls don't count.
 
     Counts rows in equal slots of the value range, then looks into the slot that
     holds rank ``n``.  Each pass is an aggregation into a bounded number of slots
-    and divides the range by it, so six passes do for any BIGINT.
+    and divides the range by it, so six passes do for any BIGINT.  Text is in the
+    order of its bytes; its slots are the next two bytes after the common ones.
     """
-    return _nth_in(df, key, n, *_key_range(df, key))
+    return _nth(df, key, n, *_key_range(df, key))
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> Column:
@@ -78,23 +116,28 @@ def first_rows(df: DataFrame, key: str, n: int) -> Column:
 
 
 def positional_holdout(df: DataFrame, key: str, ratio: float) -> DataFrame:
-    """``is_test`` for the first ``floor(rows * ratio)`` rows in ``key`` order."""
-    low, high, total = _key_range(df, key)
-    cut = _nth_in(df, key, int(total * ratio), low, high, total)
-    return df.withColumn("is_test", F.lit(False) if cut is None else F.col(key) <= F.lit(cut))
+    """``is_test`` for the first ``floor(rows * ratio)`` rows in ``key`` order, integers or text.
+
+    Rows without a key come last and are never test rows.
+    """
+    low, high, total, rows = df.agg(F.min(key), F.max(key), F.count(key), F.count("*")).first()
+    cut = _nth(df, key, min(total, int(rows * ratio)), low, high, total)
+    is_test = F.lit(False) if cut is None else F.coalesce(F.col(key) <= F.lit(cut), F.lit(False))
+    return df.withColumn("is_test", is_test)
 
 
 def counted_holdout(df: DataFrame, key: str, n: int, seed: int = 42, small: int = SMALL_DRAW) -> DataFrame:
     """``is_test`` for exactly ``n`` rows drawn without replacement.
 
     No more than half of the rows are drawn.  The draw order is the seeded
-    digest, then the id; the last drawn row becomes the literal cut.
+    digest, then the id (an integer or text); the last drawn row becomes the
+    literal cut.  Rows without an id are never drawn.
     """
-    rows = df.count()
+    rows = df.where(F.col(key).isNotNull()).count()
     n = min(n, rows // 2)
     if n < 1:
         return df.withColumn("is_test", F.lit(False))
-    keys = df.select(F.col(key).alias("id"), draw_key(key, seed).alias("draw"))
+    keys = df.select(F.col(key).alias("id"), draw_key(key, seed).alias("draw")).where("id IS NOT NULL")
     found = 0
     if n <= small:
         # A little more than the share expected to hold n rows, so few are sorted.
@@ -109,7 +152,7 @@ def counted_holdout(df: DataFrame, key: str, n: int, seed: int = 42, small: int
         last_id = nth_smallest(keys.where(F.col("draw") == last), "id", n - before)
     draw = draw_key(key, seed)
     is_test = (draw < last) | ((draw == last) & (F.col(key) <= last_id))
-    return df.withColumn("is_test", is_test)
+    return df.withColumn("is_test", F.coalesce(is_test, F.lit(False)))
 
 
 def labelled_union(positive: DataFrame, negative: DataFrame, name: str = "y", codes=(1, -1)) -> DataFrame:

@@ -117,6 +117,8 @@ def train(
         rows = _at_split(rows, level, found, broadcast_bytes)
         rows = rows.withColumn("node_id", _child_id(columns, "node_id", "split_feature")).drop("split_feature")
         depth += 1
+        if depth > 1:  # each level starts from a table, not from all joins above it
+            rows = materialize(rows, f"tree-rows{depth}")
 
 
 def _as_literals(level: DataFrame) -> tuple[DataFrame, list[dict]]:

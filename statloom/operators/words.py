@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.text import explode_words
+from statloom.functions.text import counted_words, explode_words
 from statloom.operators.lookup import lookup_join
 
 
@@ -30,13 +30,8 @@ def without_words(table: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def bag_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Occurrences per document and word.
-
-    Documents are spread by their id before they are taken apart: a text is
-    smaller than its word rows, and the grouping then needs no second shuffle.
-    """
-    spread = docs.select(doc_id, text).repartition(doc_id)
-    return explode_words(spread, doc_id, text=text).groupBy(doc_id, "word").agg(F.count("*").alias("n"))
+    """Occurrences per document and word, counted within the row; no shuffle."""
+    return docs.select(doc_id, F.inline(counted_words(text)))
 
 
 def set_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

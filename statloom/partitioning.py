@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+#: A scan is narrow if it has at most one partition for so many cores.
+NARROW = 4
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than there are cores, by a hash of ``keys``.
+    """Spread a scan that leaves most cores idle, by ``keys`` themselves, so that a join on them needs no second shuffle.
 
-    For tables kept in a file or two whose rows are costly to work on; a scan
-    that is already wide stays as it is.  Pass a scan with filters and
-    projections only: asking a plan with shuffles for its partitions runs them.
+    For tables kept in a file or two whose rows are costly to work on: with so
+    few partitions there are few bytes to move.  Any other scan stays as it is.
+    Pass a scan with filters and projections only: asking a plan with shuffles
+    for its partitions runs them.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    if scan.rdd.getNumPartitions() * NARROW > cores:
         return scan
-    return scan.repartition(cores, F.xxhash64(*keys))
+    return scan.repartition(cores, *keys)

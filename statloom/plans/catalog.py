@@ -23,14 +23,13 @@ from statloom.plans import documents as document_plans
 from statloom.plans import points
 from statloom.plans.trees import stored_tree, tree_of_file
 from statloom.sources.feeds import paired_feeds
-from statloom.sources.files import numeric_rows, with_bitmap
+from statloom.sources.files import labelled_folders, numeric_rows, with_bitmap, write_delimited
 from statloom.storage import materialize, new_path
 from statloom.streaming.scoring import document_stream, score_stream, scored_documents
 
 TEST_SHARE = 0.2
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TREE_FEATURES = ["lang", "length", "source", "toxic"]
-TREE_DEPTH = 2
 EPOCHS = 5
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -172,6 +171,16 @@ def nb_counted_holdout(spark, folder):
     return rounded(document_plans.spam_evaluation(mails).report, 6, "error_rate")
 
 
+def text_corpus(spark, folder):
+    """Write benchmark items as one file each in two label folders, and read the folders."""
+    path = new_path(spark, "corpus")
+    items = table(spark, folder, "benchmark").select("item_id", "text", (F.col("item_id") % 2).alias("label"))
+    items.repartition("item_id").write.partitionBy("label", "item_id").text(path)
+    files = labelled_folders(spark, f"{path}/label=1", f"{path}/label=0")
+    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
+    return files.select(item.alias("item_id"), "label", F.regexp_replace("text", r"\n$", "").alias("text"))
+
+
 def paired_feed_rows(spark, folder):
     feeds = paired_feeds(documents(spark, folder), "src0", "src1")
     return feeds.select("doc_id", "source", "label")
@@ -310,10 +319,10 @@ def knn_new_rows(spark, folder):
 
 
 def _bitmaps(spark, folder) -> DataFrame:
-    """Signs of the 64 vector entries as bitmap text of 8 lines, read back as bitmaps."""
-    bits = F.transform("embedding", lambda v: F.when(v > 0, "1").otherwise("0"))
-    lines = [F.array_join(F.slice(bits, i + 1, BITMAP_WIDTH), "") for i in range(0, 64, BITMAP_WIDTH)]
-    texts = _vectors(spark, folder).select("vec_id", "label", F.concat_ws("\r\n", *lines).alias("text"))
+    """Signs of all vector entries as bitmap text in lines of 8, read back as bitmaps."""
+    bits = F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "1").otherwise("0")), "")
+    text = F.regexp_replace(bits, f"(.{{{BITMAP_WIDTH}}})(?=.)", "$1\r\n")
+    texts = _vectors(spark, folder).select("vec_id", "label", text.alias("text"))
     return with_bitmap(texts, "text", BITMAP_WIDTH)
 
 
@@ -382,7 +391,7 @@ def majority_label(spark, folder):
 
 
 def _tree(spark, folder) -> DataFrame:
-    return tree.train(tree_rows(spark, folder), TREE_FEATURES, max_depth=TREE_DEPTH)
+    return tree.train(tree_rows(spark, folder), TREE_FEATURES)
 
 
 def id3_nodes(spark, folder):
@@ -411,9 +420,9 @@ def delimited_tree(spark, folder):
     """Write the rows as a tab-delimited file, read it back and grow the tree."""
     path = new_path(spark, "tree-rows")
     rows = tree_rows(spark, folder).select(*TREE_FEATURES, "label")
-    rows.write.option("sep", "\t").csv(path)
+    write_delimited(rows, path)
     schema = ", ".join(f"{c} STRING" for c in [*TREE_FEATURES, "label"])
-    return rounded(tree_of_file(spark, path, schema, max_depth=TREE_DEPTH), 6, "gain")
+    return rounded(tree_of_file(spark, path, schema), 6, "gain")
 
 
 def delimited_numeric(spark, folder):
@@ -470,12 +479,12 @@ def dual_weights(spark, folder):
 
 def gram_product(spark, folder):
     rows = _vector_points(spark, folder)
-    product = perceptron.gram_product(rows, F.col("y"), 64)
+    product = perceptron.gram_product(rows, F.col("y"))
     return rounded(product.select("row_id", "product"), 6, "product")
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
+    text_corpus, tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
     top_words_30, vocab_without_top30,
     nb_train, nb_train_set, nb_train_vocab, nb_prior, nb_score, nb_error_rate, nb_errors, confusion,
     nb_save_load, nb_entries, nb_counted_holdout, paired_feed_rows, local_words_model,

@@ -7,7 +7,7 @@ distances and all products.
 
 from __future__ import annotations
 
-from statloom.plans.catalog import EPOCHS, LINE_FEATURES, PART_TYPES, PRIORITIES, TREE_DEPTH, TREE_FEATURES
+from statloom.plans.catalog import EPOCHS, LINE_FEATURES, PART_TYPES, PRIORITIES, TREE_FEATURES
 
 SPLIT = r"unnest(list_transform(list_filter(string_split_regex(text, '\W+'), lambda t: length(t) > 2), lambda t: lower(t)))"
 DOCS = "docs AS (SELECT * FROM documents JOIN labels USING (doc_id))"
@@ -149,6 +149,10 @@ def _gains(level: int) -> list[str]:
     ]
 
 
+#: No path is longer: a feature has no gain below its own split.
+TREE_DEPTH = len(TREE_FEATURES)
+
+
 def _tree() -> list[str]:
     names = "[" + ", ".join(f"'{f}'" for f in TREE_FEATURES) + "]"
     picked = "CASE split_feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in TREE_FEATURES) + " END"
@@ -226,6 +230,7 @@ def _dual() -> list[str]:
 PRIORITY_CODES = " ".join(f"WHEN '{name}' THEN {i + 1}" for i, name in enumerate(PRIORITIES))
 
 ORACLES: dict[str, str] = {
+    "text_corpus": "SELECT item_id, CAST(item_id % 2 AS INTEGER) AS label, text FROM benchmark",
     "tokenize_counts": f"SELECT word, count(*) AS n FROM (SELECT {SPLIT} AS word FROM documents) GROUP BY word",
     "whitespace_token_counts": r"""SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\s+')) AS token
         FROM conversations) WHERE token <> '' GROUP BY token""",

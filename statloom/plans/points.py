@@ -8,15 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.labels import decode_label
+from statloom.functions.vectors import minmax_scaled
 from statloom.operators.evaluate import error_rate
 from statloom.operators.neighbors import classify
-from statloom.operators.scaling import minmax_apply, minmax_stats
+from statloom.operators.scaling import minmax_stats
 from statloom.operators.split import positional_holdout
 
 
-def feature_vector(features: Sequence[str]) -> Column:
-    """Features as one array; a constant column, scaled to NULL, adds no distance."""
-    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+def scaled_vector(stats: DataFrame, features: Sequence[str]) -> Column:
+    """Raw features as one scaled array.
+
+    A column that is constant adds no distance.  A missing value stays missing,
+    so that its row has no neighbours and is none.
+    """
+    row = stats.first()
+
+    def entry(name: str) -> Column:
+        scaled = minmax_scaled(F.col(name).cast("double"), row[f"{name}_min"], row[f"{name}_max"])
+        return F.when(F.col(name).isNotNull(), F.coalesce(scaled, F.lit(0.0)))
+
+    return F.array(*[entry(f) for f in features])
 
 
 def _queries(rows: DataFrame, key: str, x: Column) -> DataFrame:
@@ -41,8 +52,8 @@ def scaled_evaluation(
     """Error rate on the first ``ratio`` of the rows, scaled by all or only training rows."""
     split = positional_holdout(rows, key, ratio)
     base = split if fit_on == "all" else split.where(~F.col("is_test"))
-    scaled = minmax_apply(split, minmax_stats(base, features), features)
-    return error_rate(predict_holdout(scaled, key, feature_vector(features), label, k, **options), label)
+    x = scaled_vector(minmax_stats(base, features), features)
+    return error_rate(predict_holdout(split, key, x, label, k, **options), label)
 
 
 def classify_new(
@@ -50,10 +61,8 @@ def classify_new(
     names: Sequence[str], k: int = 3, **options,
 ) -> DataFrame:
     """Name the class of new rows, scaled by the stored statistics of the known ones."""
-    stats = minmax_stats(known, features)
-    x = feature_vector(features)
-    queries = _queries(minmax_apply(new, stats, features), new_key, x)
-    found = classify(queries, _points(minmax_apply(known, stats, features), key, x, label), k, **options)
+    x = scaled_vector(minmax_stats(known, features), features)
+    found = classify(_queries(new, new_key, x), _points(known, key, x, label), k, **options)
     return found.select(F.col("qid").alias(new_key), "predicted", decode_label("predicted", names).alias("answer"))
 
 

@@ -43,12 +43,22 @@ def bitmap_folder(spark: SparkSession, folder: str, width: int = 32) -> DataFram
     return with_bitmap(named, "text", width).drop("text")
 
 
+#: How a missing value is written in delimited files.
+NULL_FIELD = r"\N"
+
+
 def _fields(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated fields of each line, after dropping its outer white space."""
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    """Tab-separated fields of each line, after dropping outer spaces and line ends (tabs delimit empty fields)."""
+    line = F.regexp_replace("value", r"^[ \r\n]+|[ \r\n]+$", "")
     return spark.read.text(path).select(F.split(line, "\t").alias("fields"))
 
 
+def write_delimited(rows: DataFrame, path: str) -> None:
+    """Columns as tab-delimited text for :func:`categorical_rows`; values hold no tabs or line ends."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_FIELD)) for c in rows.columns]
+    rows.select(F.concat_ws("\t", *columns)).write.text(path)
+
+
 def numeric_rows(
     spark: SparkSession, path: str, features: tuple[str, ...] = ("f1", "f2", "f3"),
     codes: Mapping[str, int] = DATING_CODES,
@@ -65,7 +75,9 @@ def numeric_rows(
 def categorical_rows(spark: SparkSession, path: str, schema: str = schemas.LENSES_SCHEMA) -> DataFrame:
     """Tab-delimited texts named by ``schema``, the label last.
 
-    Quotes and empty fields are values like any other, so this is no CSV.
+    Quotes and empty fields are values like any other, so this is no CSV; ``\\N``
+    is a missing value, as is a field that a line lacks.
     """
     columns = T.StructType.fromDDL(schema)
-    return _fields(spark, path).select(*[F.get("fields", F.lit(i)).alias(f.name) for i, f in enumerate(columns)])
+    field = lambda i: F.nullif(F.get("fields", F.lit(i)), F.lit(NULL_FIELD))
+    return _fields(spark, path).select(*[field(i).alias(f.name) for i, f in enumerate(columns)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from statloom.operators.naive_bayes import NaiveBayesModel, score
+from statloom.operators.naive_bayes import NaiveBayesModel, measured_model, score
 from statloom.partitioning import spread
 
 
@@ -32,10 +32,12 @@ def score_stream(
 
     A document is scored within its batch, so no state is kept.  Each batch
     replaces its own folder: a batch delivered again leaves the same result.
+    The model is measured once, at the start.
     """
+    measured = measured_model(model)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(spread(batch, doc_id), model, doc_id, **options)
+        scored = score(spread(batch, doc_id), model, doc_id, measured=measured, **options)
         scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (

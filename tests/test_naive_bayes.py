@@ -8,6 +8,7 @@ from statloom.operators import naive_bayes as nb
 from statloom.operators.evaluate import confusion, error_rate, misclassified_rows
 from statloom.partitioning import spread
 from statloom.plans.documents import classify_documents, feed_evaluation, spam_evaluation
+from tests.conftest import POSTS
 
 
 def train_all(docs, **options):
@@ -30,13 +31,8 @@ def expected_model(rows, bag=True, base=2.0):
 
 def test_toy_posts_with_ready_words(spark):
     """Known values for the posts taken as ready token lists, short words kept."""
-    posts = [
-        ("my dog has flea problems help please", 0), ("maybe not take him to dog park stupid", 1),
-        ("my dalmation is so cute I love him", 0), ("stop posting stupid worthless garbage", 1),
-        ("mr licks ate my steak how to stop him", 0), ("quit buying worthless dog food stupid", 1),
-    ]
-    docs = spark.createDataFrame([(y, False) for _, y in posts], "label INT, is_test BOOLEAN")
-    rows = [(w, y, False) for text, y in posts for w in set(text.split())]
+    docs = spark.createDataFrame([(y, False) for _, y in POSTS], "label INT, is_test BOOLEAN")
+    rows = [(w, y, False) for text, y in POSTS for w in set(text.split())]
     model = nb.train(docs, words=spark.createDataFrame(rows, "word STRING, label INT, is_test BOOLEAN"))
     table = {r["word"]: r for r in model.words.collect()}
     prior = model.prior.first()
@@ -165,3 +161,18 @@ def test_reports(spark):
     assert misclassified_rows(scored).count() == 2
     assert {tuple(r) for r in confusion(scored).collect()} == {(1, 1, 1), (1, 0, 1), (0, 0, 1), (0, None, 1)}
     assert tuple(error_rate(scored.where("label = 9")).first()) == (0, 0, None)
+
+
+def test_rows_without_a_label_belong_to_class_zero(spark):
+    docs = spark.createDataFrame([(1, "cow cow", 0), (2, "cow", 1), (3, "cow cow cow", None)], "doc_id BIGINT, text STRING, label INT")
+    model = train_all(docs)
+    row = model.words.first()
+    assert (row["n1"], row["n0"], model.prior.first()["n_docs"]) == (1, 5, 3)
+
+
+def test_scoring_reads_the_documents_once(spark, posts):
+    model = train_all(posts)
+    scored = nb.score(posts, model, keep=("label",), broadcast_bytes=0)
+    leaves = [leaf for leaf in str(scored._jdf.queryExecution().optimizedPlan().collectLeaves()).split("LogicalRDD")[1:] if "text" in leaf]
+    assert len(leaves) == 1
+    assert scored.orderBy("doc_id").collect() == nb.score(posts, model, keep=("label",)).orderBy("doc_id").collect()

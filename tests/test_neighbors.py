@@ -83,11 +83,59 @@ def test_no_queries(spark, method):
     assert nb.neighbors(q.where("qid < 0"), t, 3, method=method).count() == 0
 
 
-def test_copies_kept_when_many_neighbours_are_asked(spark, monkeypatch):
-    monkeypatch.setattr(nb, "GROUP_LIMIT", 0)
+LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_copies_when_many_neighbours_are_asked(spark, limit):
+    """Copies in large cells are reduced only where Spark drops them before the shuffle."""
     x = clustered(np.random.default_rng(8), 120, 2)
     q, t = frame(spark, "qid", x[:20]), frame(spark, "tid", x, [0] * 120)
-    assert found(nb.neighbors(q, t, 50, method="pruned", block_rows=16)) == brute(x[:20], x, 50)
+    spark.conf.set(LIMIT, limit)
+    try:
+        assert found(nb.neighbors(q, t, 50, method="pruned", block_rows=16)) == brute(x[:20], x, 50)
+    finally:
+        spark.conf.unset(LIMIT)
+
+
+def missing(spark):
+    train = [(1, None, "n"), (2, [5.0, 5.0], "a"), (3, [0.0, None], "b"), (4, [9.0, 9.0], "c")]
+    asked = [(10, [5.0, 5.0]), (11, None), (12, [9.0, 8.0]), (13, [None, 1.0])]
+    t = spark.createDataFrame(train, "tid INT, x ARRAY<DOUBLE>, label STRING")
+    return spark.createDataFrame(asked, "qid INT, x ARRAY<DOUBLE>"), t
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_rows_without_a_whole_vector_are_no_neighbours(spark, method):
+    q, t = missing(spark)
+    assert found(nb.neighbors(q, t, 1, method=method)) == {10: [2], 12: [4]}
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_vectors_of_other_lengths_are_an_error(spark, method):
+    q, t = missing(spark)
+    ragged = t.union(spark.createDataFrame([(5, [1.0], "d")], t.schema))
+    with pytest.raises(ValueError, match="between 1 and 2"):
+        nb.neighbors(q, ragged, 1, method=method)
+    with pytest.raises(Exception, match="does not have 2 entries"):
+        nb.neighbors(spark.createDataFrame([(1, [1.0])], q.schema), t, 1, method=method).collect()
+
+
+def test_broadcasting_checks_ids_and_labels_too(spark, monkeypatch):
+    q, t = missing(spark)
+    monkeypatch.setattr(nb, "BROADCAST_BYTES", 100)
+    long_labels = t.withColumn("label", F.repeat("label", 200))
+    with pytest.raises(ValueError, match="too large to broadcast"):
+        nb.neighbors(q, long_labels, 1, method="broadcast")
+    assert found(nb.neighbors(q, long_labels, 1)) == {10: [2], 12: [4]}
+
+
+@pytest.mark.parametrize("method", ["broadcast", "pruned"])
+def test_a_missing_feature_is_not_the_smallest_value(spark, method):
+    known = spark.createDataFrame([(0, 0.0, 5.0, 1), (1, None, 5.0, 2), (2, 10.0, 5.0, 3)], "id BIGINT, a DOUBLE, b DOUBLE, label INT")
+    new = spark.createDataFrame([(7, 1.0, 5.0), (8, None, 5.0), (9, 9.0, 6.0)], "who BIGINT, a DOUBLE, b DOUBLE")
+    got = points.classify_new(new, known, ["a", "b"], "who", "id", "label", ["x", "y", "z"], k=1, method=method)
+    assert {r["who"]: r["answer"] for r in got.collect()} == {7: "x", 9: "z"}
 
 
 def test_no_training_rows(spark):

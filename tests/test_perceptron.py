@@ -55,17 +55,43 @@ def test_both_forms_match_numpy(spark, dims):
     assert got == pytest.approx(alpha)
 
 
-@pytest.mark.parametrize("dims", [2, 30])
+@pytest.mark.parametrize("dims", [2, 30, 1024])
 def test_gram_product_equals_all_products(spark, dims):
     rng = np.random.default_rng(9)
     x, c = rng.standard_normal((50, dims)), rng.standard_normal(50)
     df = spark.createDataFrame(
         [(i, [float(v) for v in a], float(s)) for i, (a, s) in enumerate(zip(x, c))], "row_id BIGINT, x ARRAY<DOUBLE>, c DOUBLE"
     )
-    got = [r["product"] for r in p.gram_product(df, F.col("c"), dims).orderBy("row_id").collect()]
+    got = [r["product"] for r in p.gram_product(df, F.col("c")).orderBy("row_id").collect()]
     assert got == pytest.approx((x @ x.T) @ c)
 
 
+@pytest.mark.parametrize("dims", [16, 17])
+def test_rows_with_missing_numbers_take_no_part(spark, dims):
+    rng = np.random.default_rng(dims)
+    x, y = rng.standard_normal((30, dims)), rng.choice([1, -1], 30)
+    rows = [(i, [float(v) for v in a], int(s)) for i, (a, s) in enumerate(zip(x, y))]
+    odd = [(100, None, 1), (101, [None] + [1.0] * (dims - 1), 1), (103, [float("nan")] * dims, 1), (102, [1.0] * dims, None)]
+    schema = "row_id BIGINT, x ARRAY<DOUBLE>, y INT"
+    clean, mixed = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + odd, schema)
+    for a, b in zip(p.train_primal(mixed, 3).collect(), p.train_primal(clean, 3).collect(), strict=True):
+        assert (a["misclassified"], a["w"]) == (b["misclassified"], pytest.approx(b["w"]))
+    state, plane = p.train_dual(mixed, 3)
+    alphas = {r["row_id"]: r["alpha"] for r in state.collect()}
+    assert len(alphas) == 34 and [alphas[i] for i in (100, 101, 102, 103)] == [None] * 4
+    assert {i: a for i, a in alphas.items() if i < 100} == pytest.approx({r["row_id"]: r["alpha"] for r in p.train_dual(clean, 3)[0].collect()})
+    scores = {r["row_id"]: r["score"] for r in p.predict(mixed, plane).collect()}
+    assert scores[100] is None and scores[101] is None and scores[102] is not None
+
+
+def test_ragged_vectors_and_endless_planes_are_errors(spark):
+    schema = "row_id BIGINT, x ARRAY<DOUBLE>, y INT"
+    with pytest.raises(ValueError, match="between 1 and 2"):
+        p.train_primal(spark.createDataFrame([(1, [1.0], 1), (2, [1.0, 2.0], -1)], schema), 2)
+    with pytest.raises(ValueError, match="finite"):
+        p.train_primal(spark.createDataFrame([(1, [1e300], 1)], schema), 2, step=1e300)
+
+
 def test_scaled_values_lie_between_zero_and_one(spark):
     rng = np.random.default_rng(11)
     df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1e6, 500)], "a DOUBLE")

@@ -1,13 +1,14 @@
 from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from statloom import storage
 from statloom.operators import naive_bayes as nb
 from statloom.plans.documents import spam_evaluation
 from statloom.plans.points import bitmap_evaluation
 from statloom.sources import files
 from statloom.sources.feeds import paired_feeds
-from statloom.storage import materialize, remove_intermediate, work_folder
 from statloom.streaming.scoring import document_stream, score_stream, scored_documents
 
 
@@ -67,16 +68,14 @@ def test_paired_feeds_take_as_many_as_the_shorter(spark):
     assert paired_feeds(docs, "long", "absent").count() == 0
 
 
-def test_intermediate_tables_go_to_the_sessions_folder_and_can_be_removed(spark):
-    table = materialize(spark.range(3), "probe")
-    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert table.count() == 3
-    elsewhere = spark.newSession()
-    elsewhere.conf.set("spark.checkpoint.dir", spark.conf.get("spark.checkpoint.dir") + "/other")
-    gone = materialize(elsewhere.range(3), "probe").inputFiles()[0].removeprefix("file://").removeprefix("file:")
-    remove_intermediate(elsewhere)
-    assert not Path(gone).exists()
-    assert table.count() == 3
+def test_intermediate_tables_go_to_the_sessions_folder_and_can_be_removed(spark, monkeypatch):
+    assert storage.work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    own = storage.work_folder(spark) + "-removed"
+    monkeypatch.setattr(storage, "work_folder", lambda _: own)
+    assert storage.materialize(spark.range(3), "probe").count() == 3
+    assert Path(own).exists()
+    storage.remove_intermediate(spark)
+    assert not Path(own).exists()
 
 
 @pytest.fixture
@@ -114,3 +113,11 @@ def test_redelivered_batch_replaces_itself(spark, posts, arriving, tmp_path):
         stream = document_stream(spark, str(arriving / "*"), posts.schema)
         score_stream(stream, model, out, str(tmp_path / attempt)).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_delimited_rows_survive_the_round_trip(spark, tmp_path):
+    rows = [("a", "", "x"), (None, 'a"b', "y"), ("", None, "z"), ("c d", "\\", "w")]
+    table = spark.createDataFrame(rows, "p STRING, q STRING, label STRING")
+    files.write_delimited(table, str(tmp_path / "rows"))
+    back = files.categorical_rows(spark, str(tmp_path / "rows"), "p STRING, q STRING, label STRING")
+    assert sorted(back.collect(), key=str) == sorted(table.collect(), key=str)

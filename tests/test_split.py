@@ -38,6 +38,35 @@ def test_positional_holdout(spark):
     assert split.positional_holdout(df.where("id < 0"), "id", 0.5).count() == 0
 
 
+def test_rows_without_a_key_come_last(spark):
+    df = ids(spark, [5, None, 3, None])
+    got = split.positional_holdout(df, "id", 0.5).collect()
+    assert sorted(r["id"] for r in got if r["is_test"]) == [3, 5] and all(r["is_test"] is not None for r in got)
+    drawn = split.counted_holdout(df, "id", 1).collect()
+    assert sum(r["is_test"] for r in drawn) == 1 and all(r["id"] is not None for r in drawn if r["is_test"])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab/é😀", max_size=6), min_size=1, max_size=30), st.data())
+def test_nth_smallest_text(spark, values, data):
+    n = data.draw(st.integers(1, len(values)))
+    df = spark.createDataFrame([(f"file:/in/{v}",) for v in values], "path STRING")
+    want = sorted((f"file:/in/{v}" for v in values), key=str.encode)[n - 1]
+    assert split.nth_smallest(df, "path", n) == want
+
+
+def test_holdouts_by_path(spark):
+    names = [f"/mails/spam/{i}.txt" for i in range(25)]
+    df = spark.createDataFrame([(n,) for n in names], "path STRING")
+    first = split.positional_holdout(df, "path", 0.4).where("is_test")
+    assert sorted(r["path"] for r in first.collect()) == sorted(names)[:10]
+    for small in (10_000, 0):
+        tested = split.counted_holdout(df, "path", 5, small=small).where("is_test")
+        assert sorted(r["path"] for r in tested.collect()) == sorted(digest_order(names)[:5])
+    with pytest.raises(ValueError, match="integers or text"):
+        split.nth_smallest(df.select(F.lit(1.5).alias("x")), "x", 1)
+
+
 def digest_order(values, seed=42):
     return sorted(values, key=lambda v: (hashlib.md5(f"{seed}:{v}".encode()).hexdigest()[:15], v))
 

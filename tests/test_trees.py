@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statloom import schemas
 from statloom.operators import impurity, tree
 from statloom.plans.trees import stored_tree, tree_of_file
+from statloom.storage import materialize
 from tests.conftest import LENS_FEATURES
 
 
@@ -203,3 +204,21 @@ def test_file_to_stored_tree(spark, lens_rows, tmp_path):
     loaded = stored_tree(spark, nodes, str(tmp_path / "tree"))
     assert sorted(loaded.collect(), key=str) == sorted(nodes.collect(), key=str)
     assert loaded.count() == 15
+
+
+def test_routing_reads_rows_once_however_deep_the_tree(spark):
+    """With nothing broadcast, each level adds the same number of scans to the plan."""
+    features = [f"f{i}" for i in range(6)]
+    rows = [tuple(str(n >> i & 1) for i in range(6)) + (str(bin(n).count("1")),) for n in range(64)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} STRING" for c in [*features, "label"]))
+    nodes = tree.train(df, features)
+    assert nodes.agg(F.max("depth")).first()[0] == 6
+    stored = materialize(nodes, "deep-tree")
+    scans = []
+    for depth in range(1, 7):
+        cut = stored.where(F.col("depth") <= depth)
+        scored = tree.classify(df, cut, features, on_unseen="majority", compiled_nodes=0, broadcast_bytes=0)
+        scans.append(scored._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+    assert scans == [1 + 2 * d for d in range(1, 7)]
+    whole = tree.classify(df, stored, features, compiled_nodes=0, broadcast_bytes=0)
+    assert whole.where("predicted <> label").count() == 0 and whole.count() == 64

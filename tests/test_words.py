@@ -46,4 +46,12 @@ def test_lookup_join_with_hot_keys_equals_plain_join(spark, how):
     assert sorted(lookup_join(left, right, "key", "n", how).collect(), key=str) == plain
     split = lookup_join(left, right, "key", "n", how, broadcast_bytes=0, hot_keys=10)
     assert sorted(split.collect(), key=str) == plain
-    assert "Union" in split._jdf.queryExecution().executedPlan().toString()
+    # The left side once; the table for its hot keys and for the join.
+    assert split._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+
+
+def test_bag_of_words_counts_within_the_row(spark):
+    docs = spark.createDataFrame([(1, "Red red blue"), (2, None), (3, ""), (4, "an if"), (5, "two two two")], "doc_id BIGINT, text STRING")
+    bag = words.bag_of_words(docs)
+    assert sorted(bag.collect()) == [(1, "blue", 1), (1, "red", 2), (5, "two", 3)]
+    assert "Exchange" not in bag._jdf.queryExecution().executedPlan().toString()
