@@ -223,10 +223,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs (doc_id, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    found = learn(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((found.weights, found.axes, found.vectors, found.labels))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = shared.value
+        voters = Voters(*shared.value)
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
                 scores = np.concatenate([voters.scores(term_vectors(data, offsets[a : a + BLOCK + 1])) for a in range(0, end - first, BLOCK)])
