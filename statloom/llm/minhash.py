@@ -2,17 +2,21 @@
 
 1. Every document's set of word shingles is hashed; documents with equal sets
    (128-bit digest) become one class, so copies cost one row each.
-2. A class keeps the ``K`` smallest hashes as its sketch.  Inverted lists of the
+2. A class keeps the smallest hashes as its sketch.  Inverted lists of the
    retained values, rarest first, bring together classes that can overlap
-   enough: if two sketches share ``LEAST`` values, their first ``size - LEAST +
+   enough: if two sketches share ``least`` values, their first ``size - least +
    1`` rarest values meet.  Two sets of Jaccard 0.75 share fewer with a chance
-   under one in a million.
-3. The sketch of the union estimates the similarity and filters; the exact
-   Jaccard of the full sets decides.
-4. First each list is tried against its smallest member only.  What that
-   already joins needs no further pair; then pairs are tried only across
-   components that still meet in a list.  So large groups of near copies cost
-   rows in proportion to their members, and no link between components is lost.
+   of about one in a million.  Short sketches find the few classes that meet
+   anyone; for these, longer sketches repeat the step with less to spare.
+3. What is left in a sketch after the first value that it shares with another
+   bounds what the two have in common, and so, with the sizes, which pairs can be
+   similar at all.  The sketch of the union estimates the similarity and filters;
+   the exact Jaccard of the full sets decides.
+4. First each list is tried against one member only, the one whose values are the
+   most common.  What that already joins needs no further pair; then pairs are
+   tried only across components that still meet in a list.  So large groups of
+   near copies cost rows in proportion to their members, and no link between
+   components is lost.
 
 Defined cases: a text that is null or has no words has an empty set and links
 with nothing; fewer than five words make one shingle; rows that repeat a
@@ -35,10 +39,12 @@ from statloom.storage import materialize
 SHINGLE = 5
 #: Similarity in hundredths.
 ALIKE = 75
-#: Sketch size, and how many values the sketches of two similar sets share at least.
+#: Sketch size, and how many values the sketches of two similar sets share at least: first of all classes, then of those
+#: that meet others.
 K, LEAST = 64, 28
-#: Up to this size, partners' sketches are their whole sets.
-WHOLE = K * ALIKE // 100
+K_LONG, LEAST_LONG = 256, 158
+#: How much two long sketches may understate the share of common values (with that same chance).
+MARGIN = 0.11
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -86,30 +92,47 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += 256
 
 
-def _prefix(sketches: DataFrame) -> DataFrame:
-    """``(value, doc_id, n)``: the rarest values of each sketch, as many as similar sets must share one of."""
+def _prefix(sketches: DataFrame, k: int, least: int, name: str) -> DataFrame:
+    """``(value, doc_id, n, left, weight)``: the rarest values of each sketch, as many as similar sets must share one of.
+
+    ``left`` values of the sketch, this one and more frequent ones, are in other
+    sketches, too.  ``weight`` is how often others have a value on average.
+    """
     values = sketches.select("doc_id", "n", F.explode("sketch").alias("value"))
-    shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "minhash-values")
-    size = F.least("n", F.lit(K))
-    least = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * ALIKE / 100)).otherwise(LEAST)
-    kept = values.join(shared, "value").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("kept"))
+    shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"minhash-values-{name}")
+    size = F.least("n", F.lit(k))
+    # Up to three quarters of the sketch size, partners' sketches are their whole sets.
+    needed = F.when(F.col("n") <= k * ALIKE // 100, F.ceil(F.col("n") * ALIKE / 100)).otherwise(least)
+    rare = F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "value"))))
+    kept = values.join(shared, "value").groupBy("doc_id", "n").agg(rare.alias("kept"))
     # Values of one document only come first in the order and meet nobody.
-    slots = (size - least + 1) - (size - F.size("kept"))
-    some = kept.withColumn("slots", slots.cast("int")).where("slots > 0")
-    return some.select("doc_id", "n", F.explode(F.slice("kept", F.lit(1), F.col("slots")).getField("value")).alias("value"))
+    slots = (size - needed + 1) - (size - F.size("kept"))
+    weight = F.aggregate("kept", F.lit(0.0), lambda total, v: total + v["df"]) / size
+    some = kept.withColumns({"slots": slots.cast("int"), "weight": weight, "met": F.size("kept")}).where("slots > 0")
+    places = some.select("doc_id", "n", "met", "weight", F.posexplode(F.slice("kept", F.lit(1), F.col("slots")).getField("value")).alias("place", "value"))
+    return places.select("value", "doc_id", "n", (F.col("met") - F.col("place")).alias("left"), "weight")
+
 
+def _possible(na: Column, left_a: Column, nb: Column, left_b: Column) -> Column:
+    """Whether sets of these sizes can be similar if this value is the first that their sketches share.
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * ALIKE
+    Then no more than what is left in either order can be common.  Sketches that
+    are whole sets bound the intersection exactly.  Otherwise the larger set's
+    sketch is a sample of it, and both sketches hold what of the intersection is
+    in that sample, so that share bounds it but for chance.
+    """
+    larger, left = F.greatest(na, nb), F.least(left_a, left_b)
+    common = F.when(larger > K_LONG, larger * (left / K_LONG + MARGIN)).otherwise(left)
+    return (F.least(na, nb) * 100 >= larger * ALIKE) & (common * (100 + ALIKE) >= (na + nb) * ALIKE)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose union sketch does not rule out the similarity."""
     side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"s{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K_LONG)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.where(common * K >= F.size(union) * LEAST).select("a", "b")
+    return both.where(common * K_LONG >= F.size(union) * LEAST_LONG).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,39 +154,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")),
         "minhash-classes",
     )
-    prefix = materialize(_prefix(classes), "minhash-prefix")
-
-    # Each list against its smallest member.
-    pivots = materialize(prefix.groupBy("value").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("members")).where("members > 1"), "minhash-pivots")
-    members = prefix.join(pivots, "value")
-    sizes = classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    first = materialize(stars.join(sizes, "a").where(_sizes_allow(F.col("na"), F.col("nb"))).select("a", "b"), "minhash-stars")
-    met = materialize(members.select("doc_id").distinct(), "minhash-met")
+    short = materialize(_prefix(classes, K, LEAST, "short"), "minhash-short")
+    lists = short.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    meeting = materialize(short.join(lists, "value", "left_semi").select("doc_id").distinct(), "minhash-meeting")
     sets = materialize(
-        texts.join(met, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "minhash-sets"
+        texts.join(meeting, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "minhash-sets"
     )
-    links = materialize(_verified(_estimated(first, classes), sets), "minhash-links")
+    sketches = materialize(
+        sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, K_LONG).alias("sketch")), "minhash-sketches"
+    )
+    prefix = materialize(_prefix(sketches, K_LONG, LEAST_LONG, "long"), "minhash-prefix")
+
+    # Each list against one member: the one whose values are the most common, as the text is that the others derive from.
+    best = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "n", "left"))
+    pivots = prefix.groupBy("value").agg(best.alias("best"), F.count("*").alias("members")).where("members > 1")
+    pivots = materialize(
+        pivots.select("value", "members", (-F.col("best.minus")).alias("pivot"), F.col("best.n").alias("np"), F.col("best.left").alias("lp")), "minhash-pivots"
+    )
+    members = prefix.join(pivots, "value")
+    possible = _possible(F.col("np"), F.col("lp"), F.col("n"), F.col("left"))
+    pair = [F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")]
+    first = materialize(members.where((F.col("doc_id") != F.col("pivot")) & possible).select(*pair).distinct(), "minhash-stars")
+    links = materialize(_verified(_estimated(first, sketches), sets), "minhash-links")
     found = materialize(components(links, "minhash"), "minhash-components")
 
     # Pairs across components that still meet in a list of three or more.
     placed = members.where("members > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = materialize(placed.select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "minhash-placed")
+    placed = materialize(placed.select("value", "doc_id", "n", "left", F.coalesce("component", "doc_id").alias("component")), "minhash-placed")
     mixed_lists = materialize(
         placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value"),
         "minhash-mixed",
     )
     open_rows = materialize(placed.join(mixed_lists, "value", "left_semi"), "minhash-open")
-    left = open_rows.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_rows.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "left", "component")]
+    met_again = open_rows.select("value", *side("a")).join(open_rows.select("value", *side("b")), "value")
     across = (
-        left.join(right, "value")
-        .where((F.col("ca") < F.col("cb")) & _sizes_allow(F.col("na"), F.col("nb")))
+        met_again.where((F.col("component_a") < F.col("component_b")) & _possible(*(F.col(c) for c in ("n_a", "left_a", "n_b", "left_b"))))
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = materialize(_verified(_estimated(materialize(across, "minhash-across"), classes), sets), "minhash-more")
+    more = materialize(_verified(_estimated(materialize(across, "minhash-across"), sketches), sets), "minhash-more")
     if not more.isEmpty():
         found = materialize(components(links.union(more), "minhash"), "minhash-components")
 

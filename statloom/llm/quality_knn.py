@@ -216,7 +216,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Voters:
         .limit(SAMPLE)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("at", "quality", "text")
-    rows = sorted((r["at"], r["quality"], bytes(r["terms"])) for r in known.mapInArrow(_terms, "at long, quality int, terms binary").collect())
+    # Rows that repeat an id count once.
+    found = known.mapInArrow(_terms, "at long, quality int, terms binary").groupBy("at", "quality").agg(F.min("terms").alias("terms"))
+    rows = sorted((r["at"], r["quality"], bytes(r["terms"])) for r in found.collect())
     terms = np.array([np.frombuffer(r[2], np.float32) for r in rows[:SAMPLE]], np.float32).reshape(-1, TERMS)
     return fit(terms, np.array([r[1] == 1 for r in rows[:SAMPLE]], float))
 

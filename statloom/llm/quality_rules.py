@@ -222,8 +222,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
     known = docs.select(F.col("doc_id").alias("_id"), F.col("text")).join(F.broadcast(chosen), "_id")
     measured = known.select("_at", "_id", "_quality", statistics(F.col("text")).alias("s"))
     columns = shares(F.col("s"))
-    rows = measured.select("_at", "_id", "_quality", base_failed(F.col("s")).alias("failed"), *(columns[c].alias(c) for c in SHARES)).collect()
-    rows = sorted(tuple(r) for r in rows if not r["failed"])
+    shown = measured.select("_at", "_id", "_quality", base_failed(F.col("s")).alias("failed"), *(columns[c].alias(c) for c in SHARES))
+    rows = sorted(tuple(r) for r in shown.dropDuplicates(["_id"]).collect() if not r["failed"])
     x = np.array([r[4:] for r in rows], float).reshape(-1, len(SHARES))
     return x, np.array([r[2] == 0 for r in rows], bool)
 

@@ -45,6 +45,20 @@ def test_large_group_of_near_copies_and_a_common_line(spark):
     assert got == plain.near_duplicates(rows)
 
 
+def test_short_and_long_sets_that_contain_each_other(spark):
+    """Similarities about the threshold by growing a text, for sets smaller and larger than the sketches."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefghijklm", k=6))
+    rows = []
+    for k, size in enumerate((8, 60, 150, 190, 230, 256, 300, 700, 1500)):
+        words = [word() for _ in range(int(size * 1.8))]
+        rows += [(k * 10 + i, " ".join(words[: int(size * r)])) for i, r in enumerate((1.0, 1.3, 1.36, 1.7))]
+        noisy = [w if draw.random() < 0.97 else word() for w in words[:size]]
+        rows.append((k * 10 + 5, " ".join(noisy)))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect(), "n_shingles", "component_id", "kept")
+    assert got == plain.near_duplicates(rows)
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None), (3, "")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
