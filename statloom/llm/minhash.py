@@ -42,9 +42,9 @@ ALIKE = 75
 #: Sketch size, and how many values the sketches of two similar sets share at least: first of all classes, then of those
 #: that meet others.
 K, LEAST = 64, 28
-K_LONG, LEAST_LONG = 256, 158
+K_LONG, LEAST_LONG = 512, 336
 #: How much two long sketches may understate the share of common values (with that same chance).
-MARGIN = 0.11
+MARGIN = 0.08
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -101,8 +101,10 @@ def _prefix(sketches: DataFrame, k: int, least: int, name: str) -> DataFrame:
     values = sketches.select("doc_id", "n", F.explode("sketch").alias("value"))
     shared = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"minhash-values-{name}")
     size = F.least("n", F.lit(k))
-    # Up to three quarters of the sketch size, partners' sketches are their whole sets.
-    needed = F.when(F.col("n") <= k * ALIKE // 100, F.ceil(F.col("n") * ALIKE / 100)).otherwise(least)
+    # Up to three quarters of the sketch size, partners' sketches are their whole sets; a union that the sketches hold
+    # whole has no fewer common values than the similarity asks for, a larger one ``least``.
+    whole = F.ceil(F.col("n") * ALIKE / 100)
+    needed = F.when(F.col("n") <= k * ALIKE // 100, whole).otherwise(F.least(whole, F.lit(least)))
     rare = F.array_distinct(F.sort_array(F.collect_list(F.struct("df", "value"))))
     kept = values.join(shared, "value").groupBy("doc_id", "n").agg(rare.alias("kept"))
     # Values of one document only come first in the order and meet nobody.
