@@ -21,6 +21,7 @@ are separate pieces; an empty table gives no sequences.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,8 @@ PARTS = (1.0, 0.8, 0.5, 0.25, 0.1, 0.0)
 #: Configurations kept for rounding; the rest of the fractional solution goes to best fit.
 SUPPORT = 16_384
 #: Encoded words kept by a worker, and the longest kept.
-CACHED_WORDS, CACHED_BYTES = 500_000, 64
+CACHED_WORDS, CACHED_BYTES = 900_000, 64
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 Config = tuple[tuple[int, int], ...]
 
@@ -66,21 +68,32 @@ class WordEncoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(text or "").encode().split() for text in texts]
+        split = [self._words(text) for text in texts]
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list({word for words in split for word in words if word not in known})
-        for first in range(0, len(new), 4096):
-            part = new[first : first + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        new = {word for words in split for word in words if word not in known}
+        # Letters and a mark after them are always separate tokens.
+        marked = [word for word in new if word[-1:] in MARKS and word[:-1].isalpha()]
+        plain = list((new - set(marked)) | {part for word in marked for part in (word[:-1], word[-1:]) if part not in known})
+        for first in range(0, len(plain), 4096):
+            part = plain[first : first + 4096]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        for word in marked:
+            known[word] = known[word[:-1]] + known[word[-1:]]
         out = [b"".join([known[word] for word in words]) for words in split]
-        for word in new:
+        for word in {*new, *plain}:
             if len(word) > CACHED_BYTES:
                 del known[word]
         return out
 
+    @staticmethod
+    def _words(text: str | None) -> list[bytes]:
+        """Pieces between ASCII white space; the tokenizer folds case, but for its special tokens."""
+        data = (text or "").encode()
+        return (data if b"<|" in data else data.lower()).split()
+
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
