@@ -42,7 +42,7 @@ def test_all_rows_have_counts_digest_and_spans(docs, doc_rows):
             kind, a, b = s.split(":")
             found = texts[r["doc_id"]][int(a) : int(b)]
             if kind == "key":
-                assert re.fullmatch("[0-9a-f]{40}", found)
+                assert re.fullmatch("[0-9a-fA-F]{40}", found)
     assert {"email", "ip", "card", "phone", "key"} <= kinds
 
 
