@@ -233,7 +233,7 @@ def decoded(tokens: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                texts = [unigram.decode(ids.as_py() or []) for ids in some.column("ids")]
+                texts = [unigram.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in some.column("ids")]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), some.column("ids"), pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     return tokens.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
