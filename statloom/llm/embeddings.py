@@ -1,18 +1,21 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by buckets of random signs, each compared whole.
 
 1. Equal vectors of a label become one row with a count, so copies cost nothing
    more.  Null, zero and non-finite vectors and null labels take no part.
-2. In each pass, a vector's key is the concatenation of ``BITS`` random
-   hyperplane signs (other hyperplanes each pass).  Vectors are sorted by label
-   and key, and each is compared with the ``WINDOW`` next ones, exactly.  The
-   number of passes follows the number of vectors, so that a pair at the
-   threshold is missed with a chance below ``MISSED``.
-3. Verified pairs of all passes are united to components.  Windows see only part
-   of a large component, so its members are then compared in blocks of bounded
-   size: no link inside a component is lost, however many partners a vector has.
-
-Similarity is the cosine in double precision.  Repeated ids are separate rows;
-ties in the sort order are broken by id.  An empty table gives no rows.
+2. In each pass, a vector's bucket is its signs at ``depth`` random hyperplanes
+   (other hyperplanes each pass).  All members of a bucket are compared, exactly,
+   in blocks of bounded size.  A sign differs with chance ``angle / pi`` wherever
+   two vectors lie, so the passes that a depth needs do not depend on the data: a
+   pair at the threshold is in no common bucket with a chance below ``MISSED``.
+3. Depth only decides about cost.  Each label takes the one that is cheapest by
+   the collisions measured on a sample of its keys; at depth 0 a single pass
+   compares all vectors of the label.  Vectors around a common centre, which share
+   most signs, so get deeper buckets and more passes, or one comparison of all.
+4. Verified pairs of all passes are united to components, and the members of each
+   are compared in blocks: no link inside a component is lost.
+
+Similarity is the cosine in double precision.  Repeated ids are separate rows.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +33,27 @@ from statloom.storage import materialize
 
 THRESHOLD = 0.98
 BITS = 62
+#: Rows of a group that vectors without a common direction are to be split into, in ``passes_for``.
 WINDOW = 32
 MISSED = 1e-6
-#: Rows of a component that are compared with as many others at a time.
+#: Rows of a bucket or component that are compared with as many others at a time.
 BLOCK_ROWS = 2048
+#: Bits of a bucket that are considered, rows of a label read to choose, comparisons that cost as much as moving a row.
+DEPTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 22, 24, 28, 32, 40, 48)
+SAMPLE = 8192
+MOVE = 256
 SEED = 20240517
 
 
-def passes_for(rows: int, threshold: float = THRESHOLD) -> int:
-    """Passes after which a pair at the threshold has been neighbours with a chance of ``1 - MISSED``.
+def passes_at(depth: float, threshold: float = THRESHOLD) -> int:
+    """Passes after which a pair at the threshold has shared ``depth`` signs in one with a chance of ``1 - MISSED``."""
+    near = (1 - math.acos(threshold) / math.pi) ** depth
+    return 1 if near >= 1 else math.ceil(math.log(MISSED) / math.log(1 - near))
+
 
-    Sorted neighbours share about as many leading signs as it takes to tell
-    ``rows / WINDOW`` groups apart; each sign is equal with ``1 - angle / pi``.
-    """
-    leading = max(1.0, math.log2(max(2.0, rows / WINDOW)) + 1)
-    near = (1 - math.acos(threshold) / math.pi) ** leading
-    return max(4, math.ceil(math.log(MISSED) / math.log(1 - near)))
+def passes_for(rows: int, threshold: float = THRESHOLD) -> int:
+    """Passes for vectors without a common direction, whose signs split them evenly; others need more."""
+    return max(4, passes_at(max(1.0, math.log2(max(2.0, rows / WINDOW)) + 1), threshold))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,96 +65,94 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _signs(x: np.ndarray, turn: int) -> np.ndarray:
-    planes = np.random.default_rng([SEED, turn]).standard_normal((x.shape[1], BITS))
-    return (((x @ planes) >= 0) @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
-
-
-def _keys(turns: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("size").to_numpy()
-            for size in np.unique(sizes):  # usually one
-                rows = batch.filter(pa.array(sizes == size))
-                x = _matrix(rows.column("embedding"))
-                for turn in range(turns):
-                    columns = [pa.array(np.full(len(x), turn), pa.int32()), pa.array(_signs(x, turn)), *(rows.column(c) for c in ("label", "size", "id", "embedding"))]
-                    yield pa.RecordBatch.from_arrays(columns, ["turn", "key", "label", "size", "id", "embedding"])
-
-    return run
+def _signs(x: np.ndarray, turn: int, depth: int = BITS) -> np.ndarray:
+    planes = np.random.default_rng([SEED, turn]).standard_normal((x.shape[1], BITS))[:, :depth]
+    return (((x @ planes) >= 0) @ (np.int64(1) << np.arange(depth, dtype=np.int64)[::-1])).astype(np.int64)
 
 
-PAIRS = "a long, b long, seam int, side int, turn int, label int, size int, id long, embedding array<float>"
-_NAMES = [f.split()[0] for f in PAIRS.split(", ")]
-_ROW = ["turn", "label", "size", "id", "embedding"]
+def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signs of a pass, for measuring how many rows share them."""
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes):  # usually one
+            rows = batch.filter(pa.array(sizes == size))
+            keys = pa.array(_signs(_matrix(rows.column("embedding")), 0))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("label", "size", "n")), keys], ["label", "size", "n", "key"])
 
 
-def _compare(x: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs at most ``WINDOW`` apart whose later member is at ``fresh`` or after."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for step in range(1, WINDOW + 1):
-        later = np.arange(max(fresh, step), len(x))
-        near = later[np.einsum("ij,ij->i", x[later - step], x[later]) >= THRESHOLD]
-        a.append(ids[near - step])
-        b.append(ids[near])
-    return np.concatenate(a), np.concatenate(b)
+BUCKET = "turn int, label int, size int, bucket long"
+_BUCKET = ["turn", "label", "size", "bucket"]
 
 
-def _groups(rows: pa.RecordBatch) -> list[tuple[int, int]]:
-    """Stretches of sorted rows of one pass, label and vector size."""
-    group = np.stack([rows.column(c).to_numpy() for c in ("turn", "label", "size")], 1)
-    bounds = [0, *(np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1).tolist(), len(group)]
-    return list(zip(bounds, bounds[1:]))
+def _buckets(kept: list[str]):
+    """The bucket of each row in each of its label's passes, with the columns ``kept``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = np.stack([batch.column(c).to_numpy() for c in ("size", "depth", "turns")], 1)
+            for kind in np.unique(kinds, axis=0):  # few: labels share them
+                rows = batch.filter(pa.array((kinds == kind).all(1)))
+                x = _matrix(rows.column("embedding"))
+                for turn in range(kind[2]):
+                    columns = [pa.array(np.full(len(x), turn), pa.int32()), rows.column("label"), rows.column("size"), pa.array(_signs(x, turn, int(kind[1])))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(rows.column(c) for c in kept)], [*_BUCKET, *kept])
 
-def _sorted_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of a sorted partition, and its first and last rows for the seams between partitions."""
-    part = TaskContext.get().partitionId()
-    kept: pa.RecordBatch | None = None
-    head = 0
+    return run
 
-    def edge(rows: pa.RecordBatch, side: int) -> pa.RecordBatch:
-        """A partition's last rows (side 1) meet the next partition's first rows (side 0) under that one's number."""
-        n = rows.num_rows
-        numbers = [pa.array(np.full(n, v), pa.int32()) for v in (part + side, side)]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *numbers, *(rows.column(c) for c in _ROW)], _NAMES)
 
+def _forest(x: np.ndarray, y: np.ndarray | None) -> tuple[list[int], list[int]]:
+    """Near pairs inside ``x``, or between ``x`` and ``y``, that connect what all near pairs connect: fewer than rows."""
+    a, b = [], []
+    other = x if y is None else y
+    group = np.arange(len(other))
+    for first in range(0, len(x), 256):
+        near = x[first : first + 256] @ other.T >= THRESHOLD
+        if y is None:  # each row with those before it
+            near &= np.arange(len(x)) < first + np.arange(len(near))[:, None]
+        for i in np.flatnonzero(near.any(1)):
+            partners = np.flatnonzero(near[i])
+            found, at = np.unique(group[partners], return_index=True)
+            a += [first + int(i)] * len(found)
+            b += partners[at].tolist()
+            if len(found) > 1:
+                group[np.isin(group, found)] = found[0]
+            if y is None:
+                group[first + i] = found[0]
+    return a, b
+
+
+_BLOCK = [*_BUCKET, "low", "high"]
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside a block of a bucket (one side) or between two of its blocks, from rows sorted by block."""
+
+    def links(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        group = np.stack([rows.column(c).to_numpy() for c in _BLOCK], 1)
+        bounds = [0, *(np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1).tolist(), len(group)]
+        ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low, high in zip(bounds, bounds[1:] if last else bounds[1:-1]):
+            middle = low + int((side[low:high] == 0).sum())
+            own = group[low][-2] == group[low][-1]
+            if (high - low < 2) if own else (middle in (low, high)):
+                continue
+            x = _matrix(rows.column("embedding").slice(low, high - low))
+            i, j = _forest(x, None) if own else _forest(x[: middle - low], x[middle - low :])
+            a.append(ids[low + np.array(i, np.int64)])
+            b.append(ids[(low if own else middle) + np.array(j, np.int64)])
+        found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        return found, rows.slice(len(group) if last else bounds[-2])
+
+    kept: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if head < WINDOW:
-            first = batch.slice(0, WINDOW - head)
-            head += first.num_rows
-            yield edge(first, 0)
-        rows, old = batch.select(_ROW), 0
-        if kept is not None:
-            old = kept.num_rows
-            rows = pa.Table.from_batches([kept, rows]).combine_chunks().to_batches()[0]
-        ids = rows.column("id").to_numpy()
-        for low, high in _groups(rows):
-            if high > old:
-                a, b = _compare(_matrix(rows.column("embedding").slice(low, high - low)), ids[low:high], max(0, old - low))
-                none = [pa.nulls(len(a), k) for k in [pa.int32()] * 5 + [pa.int64(), pa.list_(pa.float32())]]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], _NAMES)
-        kept = rows.slice(max(0, rows.num_rows - WINDOW))
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            found, kept = links(rows, False)
+            yield found
     if kept is not None:
-        yield edge(kept, 1)
-
-
-def _seam(rows: pa.Table) -> pa.Table:
-    """Near pairs across one seam between partitions: at most ``WINDOW`` rows on either side."""
-    side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
-    group = np.stack([rows.column(c).to_numpy() for c in ("turn", "label", "size")], 1)
-    vectors = rows.column("embedding").combine_chunks()
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for key in np.unique(group, axis=0):
-        same = (group == key).all(1)
-        left, right = np.flatnonzero(same & (side == 1)), np.flatnonzero(same & (side == 0))
-        if len(left) and len(right):
-            i, j = np.nonzero(_matrix(vectors.take(pa.array(left))) @ _matrix(vectors.take(pa.array(right))).T >= THRESHOLD)
-            a.append(ids[left[i]])
-            b.append(ids[right[j]])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        yield links(kept, True)[0]
 
 
 def _block_links(rows: pa.Table) -> pa.Table:
@@ -177,6 +182,35 @@ def _usable() -> Column:
     return F.coalesce(known & ~broken & F.exists("embedding", lambda v: v != 0), F.lit(False))
 
 
+def _settled(classes: DataFrame) -> DataFrame:
+    """``classes`` with the ``depth`` and ``turns`` that cost their label least; labels within a block are compared whole."""
+    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    some = classes.join(F.broadcast(materialize(sizes, "vectors-sizes")), ["label", "size"]).where(F.expr(f"pmod(xxhash64(id), n) < {SAMPLE}"))
+    keys = some.select("label", "size", "n", "embedding").mapInArrow(_sample_keys, "label int, size int, n long, key long")
+    offers = F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(passes_at(d)).alias("turns")) for d in DEPTHS))
+    group = ["label", "size", "n", "offer"]
+    met = keys.withColumn("offer", F.explode(offers)).groupBy(*group, F.expr(f"shiftright(key, {BITS} - offer.depth)").alias("shared")).agg(F.count("*").cast("double").alias("c"))
+    scale = F.greatest(F.col("n") / SAMPLE, F.lit(1.0))
+    pairs = met.groupBy(*group).agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) * scale * scale).alias("pairs"))
+    cost = F.col("offer.turns") * (MOVE * F.col("n") + F.col("pairs"))
+    chosen = materialize(pairs.groupBy("label", "size").agg(F.min_by("offer", cost).alias("offer")).select("label", "size", "offer.*").where("depth > 0"), "vectors-depths")
+    return classes.join(F.broadcast(chosen), ["label", "size"], "left").fillna({"depth": 0, "turns": 1})
+
+
+def _spread(rows: DataFrame, key: list[str], *columns: str) -> DataFrame:
+    """Rows of groups of ``blocks`` blocks, once for each block that their own meets (also itself)."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select(
+        *key,
+        F.least("own", "with").alias("low"),
+        F.greatest("own", "with").alias("high"),
+        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
+        "id",
+        *columns,
+    )
+
+
 def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors (vec_id, embedding, label)``."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
@@ -188,27 +222,17 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         .withColumn("size", F.size("embedding")),
         "vectors-classes",
     )
-    keyed = classes.mapInArrow(_keys(passes_for(classes.count())), "turn int, key long, label int, size int, id long, embedding array<float>")
-    order = ["turn", "label", "size", "key", "id"]
-    ranged = materialize(keyed, "vectors-keyed").repartitionByRange(*order).sortWithinPartitions(*order)
-    passes = materialize(ranged.mapInArrow(_sorted_neighbours, PAIRS), "vectors-passes")
-    across = passes.where("a IS NULL").groupBy("seam").applyInArrow(_seam, "a long, b long")
-    links = passes.where("a IS NOT NULL").select("a", "b").union(across).distinct()
+    settled = _settled(classes)
+    counted = settled.mapInArrow(_buckets([]), BUCKET).groupBy(*_BUCKET).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    large = materialize(counted.where("blocks > 1"), "vectors-large")
+    bucketed = settled.mapInArrow(_buckets(["id", "embedding"]), f"{BUCKET}, id long, embedding array<float>").join(large, _BUCKET, "left").fillna({"blocks": 1})
+    dealt = _spread(bucketed, _BUCKET, "embedding").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "side", "id")
+    links = dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
     found = materialize(components(links, "vectors"), "vectors-components")
 
     blocks = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     members = found.join(materialize(blocks, "vectors-blocks"), "component").join(classes.withColumnRenamed("id", "node"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "component",
-        F.least("own", "with").alias("low"),
-        F.greatest("own", "with").alias("high"),
-        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
-        F.col("node").alias("id"),
-        "copies",
-        "embedding",
-    )
+    spread = _spread(members.withColumnRenamed("node", "id"), ["component"], "copies", "embedding")
     counted = spread.groupBy("component", "low", "high").applyInArrow(_block_links, "id long, links long")
     counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.select("label", "x", "y", "id", "copies").join(found.withColumnRenamed("node", "id"), "id", "left").join(counted, "id", "left")

@@ -143,3 +143,41 @@ def test_no_vectors(spark):
 
 def test_more_rows_need_more_passes():
     assert embeddings.passes_for(0) < embeddings.passes_for(10**6) < embeddings.passes_for(10**9) < 200
+
+
+def around_a_centre(rows, pairs, spread, seed=2):
+    """Vectors of one label close to each other, of which some have a partner just beyond the threshold."""
+    draw = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(unit(draw.standard_normal(64)) + spread * unit(draw.standard_normal((rows, 64))))
+    aside = draw.standard_normal((pairs, 64))
+    aside = unit(aside - (aside * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.9815 * x[:pairs] + np.sqrt(1 - 0.9815**2) * aside])
+    ids = draw.permutation(len(x)).tolist()
+    return [(i, v.tolist(), 0) for i, v in zip(ids, x)]
+
+
+@pytest.mark.parametrize("rows, spread, block, move", [(1500, 0.25, 512, 256), (1500, 0.25, 256, 4), (1500, 0.7, 256, 4)])
+def test_vectors_around_a_centre(spark, monkeypatch, rows, spread, block, move):
+    """Signs split such vectors badly; with and without cost of moving them, so compared whole or by buckets."""
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embeddings, "MOVE", move, raising=False)
+    rows = around_a_centre(rows, 200, spread)
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {r[0]: w for r, w in zip(rows, plain.vector_links(rows))}
+
+
+def test_vectors_over_more_partitions_than_rows(spark):
+    rows = around_a_centre(16, 8, 2.0, 5)
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicate_vectors(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {r[0]: w for r, w in zip(rows, plain.vector_links(rows))}
