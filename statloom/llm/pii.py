@@ -44,13 +44,13 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
-# Generators: kind, pattern, and what a text must contain to be searched.
+# Generators: kind, pattern, and what a text must contain to be searched.  Keys and names may have any length.
 GENERATORS = {
     "address": (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++ ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}",
         r"(?:\[at\]|\(at\)| at )",
     ),
-    "key": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,200}+(?![A-Za-z0-9_-])", r"[A-Za-z0-9_-]{24}"),
+    "key": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", r"[A-Za-z0-9_-]{24}"),
     "number": (r"(?<![0-9])[0-9]{9,19}(?![0-9])", r"[0-9]{9}"),
     "formatted": (
         r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{4}(?![0-9])",
@@ -220,7 +220,9 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
             right = np.cumsum(t[order]) / np.arange(1, len(s) + 1)
             last = np.append(s[order][1:] != s[order][:-1], True)  # equal scores are selected together
             good = np.flatnonzero((right >= PRECISION) & last)
-            model.thresholds[kind] = float(max(0.0, s[order][good[-1]])) if len(good) else float("inf")
+            # Between the last score selected and the next, so that neither ``>`` nor rounding drops what is selected.
+            ranked = np.append(s[order], s.min() - 1.0)
+            model.thresholds[kind] = float(max(0.0, ranked[good[-1] : good[-1] + 2].mean())) if len(good) else float("inf")
 
 
 def learn(docs: DataFrame) -> Model:

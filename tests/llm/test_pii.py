@@ -90,3 +90,17 @@ def test_trees_as_columns_equal_trees_in_numpy(spark):
 def test_scoring_stays_in_the_jvm(docs):
     plan = pii.personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_keys_and_names_of_any_length(spark, docs):
+    draw = random.Random(8)
+    keys = {1000 + n: "".join(draw.choices("0123456789abcdef", k=n)) for n in (40, 200, 201, 240, 5000)}
+    more = spark.createDataFrame([(d, f"some words token = {key} and more") for d, key in keys.items()], "doc_id BIGINT, text STRING")
+    both = docs.select("doc_id", "text").union(more)
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(both).where("doc_id >= 1000").collect()}
+    assert all(f"key:19:{19 + len(key)}" in spans[d] for d, key in keys.items())
+    texts = {r["doc_id"]: r["text"] for r in pii.redacted(both).where("doc_id >= 1000").collect()}
+    assert set(texts.values()) == {"some words token = [KEY] and more"}
+    long = "ana." + "b" * 5000 + " [at] example [dot] com"
+    offered = spark.createDataFrame([(long,)], "text STRING").select(pii.proposals(F.col("text"))["address"].alias("a")).first()["a"]
+    assert [(x["start"], x["end"]) for x in offered] == [(0, len(long))]
