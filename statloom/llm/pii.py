@@ -9,7 +9,9 @@ per generator, set for precision on held-out proposals, selects the redactions.
 There are no labelled spans, so the trees learn from what is sure: proposals
 that overlap a fixed format or follow a key's name (``token = ``) are positive,
 proposals without digits and without such a name are negative; the rest takes
-no part in learning.  Learning reads a bounded sample; searching, scoring and
+no part in learning.  Spelled-out addresses overlap no e-mail: the e-mails, spelled
+out, are their positives, and their negatives have neither a written dot nor brackets
+nor a known top-level domain.  Learning reads a bounded sample; searching, scoring and
 redacting are column expressions over whole texts and run in the JVM only.
 
 Defined cases: a null text counts as empty; equal texts get equal spans;
@@ -60,8 +62,13 @@ GENERATORS = {
 
 KINDS = ["email", "ip", "card", "phone"]
 SPAN = "struct<start:int,end:int,s:string,before:string>"
-FEATURES = ["generator", "size", "digits", "letters", "capitals", "others", "past_f", "varied", "keyed", "contact", "luhn"]
+FEATURES = ["generator", "size", "digits", "letters", "capitals", "others", "past_f", "varied", "keyed", "contact", "luhn", "spelled"]
 _KEY_NAME = r"(?i)(?:token|key|secret|passw|credential|auth)[^A-Za-z0-9]*$"
+#: What tells a spelled-out address from 'at' in running prose; and the part of an e-mail that would be proposed.
+_MARKED = r"\[at\]|\(at\)|\[dot\]|\(dot\)| dot "
+_TOP_LEVEL = r"\.(?:com|org|net|edu|gov|mil|info|biz|io|eu|uk|de|fr|es|nl|ch|jp|ru|cn|br)$"
+_PLAIN_EMAIL = r"^([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]{2,24}).*$"
+_SPELLINGS = ("$1 [at] $2 [dot] $3", "$1 at $2 dot $3", "$1(at)$2(dot)$3", "$1 at $2.$3")
 _CONTACT_NAME = r"(?i)(?:phone|tel|fax|call|mail|card|account|iban|ssn)[^A-Za-z0-9]*$"
 
 
@@ -126,6 +133,7 @@ def _features(kind: str, x: Column) -> Column:
         "keyed": x["before"].rlike(_KEY_NAME).cast("int"),
         "contact": x["before"].rlike(_CONTACT_NAME).cast("int"),
         "luhn": _luhn(s).cast("int"),
+        "spelled": F.when(s.rlike(_MARKED), 2).when(s.rlike(_TOP_LEVEL), 1).otherwise(0) if kind == "address" else F.lit(0),
     }
     return F.struct(*(values[f].cast("int").alias(f) for f in FEATURES))
 
@@ -241,10 +249,17 @@ def learn(docs: DataFrame) -> Model:
     def examples_of(kind: str) -> Column:
         return F.transform(f"of_{kind}", lambda x: example(kind, x))
 
-    listed = some.select("at", flat.alias("fixed"), *(a.alias(f"of_{kind}") for kind, a in offers.items()))
-    examples = F.flatten(F.array(*(examples_of(kind) for kind in GENERATORS)))
+    def spelled(x: Column, how: str) -> Column:
+        """An e-mail as it would be proposed if it were spelled out."""
+        as_if = F.struct(F.regexp_replace(x["s"], _PLAIN_EMAIL, how).alias("s"), x["before"].alias("before"))
+        return F.struct(_features("address", as_if).alias("f"), F.lit(True).alias("sure"), x["start"].alias("start"))
+
+    plain = F.filter("emails", lambda x: x["s"].rlike(_PLAIN_EMAIL))
+    taught = [F.transform(F.filter(plain, lambda x: x["start"] % len(_SPELLINGS) == i), lambda x: spelled(x, how)) for i, how in enumerate(_SPELLINGS)]
+    listed = some.select("at", flat.alias("fixed"), base["email"].alias("emails"), *(a.alias(f"of_{kind}") for kind, a in offers.items()))
+    examples = F.flatten(F.array(*(examples_of(kind) for kind in GENERATORS), *taught))
     rows = listed.select("at", F.explode(examples).alias("e")).select("at", "e.*")
-    told = rows.where((F.col("sure")) | (F.col("f.keyed") == 1) | (F.col("f.digits") == 0))
+    told = rows.where((F.col("sure")) | (F.col("f.keyed") == 1) | ((F.col("f.digits") == 0) & (F.col("f.spelled") == 0)))
     sampled = told.select(F.xxhash64("at", "start").alias("order"), *(F.col("f")[c].alias(c) for c in FEATURES), (F.col("sure") | (F.col("f.keyed") == 1)).alias("y"))
     got = sorted(tuple(r) for r in sampled.orderBy("order").limit(TRAINING_SPANS).collect())
     if not got:

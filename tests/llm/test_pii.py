@@ -104,3 +104,15 @@ def test_keys_and_names_of_any_length(spark, docs):
     long = "ana." + "b" * 5000 + " [at] example [dot] com"
     offered = spark.createDataFrame([(long,)], "text STRING").select(pii.proposals(F.col("text"))["address"].alias("a")).first()["a"]
     assert [(x["start"], x["end"]) for x in offered] == [(0, len(long))]
+
+
+def test_spelled_out_addresses_are_selected(spark, docs):
+    shown = ["ana [at] example [dot] com", "ana at example dot com", "ana(at)example(dot)com"]
+    prose = ["we looked at pictures. Then we left", "they sat at tables. Nobody came"]
+    texts = {1000 + i: f"please write to {t} or so" for i, t in enumerate(shown)} | {2000 + i: t for i, t in enumerate(prose)}
+    mails = [(3000 + i, f"ask {n}@example.com or come") for i, n in enumerate(("ana", "bob.b", "carl", "dora-d", "emil", "f.g", "gus", "hal", "ina_k", "jo") * 3)]
+    told = [(4000 + i, f"{w} at {v}. {u} went on") for i, (w, v, u) in enumerate((("sat", "home", "She"), ("look", "that", "He"), ("arrive", "noon", "We")) * 10)]
+    rows = [*texts.items(), *((d, f"{d} {t}") for d, t in [*mails, *told])]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(both).where("doc_id >= 1000 AND doc_id < 3000").collect()}
+    assert got == {d: f"address:16:{len(t) - 6}" if d < 2000 else "" for d, t in texts.items()}
