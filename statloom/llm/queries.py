@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import embeddings, html, minhash, packing, pii, quality_knn, quality_rules, substrings, unigram
+from statloom.llm import (
+    embeddings, filter_audit, html, importance, minhash, oracles, packing, pii, piecewise, quality_knn, quality_rules, substrings, unigram,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,8 +53,27 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resampled(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return piecewise.fingerprints(_table(spark, folder, "documents"))
+
+
 QUERIES = [
     op1_best_fit_packing, op2_html_extraction, op3_quality_classifier, op4_quality_rules, op5_substring_dedup, op6_embedding_dedup,
-    op7_token_counts, op8_minhash, op9_sentencepiece, op10_pii,
+    op7_token_counts, op8_minhash, op9_sentencepiece, op10_pii, op11_importance_resampling, op12_filter_audit,
+    op13_piecewise_fingerprints,
 ]
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": oracles.SUBSTRINGS,
+    "op6_embedding_dedup": oracles.EMBEDDINGS,
+    "op8_minhash": oracles.NEAR_DUPLICATES,
+    "op11_importance_resampling": oracles.IMPORTANCE,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
+}
