@@ -12,11 +12,12 @@
    bounds what the two have in common, and so, with the sizes, which pairs can be
    similar at all.  The sketch of the union estimates the similarity and filters;
    the exact Jaccard of the full sets decides.
-4. First each list is tried against one member only, the one whose values are the
-   most common.  What that already joins needs no further pair; then pairs are
-   tried only across components that still meet in a list.  So large groups of
-   near copies cost rows in proportion to their members, and no link between
-   components is lost.
+4. First each list is tried against one member only, its pivot, the one whose
+   values are the most common.  What that already joins needs no further pair.
+   Of members of other components, two that are similar have many differences
+   from the pivot in common, and so meet in inverted lists of these; edits are
+   mostly private, so the lists are short.  Large groups of near copies thus cost
+   rows in proportion to their members, and no link between components is lost.
 
 Defined cases: a text that is null or has no words has an empty set and links
 with nothing; fewer than five words make one shingle; rows that repeat a
@@ -146,6 +147,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * 100 >= union * ALIKE).select("a", "b")
 
 
+def _across(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one pivot, from two components, that can be similar; each pair once.
+
+    ``around`` has each member (but the pivot) with size, pivot, the pivot's size and its component.  Similar sets x and y
+    differ in no more than (n_x + n_y) / 7 values, and in D(x) + D(y) - 2 |common differences from the pivot|, D being
+    the number of differences from it.  So they have at least
+
+        (D(x) + D(y) - (n_x + n_y) / 7) / 2
+
+    differences in common, which is more than none unless both are similar to the pivot (and so in one component).
+    Inverted lists of the differences thus bring all of them together, and a member needs to be in the lists of its
+    rarest ones only.  How many follows from the smallest number above over all partners: D(x) exceeds D(y) by no more
+    than (n_x + n_y) / 7, so for a member farther from the pivot than its partner this is at least D - n / 3, for one
+    nearer D - n / 6, and for one similar to the pivot, whose partner is not, over (D + (n_p - n) / 7) / 2.  Differences
+    that one component only has come first in the order, and meet nobody.
+    """
+    side = lambda s, name: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(name))
+    both = around.join(side("pivot", "sp"), "pivot").join(side("doc_id", "sx"), "doc_id")
+    apart = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
+    far = materialize(both.select("pivot", "np", "doc_id", "n", "component", apart.alias("apart")), "minhash-apart")
+    each = far.select("pivot", "np", "doc_id", "n", "component", F.size("apart").alias("d"), F.explode("apart").alias("value"))
+    shared = each.groupBy("pivot", "value").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = materialize(shared.where("low < high").select("pivot", "value", "df"), "minhash-apart-values")
+    rare = F.sort_array(F.collect_list(F.struct("df", "value")))
+    kept = each.join(shared, ["pivot", "value"]).groupBy("pivot", "np", "doc_id", "n", "component", "d").agg(rare.alias("kept"))
+    similar = (100 + ALIKE) * F.col("d") <= (100 - ALIKE) * (F.col("n") + F.col("np"))
+    least = F.when(similar, F.floor((F.col("d") + (F.col("np") - F.col("n")) / 7) / 2) + 1).otherwise(1)
+    slots = lambda share: (F.size("kept") - F.greatest(least, F.ceil(F.col("d") - F.col("n") / share)) + 1).cast("int")
+    slotted = kept.withColumns({"farther": slots(3), "nearer": slots(6), "met": F.size("kept")}).where("farther > 0")
+    # A slice's places: the first ones hold for either role.
+    places = slotted.select("*", F.posexplode(F.slice("kept", F.lit(1), F.greatest("farther", "nearer")).getField("value")).alias("place", "value"))
+    rows = places.select("pivot", "value", "doc_id", "n", "component", "d", (F.col("met") - F.col("place")).alias("left"), (F.col("place") < F.col("nearer")).alias("near"))
+    rows = materialize(rows, "minhash-apart-lists")
+    role = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "d", "left")]
+    met = rows.select("pivot", "value", *role("x")).join(rows.where("near").select("pivot", "value", *role("y")), ["pivot", "value"])
+    nearer = F.struct("d_y", "doc_id_y") < F.struct("d_x", "doc_id_x")
+    sizes = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * ALIKE
+    common = F.least("left_x", "left_y")
+    enough = 2 * common * (100 + ALIKE) >= (F.col("d_x") + F.col("d_y")) * (100 + ALIKE) - (100 - ALIKE) * (F.col("n_x") + F.col("n_y"))
+    pairs = met.where(nearer & sizes & enough & (F.col("component_x") != F.col("component_y")))
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs (doc_id, text)``."""
     texts = docs.select("doc_id", "text")
@@ -180,23 +224,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(_estimated(first, sketches), sets), "minhash-links")
     found = materialize(components(links, "minhash"), "minhash-components")
 
-    # Pairs across components that still meet in a list of three or more.
+    # Members of lists that still hold two components or more, a pivot's lists taken together.
     placed = members.where("members > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = materialize(placed.select("value", "doc_id", "n", "left", F.coalesce("component", "doc_id").alias("component")), "minhash-placed")
-    mixed_lists = materialize(
-        placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value"),
-        "minhash-mixed",
-    )
-    open_rows = materialize(placed.join(mixed_lists, "value", "left_semi"), "minhash-open")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "left", "component")]
-    met_again = open_rows.select("value", *side("a")).join(open_rows.select("value", *side("b")), "value")
-    across = (
-        met_again.where((F.col("component_a") < F.col("component_b")) & _possible(*(F.col(c) for c in ("n_a", "left_a", "n_b", "left_b"))))
-        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    placed = placed.select("value", "pivot", "np", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialize(placed, "minhash-placed")
+    mixed_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    still_mixed = placed.join(mixed_lists.select("value"), "value", "left_semi").where("doc_id <> pivot")
+    around = materialize(still_mixed.select("pivot", "np", "doc_id", "n", "component").distinct(), "minhash-around")
+    across = _across(around, sets)
     more = materialize(_verified(_estimated(materialize(across, "minhash-across"), sketches), sets), "minhash-more")
     if not more.isEmpty():
         found = materialize(components(links.union(more), "minhash"), "minhash-components")

@@ -45,6 +45,43 @@ def test_large_group_of_near_copies_and_a_common_line(spark):
     assert got == plain.near_duplicates(rows)
 
 
+def test_a_family_about_a_base_that_none_is_linked_to(spark, monkeypatch):
+    """Members a third away from the base; some are linked to each other only; the pairs tried stay below the rows."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(400)]
+
+    def changed(words, share):
+        return [word() if draw.random() < share else w for w in words]
+
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        member = changed(base, 0.055)  # 5 shingles to a word: about 0.6 of the shingles are left, similarity 0.6 and below
+        rows.append((10 * i, " ".join(member)))
+        if i % 10 == 0:  # a chain that only leads to this member
+            for j in range(1, 4):
+                member = changed(member, 0.02)
+                rows.append((10 * i + j, " ".join(member)))
+    for i in range(60):  # the base without a passage: some pairs overlap enough
+        at = draw.randrange(280)
+        rows.append((5000 + i, " ".join(base[:at] + base[at + 120 :])))
+    rows += [(7000 + i, " ".join(base[: 300 + i])) for i in range(0, 100, 20)]
+    tried = {}
+    plain_write = minhash.materialize
+
+    def counted(frame, name):
+        written = plain_write(frame, name)
+        tried[name] = written.count()
+        return written
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect(), "n_shingles", "component_id", "kept")
+    want = plain.near_duplicates(rows)
+    assert got == want
+    assert len({c for _, c, _ in want.values()}) > 100 and any(got[10 * i + 3][1] == 10 * i for i in range(10, 120, 10))
+    assert tried["minhash-around"] > 100 and tried["minhash-across"] < 2 * len(rows)
+
+
 def test_short_and_long_sets_that_contain_each_other(spark):
     """Similarities about the threshold by growing a text, for sets smaller and larger than the sketches."""
     draw = random.Random(6)
