@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom import schemas
-from statloom.functions.text import counted_words, explode_words, words as text_words
+from statloom.functions.text import counted_words, explode_words, raw_words, words as text_words
+from statloom.operators import lookup
 from statloom.operators.lookup import lookup_join, measure
 from statloom.operators.words import top_words, without_words
 from statloom.storage import literal_table, load_model, materialize, save_model
@@ -132,14 +133,20 @@ def score(
 ) -> DataFrame:
     """``score1``, ``score0`` and ``predicted`` for each document; ids are unique.
 
-    Words are counted within the row, looked up and summed: the documents are
-    read once, and one row per document and distinct word moves.  Words outside
+    Words are looked up and summed: the documents are read once.  Where the model
+    is broadcast, every occurrence meets it where it is and only partial sums
+    move; otherwise words are counted within the row, and one row per document
+    and distinct word moves.  Words outside
     the vocabulary drop out; a document left without words still gets the prior.
     ``words`` may bring ready rows ``(doc_id, word)`` instead of text, and
     ``measured`` what :func:`measured_model` found, for many calls with one model.
     """
     measured = measured or measured_model(model)
-    if words is None:
+    limit = lookup.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if words is None and bag and measured.table[0] <= limit:
+        found = docs.select(doc_id, *keep, F.explode_outer(raw_words(text)).alias("word"))
+        rows = found.withColumns({"word": F.lower("word"), "n": F.lit(1).cast("bigint")})
+    elif words is None:
         listed = counted_words(text) if bag else F.transform(F.array_distinct(text_words(text)), _once)
         rows = docs.select(doc_id, *keep, F.inline_outer(listed))
     else:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -97,14 +99,22 @@ def _wrong_sums(rows: DataFrame, dims: int, plane: Plane) -> tuple[int, list[flo
     return round(count), sums
 
 
-def _whole_vector() -> Column:
+def _whole_vector(dims: int) -> Column:
+    """No entry is missing or not finite; vectors of ``dims`` entries are checked in generated code, as far as unrolled."""
     missing = F.exists(F.col("x").cast("array<double>"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.coalesce(F.col("x").isNotNull() & ~missing, F.lit(False))
+    whole = F.col("x").isNotNull() & ~missing
+    if 0 < dims <= UNROLLED_DIMS:
+        # The difference of a finite number and itself is 0, of any other it is not a number.
+        gone = reduce(add, [v - v for v in (F.get("x", F.lit(j)).cast("double") for j in range(dims))])
+        whole = F.when(F.size("x") == dims, gone == 0.0).otherwise(whole)
+    return F.coalesce(whole, F.lit(False))
 
 
 def _usable(rows: DataFrame, given: str = "y") -> tuple[DataFrame, int, int]:
     """Rows that count, their number, and the length of their vectors."""
-    usable = rows.where(_whole_vector() & F.col(given).isNotNull())
+    known = rows.where(F.col(given).isNotNull())
+    one = known.where(F.col("x").isNotNull()).select(F.size("x")).first()
+    usable = known.where(_whole_vector(one[0] if one else 0))
     count, shortest, dims = usable.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x"))).first()
     if shortest != dims:
         raise ValueError(f"vectors have between {shortest} and {dims} entries")
@@ -150,7 +160,7 @@ def _plane_score(plane: Plane) -> Column:
     else:
         products = F.zip_with(F.col("x").cast("array<double>"), F.lit(list(plane.w)), lambda x, w: x * w)
         score = F.aggregate(products, F.lit(0.0), lambda total, p: total + p) + F.lit(float(plane.b))
-    return F.when(_whole_vector() & (F.size("x") == dims), score)
+    return F.when(_whole_vector(dims) & (F.size("x") == dims), score)
 
 
 def predict(rows: DataFrame, plane: Plane) -> DataFrame:
@@ -194,7 +204,7 @@ def train_dual(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(alpha)], [*batch.schema.names[:-2], "alpha"])
 
     typed = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"))
-    counts = _whole_vector() & F.col("y").isNotNull()
+    counts = _whole_vector(dims) & F.col("y").isNotNull()
     known = typed.withColumns({"known_x": F.when(counts, F.col("x")).otherwise(F.array_repeat(F.lit(0.0), dims)), "known_y": F.coalesce(F.col("y").cast("double"), F.lit(0.0))})
     schema = T.StructType([*typed.schema.fields, T.StructField("alpha", T.DoubleType())])
     state = known.mapInArrow(with_alpha, schema)

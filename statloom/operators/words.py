@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.text import counted_words, explode_words
+from statloom.functions.text import explode_words
 from statloom.operators.lookup import lookup_join
 
 
@@ -30,8 +30,8 @@ def without_words(table: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def bag_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Occurrences per document and word, counted within the row; no shuffle."""
-    return docs.select(doc_id, F.inline(counted_words(text)))
+    """Occurrences per document and word, added up before any shuffle; ids are unique."""
+    return explode_words(docs, doc_id, text=text).groupBy(doc_id, "word").agg(F.count("*").alias("n"))
 
 
 def set_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

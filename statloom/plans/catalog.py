@@ -88,7 +88,7 @@ def set_of_words(spark, folder):
 
 
 def bag_of_words(spark, folder):
-    rows = words.bag_of_words(table(spark, folder, "documents"))
+    rows = words.bag_of_words(documents(spark, folder))
     return words.in_vocabulary(rows, _label_vocabulary(spark, folder))
 
 
