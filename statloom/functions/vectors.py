@@ -52,3 +52,25 @@ def bitmap_distance(a: Column | str, b: Column | str) -> Column:
     """Differing bits of two ``bitmap_rows``; equals the squared distance of the bits."""
     gaps = F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("bigint"))
     return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, g: total + g)
+
+
+def bitmap_words(text: Column | str) -> Column:
+    """The 0/1 characters of a bitmap in reading order as 64-bit numbers; the last one is filled up with zeros."""
+    digits = F.regexp_replace(text, "[^01]", "")
+    halves = F.transform(F.regexp_extract_all(digits, F.lit("[01]{1,32}"), F.lit(0)), lambda s: F.conv(F.rpad(s, 32, "0"), 2, 10).cast("bigint"))
+    pair = lambda h: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(h)), lambda i: (i % 2 == 0) & (i < F.size(h))),
+        lambda i: F.shiftleft(F.get(h, i), 32).bitwiseOR(F.coalesce(F.get(h, i + 1), F.lit(0))),
+    )
+    return F.transform(F.array(halves), pair)[0]
+
+
+def bitmap_size(text: Column | str) -> Column:
+    """Number of 0/1 characters of a bitmap."""
+    return F.length(F.regexp_replace(text, "[^01]", ""))
+
+
+def word_chunks(words: Column | str) -> Column:
+    """The 16-bit quarters of each 64-bit number, in order."""
+    quarters = lambda w: F.array(*[F.shiftrightunsigned(w, 48 - 16 * i).bitwiseAND(0xFFFF).cast("int") for i in range(4)])
+    return F.flatten(F.transform(words, quarters))

@@ -5,7 +5,8 @@ answered where it is.  A larger one is cut into cells around sampled pivots and
 queries only meet the cells that can hold a neighbour; cells are split into
 blocks of bounded size, so a dense region is shared by many tasks.  Either way a
 block of distances exists only inside a task and only the ``k`` best per query
-leave it.  Order is by squared distance, then training id.
+leave it.  Long vectors meet as codes of a byte per entry first, and only what
+their bounds leave is measured.  Order is by squared distance, then training id.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PIVOT_SEED = 1
 COPY_COST = 500
 # Distances held at a time.
 TILE = 1 << 20
+# Vectors longer than this meet as codes of one byte per entry before any exact distance.
+CODED_DIMS = 16
 
 
 def nearest(
@@ -207,7 +210,8 @@ def _pruned_neighbors(
 ) -> DataFrame:
     spark = train.sparkSession
     pivots = _pivots(train, rows, k, dims)
-    placed = materialize(_with_cell(train, pivots, dims), "knn-cells")
+    placed = _with_cell(train, pivots, dims).withColumns({"home": F.col("cell"), "row": F.monotonically_increasing_id()})
+    placed = materialize(placed, "knn-cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
     radius[cells["cell"]] = cells["radius"]
@@ -232,23 +236,10 @@ def _pruned_neighbors(
     # At most MAX_PIVOTS rows: how many blocks each side of a cell is cut into.
     blocks = F.broadcast(literal_table(spark, plan, "cell INT, t_blocks INT, q_blocks INT"))
     key = ["cell", "t_block", "q_block"]
+    if dims > CODED_DIMS:
+        return _coded_neighbors(queries, placed, pairs, blocks, pivots, k, dims, schema)
 
-    def block(value: str, count: str):
-        return F.pmod(F.xxhash64(value), F.col(count)).cast("int")
-
-    def copies(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = (
-        placed.select("cell", "tid", "label", "x").join(blocks, "cell")
-        .withColumn("t_block", block("tid", "t_blocks")).withColumn("q_block", copies("q_blocks"))
-        .select(*key, "tid", "label", "x")
-    )
-    right = (
-        pairs.join(blocks, "cell")
-        .withColumn("q_block", block("qid", "q_blocks")).withColumn("t_block", copies("t_blocks"))
-        .select(*key, "qid", "x")
-    )
+    left, right = _dealt(placed.select("cell", "tid", "label", "x"), pairs, blocks, key)
 
     def answer(points: pa.Table, asked: pa.Table) -> pa.Table:
         tids, labels, qids = (_whole(c) for c in (points["tid"], points["label"], asked["qid"]))
@@ -261,6 +252,109 @@ def _pruned_neighbors(
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(answer, schema)
 
 
+def _dealt(points: DataFrame, pairs: DataFrame, blocks: DataFrame, key: list[str], by: str = "tid") -> tuple[DataFrame, DataFrame]:
+    """Points and queries by block: each point goes to every block of its cell's queries, each query to every block of its points."""
+
+    def block(value: str, count: str):
+        return F.pmod(F.xxhash64(value), F.col(count)).cast("int")
+
+    def copies(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    left = points.join(blocks, "cell").withColumn("t_block", block(by, "t_blocks")).withColumn("q_block", copies("q_blocks"))
+    right = pairs.join(blocks, "cell").withColumn("q_block", block("qid", "q_blocks")).withColumn("t_block", copies("t_blocks"))
+    return left.select(*key, *(c for c in points.columns if c != "cell")), right.select(*key, "qid", "x")
+
+
+def _codes(placed: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
+    """Each point's approximation: its offset from its pivot in one byte per entry, the unit, and how far off that is.
+
+    The distance from a query to the decoded point is off by no more than
+    ``err``, the distance between point and decoded point, rounded up.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, home = _matrix(batch.column("x"), dims), batch.column("home").to_numpy()
+            offset = points - pivots[home]
+            unit = np.abs(offset).max(axis=1, initial=0.0) / 127.0
+            code = np.rint(offset / np.where(unit > 0, unit, 1.0)[:, None]).astype(np.int8)
+            gap = points - (pivots[home] + code * unit[:, None])
+            err = np.sqrt(np.einsum("ij,ij->i", gap, gap)) * (1 + 1e-9) + 1e-12 * (1 + np.abs(points).max(axis=1, initial=0.0))
+            data = pa.py_buffer(code.tobytes())
+            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dims), len(points), [None, data]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("cell", "row", "home")), codes, pa.array(unit), pa.array(err)], ["cell", "row", "home", "code", "unit", "err"]
+            )
+
+    return placed.mapInArrow(encode, "cell int, row long, home int, code binary, unit double, err double")
+
+
+def _between(queries: np.ndarray, decoded: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query index, point index, lower and upper bound of the distance, of the points that can be among the ``k`` nearest."""
+    parts = []
+    squares = np.einsum("ij,ij->i", decoded, decoded)
+    step = max(1, TILE // len(decoded))
+    for start in range(0, len(queries), step):
+        q = queries[start : start + step]
+        own = np.einsum("ij,ij->i", q, q)
+        rough = np.sqrt(np.maximum(own[:, None] + squares[None, :] - 2.0 * (q @ decoded.T), 0.0))
+        # A rounding error of a square may show as its root.
+        slack = np.sqrt(16.0 * (q.shape[1] + 8) * np.finfo(float).eps * (own + squares.max()))[:, None]
+        low, high = rough - err[None, :] - slack, rough + err[None, :] + slack
+        reach = np.partition(high, min(k, len(decoded)) - 1, axis=1)[:, min(k, len(decoded)) - 1]
+        if len(decoded) < k:
+            reach = np.full(len(q), np.inf)
+        qi, ti = np.nonzero(low <= reach[:, None])
+        parts.append((qi + start, ti, low[qi, ti], high[qi, ti]))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _coded_neighbors(
+    queries: DataFrame, placed: DataFrame, pairs: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int, dims: int, schema: T.StructType
+) -> DataFrame:
+    """Neighbours of long vectors: codes an eighth the size meet the queries, whole vectors only where bounds leave a doubt.
+
+    Every block keeps the points whose lower bound is within the k-th upper bound; of these, only those within the
+    k-th upper bound over all blocks are measured.
+    """
+    key = ["cell", "t_block", "q_block"]
+    codes = materialize(_codes(placed, pivots, dims), "knn-codes")
+    left, right = _dealt(codes, pairs, blocks, key, "row")
+    qid_type = queries.schema["qid"].dataType
+    bounds = T.StructType([
+        T.StructField("qid", qid_type), T.StructField("row", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()),
+    ])
+
+    def bounded(points: pa.Table, asked: pa.Table) -> pa.Table:
+        qids = _whole(asked["qid"])
+        if len(points) == 0 or len(asked) == 0:
+            qi, ti, low, high = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        else:
+            code = np.frombuffer(b"".join(points["code"].to_pylist()), np.int8).reshape(-1, dims)
+            home, unit, err = (points[c].to_numpy() for c in ("home", "unit", "err"))
+            qi, ti, low, high = _between(_matrix(asked["x"], dims), pivots[home] + code * unit[:, None], err, k)
+        return pa.table([qids.take(pa.array(qi)), _whole(points["row"]).take(pa.array(ti)), pa.array(low), pa.array(high)], bounds.names)
+
+    kept = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(bounded, bounds)
+    by_query = Window.partitionBy("qid")
+    kth = F.nth_value("high", k).over(by_query.orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    candidates = kept.withColumn("reach", kth).where(F.col("reach").isNull() | (F.col("low") <= F.col("reach"))).select("qid", "row")
+    candidates = materialize(candidates, "knn-candidates")
+    told = candidates.join(placed.select("row", "tid", "label", F.col("x").alias("tx")), "row").join(queries.select("qid", "x"), "qid")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, p = _matrix(batch.column("x"), dims), _matrix(batch.column("tx"), dims)
+            d2 = np.zeros(len(q))
+            for j in range(dims):
+                gap = q[:, j] - p[:, j]
+                d2 += gap * gap
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("qid", "tid", "label")), pa.array(d2)], schema.names)
+
+    return told.mapInArrow(measured, schema)
+
+
 def _block_bytes(spark: SparkSession) -> int:
     """Bytes of points in a block: a share of the memory that a core has."""
     local = spark.conf.get("spark.master", "").startswith("local[")

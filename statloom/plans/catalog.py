@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from statloom.functions.labels import decode_label, encode_label
 from statloom.functions.text import blank_separated
 from statloom.functions.vectors import bitmap_distance, squared_distance
-from statloom.operators import evaluate, impurity, naive_bayes, perceptron, scaling, tree, words
+from statloom.operators import evaluate, hamming, impurity, naive_bayes, perceptron, scaling, tree, words
 from statloom.operators.evaluate import error_rate, misclassified_rows
 from statloom.operators.neighbors import neighbors
 from statloom.operators.split import counted_holdout, drawn, labelled_union, positional_holdout
@@ -353,6 +353,14 @@ def bitmap_error_rate(spark, folder):
     return rounded(report, 6, "error_rate")
 
 
+def bitmap_topk_indexed(spark, folder):
+    """Nearest other bitmaps through the index of chunks."""
+    split = _bitmaps(spark, folder).withColumn("is_test", drawn("vec_id", TEST_SHARE))
+    queries = split.where("is_test").select(F.col("vec_id").alias("qid"), "words", "n_bits")
+    known = split.where("not is_test").select(F.col("vec_id").alias("tid"), "words", "n_bits", "label")
+    return hamming.neighbors(queries, known, 3, method="indexed").select("qid", "tid", "label", F.col("d").alias("bits"), "place")
+
+
 # Trees ----------------------------------------------------------------------
 
 
@@ -492,7 +500,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     minmax_stats, minmax_apply, label_encode_decode, holdout_random, holdout_fraction,
     holdout_positional, union_labelled,
     knn_topk, knn_topk_pruned, knn_classify, knn_error_rate, knn_scaled_error_rate, knn_scaled_pruned,
-    knn_new_rows, bitmap_vectors, bitmap_lines, vector_distance, bitmap_error_rate,
+    knn_new_rows, bitmap_vectors, bitmap_lines, vector_distance, bitmap_error_rate, bitmap_topk_indexed,
     entropy, info_gain, best_split, split_dataset, majority_label, id3_nodes, id3_classify,
     id3_classify_routed, id3_tree_stats, tree_save_load, delimited_tree, delimited_numeric,
     perceptron_primal, perceptron_predict, perceptron_dual, dual_weights, gram_product,

@@ -306,6 +306,13 @@ ORACLES: dict[str, str] = {
         "result AS (SELECT vec_id, label, predicted FROM bits LEFT JOIN winner ON qid = vec_id WHERE is_test)",
     )
     + REPORT,
+    "bitmap_topk_indexed": _with(
+        BITS,
+        """pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, CAST(round(list_distance(q.v::DOUBLE[], t.v::DOUBLE[]) ** 2) AS BIGINT) AS bits
+           FROM bits q, bits t WHERE q.is_test AND NOT t.is_test)""",
+    )
+    + """SELECT qid, tid, label, bits, place::INTEGER AS place
+         FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bits, tid) AS place FROM pairs) WHERE place <= 3""",
     "entropy": _with(TREE_ROWS, *_gains(0)) + "SELECT n_rows, round(h, 6) + 0.0 AS entropy FROM base0",
     "info_gain": _with(TREE_ROWS, *_gains(0))
     + f"""SELECT idx::INTEGER AS idx, [{', '.join(f"'{f}'" for f in TREE_FEATURES)}][idx + 1] AS feature, n_rows,

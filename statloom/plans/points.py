@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.labels import decode_label
 from statloom.functions.vectors import minmax_scaled
+from statloom.operators import hamming
 from statloom.operators.evaluate import error_rate
-from statloom.operators.neighbors import classify
+from statloom.operators.neighbors import classify, vote
 from statloom.operators.scaling import minmax_stats
 from statloom.operators.split import positional_holdout
 
@@ -67,6 +68,8 @@ def classify_new(
 
 
 def bitmap_evaluation(train: DataFrame, test: DataFrame, key: str = "file", k: int = 3, **options) -> DataFrame:
-    """Error rate of ``test`` bitmaps ``(key, v, label)`` against ``train``."""
-    found = classify(_queries(test, key, F.col("v")), _points(train, key, F.col("v"), "label"), k, **options)
+    """Error rate of ``test`` bitmaps ``(key, words, n_bits, label)`` against ``train``, compared by differing bits."""
+    queries = test.select(F.col(key).alias("qid"), "words", "n_bits")
+    points = train.select(F.col(key).alias("tid"), "words", "n_bits", "label")
+    found = vote(hamming.neighbors(queries, points, k, **options))
     return error_rate(test.select(key, "label").join(found.withColumnRenamed("qid", key), key, "left"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from statloom import schemas
 from statloom.functions.labels import DATING_CODES, encode_label
-from statloom.functions.vectors import bitmap_bits, bitmap_rows
+from statloom.functions.vectors import bitmap_bits, bitmap_rows, bitmap_size, bitmap_words
 from statloom.operators.split import labelled_union
 
 
@@ -26,12 +26,13 @@ def labelled_folders(spark: SparkSession, positive: str, negative: str) -> DataF
 
 
 def with_bitmap(df: DataFrame, text: str = "text", width: int = 32) -> DataFrame:
-    """Add the bits ``v`` in reading order and the packed lines ``rows``."""
-    return df.withColumns({"v": bitmap_bits(F.col(text)), "rows": bitmap_rows(F.col(text), width)})
+    """Add the bits ``v`` in reading order, the packed lines ``rows``, and the bits as 64-bit ``words`` with their number ``n_bits``."""
+    bitmap = F.col(text)
+    return df.withColumns({"v": bitmap_bits(bitmap), "rows": bitmap_rows(bitmap, width), "words": bitmap_words(bitmap), "n_bits": bitmap_size(bitmap)})
 
 
 def bitmap_folder(spark: SparkSession, folder: str, width: int = 32) -> DataFrame:
-    """Bitmaps ``<digit>_<n>.txt`` as ``(file, label, n, v, rows)``."""
+    """Bitmaps ``<digit>_<n>.txt`` as ``(file, label, n, v, rows, words, n_bits)``."""
     files = spark.read.text(folder, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
     )

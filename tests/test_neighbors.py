@@ -36,7 +36,7 @@ def clustered(rng, n, dims):
     return x[rng.permutation(n)].astype(float)
 
 
-@pytest.mark.parametrize("dims", [1, 2, 8])
+@pytest.mark.parametrize("dims", [1, 2, 8, 40])
 @pytest.mark.parametrize("block_rows", [16, 4096])
 @pytest.mark.parametrize("copy_cost", [0, 1e9])
 def test_pruned_equals_brute_force(spark, monkeypatch, dims, block_rows, copy_cost):
@@ -48,6 +48,42 @@ def test_pruned_equals_brute_force(spark, monkeypatch, dims, block_rows, copy_co
     assert found(pruned) == brute(queries, train, 5)
 
 
+@pytest.mark.parametrize("copy_cost", [0, 500, 1e9])
+def test_long_vectors_are_mostly_ruled_out_by_their_codes(spark, monkeypatch, copy_cost):
+    """64 dimensions, 20 clumps: under a tenth of the distances are measured, whether or not cells help."""
+    monkeypatch.setattr(nb, "COPY_COST", copy_cost)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 3, (20, 64))
+    train = centres[rng.integers(0, 20, 1500)] + rng.normal(0, 1, (1500, 64))
+    queries = centres[rng.integers(0, 20, 200)] + rng.normal(0, 1, (200, 64))
+    queries[:20] = train[:20]
+    train[100:140], train[200] = train[0], 1e6
+    measured, write = {}, nb.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        measured[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nb, "materialize", counted)
+    q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * len(train))
+    assert found(nb.neighbors(q, t, 5, method="pruned", block_rows=128)) == brute(queries, train, 5)
+    assert measured["knn-candidates"] < 0.1 * len(queries) * len(train)
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e9])
+def test_bounds_hold_the_distances(scale):
+    rng = np.random.default_rng(9)
+    points, queries = rng.normal(5, 1, (300, 24)) * scale, rng.normal(5, 1, (40, 24)) * scale
+    decoded = points + rng.normal(0, 0.01 * scale, points.shape)
+    err = np.sqrt(((points - decoded) ** 2).sum(axis=1))
+    qi, ti, low, high = nb._between(queries, decoded, err, 4)
+    exact = np.sqrt(((queries[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    assert (low <= exact[qi, ti]).all() and (exact[qi, ti] <= high).all() and len(qi) < 0.2 * exact.size
+    kept = set(zip(qi, ti))
+    assert all((q, t) in kept for q in range(40) for t in np.argsort(exact[q])[:4])
+
+
 def test_broadcast_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     train, queries = clustered(rng, 500, 3), clustered(rng, 60, 3)
