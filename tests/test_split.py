@@ -22,6 +22,7 @@ def test_nth_smallest(spark, values, data):
 def test_nth_smallest_full_range_and_coarse_slots(spark, monkeypatch):
     monkeypatch.setattr(split, "FEW_ROWS", 0)
     monkeypatch.setattr(split, "BINS", 4)
+    monkeypatch.setattr(split, "SMALL_BRACKET", 0)
     values = [-(2**63), 2**63 - 1, 0, -1, 1, 5, 6, 7, 1000]
     df = ids(spark, values)
     for n in (1, 3, 5, 9):
@@ -55,13 +56,16 @@ def test_nth_smallest_text(spark, values, data):
     assert split.nth_smallest(df, "path", n) == want
 
 
-def test_holdouts_by_path(spark):
+def test_holdouts_by_path(spark, monkeypatch):
     names = [f"/mails/spam/{i}.txt" for i in range(25)]
     df = spark.createDataFrame([(n,) for n in names], "path STRING")
     first = split.positional_holdout(df, "path", 0.4).where("is_test")
     assert sorted(r["path"] for r in first.collect()) == sorted(names)[:10]
-    for small in (10_000, 0):
-        tested = split.counted_holdout(df, "path", 5, small=small).where("is_test")
+    for small in (100_000, 0):
+        monkeypatch.setattr(split, "SMALL_BRACKET", small)
+        first = split.positional_holdout(df, "path", 0.4).where("is_test")
+        assert sorted(r["path"] for r in first.collect()) == sorted(names)[:10]
+        tested = split.counted_holdout(df, "path", 5).where("is_test")
         assert sorted(r["path"] for r in tested.collect()) == sorted(digest_order(names)[:5])
     with pytest.raises(ValueError, match="integers or text"):
         split.nth_smallest(df.select(F.lit(1.5).alias("x")), "x", 1)
@@ -71,14 +75,48 @@ def digest_order(values, seed=42):
     return sorted(values, key=lambda v: (hashlib.md5(f"{seed}:{v}".encode()).hexdigest()[:15], v))
 
 
-@pytest.mark.parametrize(("small", "reach"), [(10_000, 1 << 60), (0, 1 << 60), (10_000, 1 << 40)])
-def test_counted_holdout_draws_exactly_n(spark, monkeypatch, small, reach):
-    monkeypatch.setattr(split, "DRAW_RANGE", reach)
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_counted_holdout_draws_exactly_n(spark, monkeypatch, small):
+    monkeypatch.setattr(split, "SMALL_BRACKET", small)
     df = ids(spark, range(200))
-    tested = split.counted_holdout(df, "id", 15, small=small).where("is_test")
+    tested = split.counted_holdout(df, "id", 15).where("is_test")
     assert sorted(r["id"] for r in tested.collect()) == sorted(digest_order(range(200))[:15])
 
 
+def scanned(spark, df):
+    """``df`` with a counter of the rows that jobs read from it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(pass_on, df.schema), read
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_a_rank_takes_two_scans(spark, monkeypatch, small):
+    monkeypatch.setattr(split, "SMALL_BRACKET", small)
+    for keys in (F.expr("(id * 7919) % 100003 * 1000003 - 5000000000"), F.expr("id % 3"), F.concat(F.lit("file:/mails/"), F.sha1(F.col("id").cast("string")))):
+        values = spark.range(20_000).select(keys.alias("key"))
+        ordered = sorted((r["key"] for r in values.collect()), key=lambda v: v.encode() if isinstance(v, str) else v)
+        for n in (1, 777, 10_000, 20_000):
+            df, read = scanned(spark, values)
+            assert split.nth_smallest(df, "key", n) == ordered[n - 1]
+            assert read.value <= 2 * 20_000
+    df, read = scanned(spark, spark.range(5000))
+    tested = split.counted_holdout(df, "id", 40)
+    assert read.value <= 2 * 5000
+    assert sorted(r["id"] for r in tested.where("is_test").collect()) == sorted(digest_order(range(5000))[:40])
+
+
+def test_a_wrong_sketch_does_no_harm(spark, monkeypatch):
+    monkeypatch.setattr(split, "_widened", lambda value, sign: value - sign * 5000)
+    values = spark.range(20_000).select("id")
+    assert split.nth_smallest(values, "id", 12_000) == 11_999
+
+
 def test_counted_holdout_takes_at_most_half(spark):
     assert split.counted_holdout(ids(spark, range(7)), "id", 20).where("is_test").count() == 3
     assert split.counted_holdout(ids(spark, [1]), "id", 20).where("is_test").count() == 0
