@@ -6,6 +6,7 @@ from the root ``/``.  One level of all open nodes is one set of aggregations.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,6 +20,10 @@ from statloom.storage import materialize
 
 # Step text of a missing value; "%" itself is escaped, so no value reads like it.
 MISSING = "%00"
+# A larger tree up to this size is walked inside the row, if no node has more edges than that: maps are searched one by one.
+WALKED_BYTES = 16 << 20
+WALKED_EDGES = 1024
+NODE_BYTES = 128
 COMPILED_NODES = 400
 DRIVER_NODES = 4096
 
@@ -163,6 +168,39 @@ def compile_tree(nodes: Sequence, on_unseen: str = "null") -> Column:
     return build(children[None][0])
 
 
+def _walked(nodes: DataFrame, features: Sequence[str], depth: int) -> Column | None:
+    """The node that each row reaches, as a struct ``(label, leaf)``, or None where a node has too many edges for a map.
+
+    The nodes are one constant array, each with the place of its feature and a
+    map from edge values to places of nodes; one ``aggregate`` takes a row down
+    the levels.  A row without an edge for its value stays where it is.
+    """
+    found = nodes.orderBy("depth", "node_id").collect()
+    places = {node["node_id"]: i for i, node in enumerate(found)}
+    told = [{"split": None if n["is_leaf"] else features.index(n["split_feature"]), "label": n["label"], "leaf": n["is_leaf"], "edges": {}} for n in found]
+    for node in found:
+        if node["parent_id"] is not None:
+            above = told[places[node["parent_id"]]]
+            if node["edge_value"] is None:
+                above["missing"] = places[node["node_id"]]
+            else:
+                above["edges"][node["edge_value"]] = places[node["node_id"]]
+    if max(len(n["edges"]) for n in told) > WALKED_EDGES:
+        return None
+    schema = "array<struct<split: int, label: string, leaf: boolean, missing: int, edges: map<string, int>>>"
+    table = F.from_json(F.lit(json.dumps(told)), schema)
+    values = F.array(*[F.col(sql.name(f)).cast("string") for f in features])
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.get(table, at)
+        value = F.get(values, node["split"])
+        below = F.when(value.isNull(), node["missing"]).otherwise(F.try_element_at(node["edges"], value))
+        return F.when(node["split"].isNull(), at).otherwise(F.coalesce(below, at))
+
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
+    return F.transform(F.array(reached), lambda at: F.get(table, at))[0]
+
+
 def classify(
     df: DataFrame,
     nodes: DataFrame,
@@ -173,15 +211,23 @@ def classify(
 ) -> DataFrame:
     """Add ``predicted``: the label of the leaf each row reaches.
 
-    A small tree becomes one column expression.  A larger one routes the rows
-    down a level at a time by joining their next path step with the nodes.
+    A small tree becomes one column expression.  A larger one is walked inside
+    the row, as a constant array of nodes with maps of edges.  One beyond
+    ``broadcast_bytes`` routes the rows down a level at a time by joining their
+    next path step with the nodes.
     ``on_unseen='majority'`` answers an unknown value with its node's majority.
     """
     if on_unseen not in ("null", "majority"):
         raise ValueError(f"unknown on_unseen: {on_unseen}")
-    size, depth = nodes.agg(F.count("*"), F.max("depth")).first()
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("edge_value", "label")]
+    size, depth, text_bytes = nodes.agg(F.count("*"), F.max("depth"), F.sum((texts[0] + texts[1]).cast("bigint"))).first()
     if size <= (COMPILED_NODES if compiled_nodes is None else compiled_nodes):
         return df.withColumn("predicted", compile_tree(nodes.collect(), on_unseen))
+    if size * NODE_BYTES + text_bytes <= min(WALKED_BYTES, BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        node = _walked(nodes, list(features), depth)
+        if node is not None:
+            label = lambda n: n["label"] if on_unseen == "majority" else F.when(n["leaf"], n["label"])
+            return df.withColumn("predicted", F.transform(F.array(node), label)[0])
     root = nodes.where("depth = 0").first()
     rows = df.withColumns(
         {

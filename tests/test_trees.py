@@ -143,6 +143,28 @@ def test_routed_scoring_equals_compiled(spark, on_unseen, broadcast_bytes):
     assert sorted(compiled.collect(), key=str) == sorted(routed.collect(), key=str)
 
 
+def test_deep_trees_are_walked_without_a_join(spark, capsys, monkeypatch):
+    rng = random.Random(11)
+    features = [f"f{i}" for i in range(8)]
+    rows = []
+    for _ in range(600):
+        bits = [rng.choice(["0", "1", None, "x y\\"]) for _ in features]
+        rows.append((*bits, "".join(b or "-" for b in bits)[: rng.randint(2, 8)]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} STRING" for c in [*features, "label"]))
+    nodes = materialize(tree.train(df, features), "t")
+    assert tree.leaves_and_depth(nodes).first()["depth"] >= 6
+    for on_unseen in ("null", "majority"):
+        unseen = df.withColumn("f0", F.when(F.rand(1) < 0.2, "new").otherwise(F.col("f0")))
+        walked = tree.classify(unseen, nodes, features, on_unseen, compiled_nodes=0)
+        walked.explain()
+        assert "Join" not in capsys.readouterr().out
+        joined = tree.classify(unseen, nodes, features, on_unseen, compiled_nodes=0, broadcast_bytes=0)
+        assert sorted(walked.collect(), key=str) == sorted(joined.collect(), key=str)
+    monkeypatch.setattr(tree, "WALKED_EDGES", 1)
+    tree.classify(df, nodes, features, compiled_nodes=0).explain()
+    assert "Join" in capsys.readouterr().out
+
+
 def test_mixed_node_without_gain_is_a_majority_leaf(spark):
     xor = spark.createDataFrame([(0, 0, "n"), (0, 1, "y"), (1, 0, "y"), (1, 1, "n")], "p INT, q INT, label STRING")
     nodes = tree.train(xor, ["p", "q"]).collect()
