@@ -19,7 +19,7 @@ from statloom.functions.text import counted_words, explode_words, raw_words, wor
 from statloom.operators import lookup
 from statloom.operators.lookup import lookup_join, measure
 from statloom.operators.words import top_words, without_words
-from statloom.storage import literal_table, load_model, materialize, save_model
+from statloom.storage import current_version, literal_table, materialize, save_version
 
 
 @dataclass(frozen=True)
@@ -30,17 +30,65 @@ class NaiveBayesModel:
     prior: DataFrame
 
     def save(self, path: str) -> None:
-        save_model(self.words, f"{path}/words")
-        save_model(self.prior, f"{path}/prior")
+        """Save as a new version of ``path``; both tables appear together."""
+        save_version(path, {"words": self.words, "prior": self.prior})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> NaiveBayesModel:
+        version = current_version(spark, path)
         return NaiveBayesModel(
-            load_model(spark, f"{path}/words", schemas.WORD_MODEL_SCHEMA),
-            load_model(spark, f"{path}/prior", schemas.PRIOR_SCHEMA),
+            spark.read.schema(schemas.WORD_MODEL_SCHEMA).parquet(f"{version}/words"),
+            spark.read.schema(schemas.PRIOR_SCHEMA).parquet(f"{version}/prior"),
         )
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What training needs of documents; statistics of two sets of documents add up.
+
+    ``words`` has ``(word, n_seen, n1, n0)``, ``docs`` one row ``(n_docs, n_pos,
+    last_batch)``: training documents, those labelled 1, and the last batch of a
+    stream that is in (or null).
+    """
+
+    words: DataFrame
+    docs: DataFrame
+
+    def merged(self, other: Statistics) -> Statistics:
+        counts = ("n_seen", "n1", "n0")
+        words = self.words.unionByName(other.words).groupBy("word").agg(*(F.sum(c).alias(c) for c in counts))
+        totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_pos")]
+        return Statistics(words, self.docs.unionByName(other.docs).agg(*totals, F.max("last_batch").alias("last_batch")))
+
+    def save(self, path: str) -> None:
+        """Save as a new version of ``path``; it may be made of the version before."""
+        save_version(path, {"words": self.words, "docs": self.docs})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Statistics:
+        version = current_version(spark, path)
+        return Statistics(
+            spark.read.schema(schemas.WORD_COUNTS_SCHEMA).parquet(f"{version}/words"),
+            spark.read.schema(schemas.DOC_COUNTS_SCHEMA).parquet(f"{version}/docs"),
+        )
+
+    def add_to(self, path: str) -> Statistics:
+        """Merge into what ``path`` holds, if anything, and return the sum as saved.
+
+        Statistics of a batch that is in already, by its number, are not added again.
+        """
+        spark = self.words.sparkSession
+        try:
+            known = Statistics.load(spark, path)
+        except FileNotFoundError:
+            self.save(path)
+            return Statistics.load(spark, path)
+        last, batch = known.docs.first()["last_batch"], self.docs.first()["last_batch"]
+        if batch is None or last is None or batch > last:
+            known.merged(self).save(path)
+        return Statistics.load(spark, path)
+
+
 def class_counts(words: DataFrame) -> DataFrame:
     """Per word: all occurrences, and those in training documents by class.
 
@@ -70,11 +118,25 @@ def train(
     ``drop_top`` removes the most frequent words from the vocabulary first.
     ``words`` may bring ready word rows instead of text.
     """
-    if denominator not in ("plus2", "vocab"):
-        raise ValueError(f"unknown denominator: {denominator}")
+    return from_statistics(statistics(docs, words, text, bag), denominator, drop_top)
+
+
+def statistics(
+    docs: DataFrame, words: DataFrame | None = None, text: str = "text", bag: bool = True, batch: int | None = None
+) -> Statistics:
+    """Statistics of ``docs(text, label, is_test)``, of which those of other documents may be added; see :func:`train`."""
     if words is None:
         words = explode_words(docs, "label", "is_test", text=text, distinct=not bag)
     counts = materialize(class_counts(words), "word-counts")
+    n_docs, n_pos = docs.where(~F.col("is_test")).agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    return Statistics(counts, literal_table(docs.sparkSession, [(n_docs, n_pos, batch)], schemas.DOC_COUNTS_SCHEMA))
+
+
+def from_statistics(known: Statistics, denominator: str = "plus2", drop_top: int = 0) -> NaiveBayesModel:
+    """The model of all documents whose statistics were added up."""
+    if denominator not in ("plus2", "vocab"):
+        raise ValueError(f"unknown denominator: {denominator}")
+    counts = known.words
     if drop_top:
         frequent = top_words(counts.select("word", F.col("n_seen").alias("n")), drop_top)
         counts = without_words(counts, frequent)
@@ -83,9 +145,9 @@ def train(
     ).first()
     base = 2.0 if denominator == "plus2" else float(size)
     den1, den0 = base + mass1, base + mass0
-    n_docs, n_pos = docs.where(~F.col("is_test")).agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    n_docs, n_pos = known.docs.select("n_docs", "n_pos").first()
     p1 = n_pos / n_docs if n_docs else None
-    prior = literal_table(docs.sparkSession, [(n_docs, p1, den1, den0)], schemas.PRIOR_SCHEMA)
+    prior = literal_table(counts.sparkSession, [(n_docs, p1, den1, den0)], schemas.PRIOR_SCHEMA)
     model = counts.select(
         "word",
         "n_seen",

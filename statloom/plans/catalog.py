@@ -135,6 +135,15 @@ def _toxic_scores(spark, folder) -> DataFrame:
     return naive_bayes.score(split.where("is_test"), model, keep=("label",))
 
 
+def nb_train_merged(spark, folder):
+    """Trained as documents arrive: three batches, each merged into the statistics saved before."""
+    split, path = toxic_split(spark, folder), new_path(spark, "nb-statistics")
+    for batch in range(3):
+        part = split.where(F.pmod("doc_id", F.lit(3)) == batch)
+        known = naive_bayes.statistics(part, batch=batch).add_to(path)
+    return _word_model(naive_bayes.from_statistics(known))
+
+
 def nb_score(spark, folder):
     return rounded(_toxic_scores(spark, folder), 4, "score1", "score0")
 
@@ -216,6 +225,19 @@ def nb_stream_score(spark, folder):
     return rounded(scores.drop("batch_id"), 4, "score1", "score0")
 
 
+def nb_stream_score_once(spark, folder):
+    """As above with every document delivered in two files, one of them in a later batch."""
+    model = naive_bayes.train(toxic_split(spark, folder))
+    docs, arriving = table(spark, folder, "documents"), new_path(spark, "arriving")
+    for name in ("early", "late"):
+        docs.write.parquet(f"{arriving}/{name}")
+    stream = document_stream(spark, f"{arriving}/*", docs.schema, files_per_batch=1)
+    out = new_path(spark, "scored")
+    score_stream(stream, model, out, new_path(spark, "scored-checkpoint"), once=("arrived", "1 day")).awaitTermination()
+    scores = scored_documents(spark, out, "doc_id BIGINT, score1 DOUBLE, score0 DOUBLE, predicted INT, batch_id INT")
+    return rounded(scores.drop("batch_id"), 4, "score1", "score0")
+
+
 # Scaling, labels, splits ----------------------------------------------------
 
 
@@ -494,9 +516,9 @@ def gram_product(spark, folder):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     text_corpus, tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
     top_words_30, vocab_without_top30,
-    nb_train, nb_train_set, nb_train_vocab, nb_prior, nb_score, nb_error_rate, nb_errors, confusion,
+    nb_train, nb_train_set, nb_train_vocab, nb_train_merged, nb_prior, nb_score, nb_error_rate, nb_errors, confusion,
     nb_save_load, nb_entries, nb_counted_holdout, paired_feed_rows, local_words_model,
-    local_words_error_rate, local_top_words, nb_stream_score,
+    local_words_error_rate, local_top_words, nb_stream_score, nb_stream_score_once,
     minmax_stats, minmax_apply, label_encode_decode, holdout_random, holdout_fraction,
     holdout_positional, union_labelled,
     knn_topk, knn_topk_pruned, knn_classify, knn_error_rate, knn_scaled_error_rate, knn_scaled_pruned,

@@ -245,6 +245,7 @@ ORACLES: dict[str, str] = {
     "vocab_without_top30": _with(DOCS, f"c AS (SELECT word, count(*) AS n FROM (SELECT {SPLIT} AS word FROM docs) GROUP BY word)")
     + "SELECT word FROM c WHERE word NOT IN (SELECT word FROM c ORDER BY n DESC, word LIMIT 30)",
     "nb_train": _with(*_model(TOXIC)) + SHOW_MODEL,
+    "nb_train_merged": _with(*_model(TOXIC)) + SHOW_MODEL,
     "nb_train_set": _with(*_model(TOXIC, bag=False)) + SHOW_MODEL,
     "nb_train_vocab": _with(*_model(TOXIC, base="(SELECT count(*) FROM counts)::DOUBLE")) + SHOW_MODEL,
     "nb_prior": _with(*_model(TOXIC)) + "SELECT n_docs, round(p1, 6) AS p1, den1::DOUBLE AS den1, den0::DOUBLE AS den0 FROM prior, totals",
@@ -266,6 +267,8 @@ ORACLES: dict[str, str] = {
          UNION ALL SELECT 0, word, round(log_p0, 6) FROM model WHERE log_p0 > -6.0""",
     "nb_stream_score": _with(*_model(TOXIC), *_scores("SELECT doc_id, text FROM documents", "doc_id"))
     + "SELECT doc_id, round(score1, 4) AS score1, round(score0, 4) AS score0, predicted FROM result",
+    "nb_stream_score_once": _with(*_model(TOXIC), *_scores("SELECT doc_id, text FROM documents", "doc_id"))
+    + "SELECT doc_id, round(score1, 4) AS score1, round(score0, 4) AS score0, predicted FROM result",
     "minmax_stats": " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, round(min({c}), 6) + 0.0 AS min_value, round(max({c}), 6) + 0.0 AS max_value,
             round(max({c}) - min({c}), 6) + 0.0 AS range_value FROM lineitem"""

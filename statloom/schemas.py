@@ -9,6 +9,8 @@ NODE_SCHEMA = (
 WORD_MODEL_SCHEMA = (
     "word STRING, n_seen BIGINT, n1 BIGINT, n0 BIGINT, log_p1 DOUBLE, log_p0 DOUBLE"
 )
+WORD_COUNTS_SCHEMA = "word STRING, n_seen BIGINT, n1 BIGINT, n0 BIGINT"
+DOC_COUNTS_SCHEMA = "n_docs BIGINT, n_pos BIGINT, last_batch BIGINT"
 PRIOR_SCHEMA = "n_docs BIGINT, p1 DOUBLE, den1 DOUBLE, den0 DOUBLE"
 PERCEPTRON_SCHEMA = "epoch INT, misclassified BIGINT, w ARRAY<DOUBLE>, b DOUBLE"
 
