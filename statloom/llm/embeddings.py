@@ -1,21 +1,25 @@
-"""Embedding near-dedup by buckets of random signs, each compared whole.
+"""Embedding near-dedup by sorted projection passes.
 
 1. Equal vectors of a label become one row with a count, so copies cost nothing
    more.  Null, zero and non-finite vectors and null labels take no part.
-2. In each pass, a vector's bucket is its signs at ``depth`` random hyperplanes
-   (other hyperplanes each pass).  All members of a bucket are compared, exactly,
-   in blocks of bounded size.  A sign differs with chance ``angle / pi`` wherever
-   two vectors lie, so the passes that a depth needs do not depend on the data: a
-   pair at the threshold is in no common bucket with a chance below ``MISSED``.
-3. Depth only decides about cost.  Each label takes the one that is cheapest by
-   the collisions measured on a sample of its keys; at depth 0 a single pass
-   compares all vectors of the label.  Vectors around a common centre, which share
-   most signs, so get deeper buckets and more passes, or one comparison of all.
-4. Verified pairs of all passes are united to components, and the members of each
+2. In each pass, vectors are ordered by label and then by their signs at 62 random
+   hyperplanes (other hyperplanes each pass), and each is compared with the
+   ``WINDOW`` before it.
+3. Where vectors have a common direction, more rows than the window agree on the
+   leading signs.  Stretches of more than ``WINDOW`` rows with the same ``depth``
+   leading signs are compared whole instead, in blocks of bounded size.  So all
+   rows with those signs in common are compared either way.  A sign
+   differs with chance ``angle / pi`` wherever two vectors lie, so the passes that
+   a depth needs do not depend on the data: a pair at the threshold shares the
+   leading signs in no pass with a chance below ``MISSED``.
+4. Depth only decides about cost: each label, of whatever size, takes the one that is
+   cheapest by the stretches measured on a sample of its keys.
+5. Verified pairs of all passes are united to components, and the members of each
    are compared in blocks: no link inside a component is lost.
 
-Similarity is the cosine in double precision.  Repeated ids are separate rows.
-An empty table gives no rows.
+Similarity is the cosine in double precision, of vectors scaled by their largest
+entry.  Labels are compared as they are, by number or by 64-bit hash.  Repeated
+ids are separate rows.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +37,13 @@ from statloom.storage import materialize
 
 THRESHOLD = 0.98
 BITS = 62
-#: Rows of a group that vectors without a common direction are to be split into, in ``passes_for``.
+#: Rows of the order that each row is compared with.
 WINDOW = 32
 MISSED = 1e-6
 #: Rows of a bucket or component that are compared with as many others at a time.
 BLOCK_ROWS = 2048
 #: Bits of a bucket that are considered, rows of a label read to choose, comparisons that cost as much as moving a row.
-DEPTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 22, 24, 28, 32, 40, 48)
+DEPTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 22, 24, 28, 32, 40, 48)
 SAMPLE = 8192
 MOVE = 256
 SEED = 20240517
@@ -51,17 +55,13 @@ def passes_at(depth: float, threshold: float = THRESHOLD) -> int:
     return 1 if near >= 1 else math.ceil(math.log(MISSED) / math.log(1 - near))
 
 
-def passes_for(rows: int, threshold: float = THRESHOLD) -> int:
-    """Passes for vectors without a common direction, whose signs split them evenly; others need more."""
-    return max(4, passes_at(max(1.0, math.log2(max(2.0, rows / WINDOW)) + 1), threshold))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long lists as unit vectors in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = x / np.abs(x).max(1, initial=0.0)[:, None]  # squares of very large or small entries would leave the range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -80,12 +80,12 @@ def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("label", "size", "n")), keys], ["label", "size", "n", "key"])
 
 
-BUCKET = "turn int, label int, size int, bucket long"
+BUCKET = "turn int, label long, size int, bucket long"
 _BUCKET = ["turn", "label", "size", "bucket"]
 
 
 def _buckets(kept: list[str]):
-    """The bucket of each row in each of its label's passes, with the columns ``kept``."""
+    """The leading signs of each row in each of its label's passes as ``bucket``, all signs as ``key``, and the columns ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +94,39 @@ def _buckets(kept: list[str]):
                 rows = batch.filter(pa.array((kinds == kind).all(1)))
                 x = _matrix(rows.column("embedding"))
                 for turn in range(kind[2]):
-                    columns = [pa.array(np.full(len(x), turn), pa.int32()), rows.column("label"), rows.column("size"), pa.array(_signs(x, turn, int(kind[1])))]
-                    yield pa.RecordBatch.from_arrays([*columns, *(rows.column(c) for c in kept)], [*_BUCKET, *kept])
+                    key = _signs(x, turn)
+                    columns = [pa.array(np.full(len(x), turn), pa.int32()), rows.column("label"), rows.column("size"), pa.array(key >> (BITS - int(kind[1]))), pa.array(key)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(rows.column(c) for c in kept)], [*_BUCKET, "key", *kept])
 
     return run
 
 
+def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows, in order of pass, label and key, to the ``WINDOW`` rows before them."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, old = pa.Table.from_batches([batch]), 0
+        if kept is not None:
+            rows, old = pa.concat_tables([kept, rows]), kept.num_rows
+        group = np.stack([rows.column(c).to_numpy() for c in ("turn", "label", "size")], 1)
+        bounds = [0, *(np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1).tolist(), len(group)]
+        ids = rows.column("id").to_numpy()
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low, high in zip(bounds, bounds[1:]):
+            if high <= old or high - low < 2:
+                continue
+            x = _matrix(rows.column("embedding").slice(low, high - low))
+            for step in range(1, min(WINDOW, high - low - 1) + 1):
+                later = np.arange(max(old - low, step), high - low)
+                near = later[np.einsum("ij,ij->i", x[later - step], x[later]) >= THRESHOLD]
+                a.append(ids[low + near - step])
+                b.append(ids[low + near])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        kept = rows.slice(max(0, rows.num_rows - WINDOW))
+
+
 def _forest(x: np.ndarray, y: np.ndarray | None) -> tuple[list[int], list[int]]:
     """Near pairs inside ``x``, or between ``x`` and ``y``, that connect what all near pairs connect: fewer than rows."""
     a, b = [], []
@@ -183,18 +210,19 @@ def _usable() -> Column:
 
 
 def _settled(classes: DataFrame) -> DataFrame:
-    """``classes`` with the ``depth`` and ``turns`` that cost their label least; labels within a block are compared whole."""
-    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    some = classes.join(F.broadcast(materialize(sizes, "vectors-sizes")), ["label", "size"]).where(F.expr(f"pmod(xxhash64(id), n) < {SAMPLE}"))
-    keys = some.select("label", "size", "n", "embedding").mapInArrow(_sample_keys, "label int, size int, n long, key long")
+    """``classes`` with the ``depth`` and ``turns`` that cost their label least."""
+    sizes = materialize(classes.groupBy("label", "size").agg(F.count("*").alias("n")), "vectors-sizes")
+    some = classes.join(sizes, ["label", "size"]).where(F.expr(f"pmod(xxhash64(id), n) < {SAMPLE}"))
+    keys = some.select("label", "size", "n", "embedding").mapInArrow(_sample_keys, "label long, size int, n long, key long")
     offers = F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(passes_at(d)).alias("turns")) for d in DEPTHS))
     group = ["label", "size", "n", "offer"]
     met = keys.withColumn("offer", F.explode(offers)).groupBy(*group, F.expr(f"shiftright(key, {BITS} - offer.depth)").alias("shared")).agg(F.count("*").cast("double").alias("c"))
     scale = F.greatest(F.col("n") / SAMPLE, F.lit(1.0))
-    pairs = met.groupBy(*group).agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) * scale * scale).alias("pairs"))
-    cost = F.col("offer.turns") * (MOVE * F.col("n") + F.col("pairs"))
-    chosen = materialize(pairs.groupBy("label", "size").agg(F.min_by("offer", cost).alias("offer")).select("label", "size", "offer.*").where("depth > 0"), "vectors-depths")
-    return classes.join(F.broadcast(chosen), ["label", "size"], "left").fillna({"depth": 0, "turns": 1})
+    whole = F.when(F.col("c") * scale > WINDOW, F.col("c") * (F.col("c") - 1) / 2).otherwise(0.0)
+    pairs = met.groupBy(*group).agg((F.sum(whole) * scale * scale).alias("pairs"))
+    cost = F.col("offer.turns") * ((MOVE + WINDOW) * F.col("n") + F.col("pairs"))
+    chosen = pairs.groupBy("label", "size").agg(F.min_by("offer", cost).alias("offer")).select("label", "size", "offer.*")
+    return classes.join(materialize(chosen, "vectors-depths"), ["label", "size"])
 
 
 def _spread(rows: DataFrame, key: list[str], *columns: str) -> DataFrame:
@@ -213,7 +241,10 @@ def _spread(rows: DataFrame, key: list[str], *columns: str) -> DataFrame:
 
 def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors (vec_id, embedding, label)``."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    entry = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    by_number = vectors.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long")
+    label = F.col("label").cast("long") if by_number else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{entry}>").alias("embedding"), label.alias("label"))
     rows = rows.withColumn("embedding", F.when(_usable(), F.col("embedding"))).withColumns({"x": F.xxhash64("embedding"), "y": F.hash("embedding")})
     classes = materialize(
         rows.where("embedding IS NOT NULL")
@@ -223,11 +254,15 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         "vectors-classes",
     )
     settled = _settled(classes)
-    counted = settled.mapInArrow(_buckets([]), BUCKET).groupBy(*_BUCKET).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    large = materialize(counted.where("blocks > 1"), "vectors-large")
-    bucketed = settled.mapInArrow(_buckets(["id", "embedding"]), f"{BUCKET}, id long, embedding array<float>").join(large, _BUCKET, "left").fillna({"blocks": 1})
-    dealt = _spread(bucketed, _BUCKET, "embedding").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "side", "id")
-    links = dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
+    counted = settled.mapInArrow(_buckets([]), f"{BUCKET}, key long").groupBy(*_BUCKET).agg(F.count("*").alias("rows")).where(F.col("rows") > WINDOW)
+    large = materialize(counted.select(*_BUCKET, F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "vectors-large")
+    turned = settled.mapInArrow(_buckets(["id", "embedding"]), f"{BUCKET}, key long, id long, embedding array<{entry}>")
+    # Ranges of whole stretches: none is cut, and none has more rows than the window.
+    order = ["turn", "label", "size"]
+    short = turned.join(large, _BUCKET, "left_anti").repartitionByRange(*_BUCKET).sortWithinPartitions(*order, "key", "id")
+    windows = short.select(*order, "key", "id", "embedding").mapInArrow(_window_links, "a long, b long")
+    dealt = _spread(turned.join(large, _BUCKET), _BUCKET, "embedding").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "side", "id")
+    links = windows.union(dealt.mapInArrow(_bucket_links, "a long, b long")).distinct()
     found = materialize(components(links, "vectors"), "vectors-components")
 
     blocks = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))

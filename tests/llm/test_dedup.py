@@ -178,8 +178,36 @@ def test_no_vectors(spark):
     assert embeddings.near_duplicate_vectors(df).count() == 0
 
 
-def test_more_rows_need_more_passes():
-    assert embeddings.passes_for(0) < embeddings.passes_for(10**6) < embeddings.passes_for(10**9) < 200
+def test_doubles_and_labels_of_any_kind(spark):
+    rows = [
+        (0, [1e300, 1.0], "a"), (1, [1e300, 2.0], "a"), (2, [1e-300, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 1e-9], "b"),
+        (5, [1.0, 0.0], None), (6, [0.0, 5e-324], "b"), (7, [0.0, 1.0], "b"), (8, [-1.0, 0.0], "b"),
+    ]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id BIGINT, embedding ARRAY<DOUBLE>, label STRING, id INT, size STRING")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+    close = spark.createDataFrame([(0, [1.0], 1.2), (1, [1.0], 1.7), (2, [2.0], 1.2)], "vec_id BIGINT, embedding ARRAY<DOUBLE>, label DOUBLE")
+    assert {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicate_vectors(close).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_vectors_without_a_common_direction_meet_in_windows(spark, monkeypatch):
+    """Most stretches are no longer than the window, which then finds their links."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((400, 32))
+    near = x[:60] + 0.17 * draw.standard_normal((60, 32))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(np.concatenate([x, near]))]
+    sizes, write = {}, embeddings.materialize
+
+    def counted(frame, name):
+        out = write(frame, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(embeddings, "materialize", counted)
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {r[0]: w for r, w in zip(rows, plain.vector_links(rows))}
+    assert sizes["vectors-large"] < 60 and sum(n for n, _, _ in got.values()) > 60
 
 
 def around_a_centre(rows, pairs, spread, seed=2):
