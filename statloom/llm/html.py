@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -58,12 +59,61 @@ SIDE_TAGS = {"nav", "header", "footer", "aside", "form"}
 SIDE_NAMES = {"ad", "ads", "advert", "advertisement", "banner", "sidebar", "menu", "comments", "comment", "cookie", "notice", "promo", "sponsored"}
 
 
+@lru_cache(1 << 16)
+def _place(name: str) -> tuple[int, float]:
+    """Where a name of a path counts in its vector, and with which sign."""
+    code = zlib.crc32(name.encode())
+    return code % PATH_SIZE, 1.0 if code >> 31 else -1.0
+
+
+class Open:
+    """An open element, linked to the one around it: the path of a block costs nothing more however deep it is."""
+
+    __slots__ = ("parent", "tag", "names", "size", "label", "side", "main", "counted", "own")
+
+    def __init__(self, parent: Open | None, tag: str, names: tuple[str, ...], fresh: list[str], label: int | None):
+        self.parent, self.tag, self.names = parent, tag, names
+        self.size = len(names) + (parent.size if parent else 0)
+        self.label = label if label is not None or parent is None else parent.label
+        self.side = tag in SIDE_TAGS or not SIDE_NAMES.isdisjoint(names) or bool(parent and parent.side)
+        self.main = tag in MAIN_TAGS or bool(parent and parent.main)
+        # Each name of the path counts once; elements without a new one share the vector.
+        self.counted = parent.counted if parent else np.zeros(PATH_SIZE, np.float32)
+        self.own: np.ndarray | None = None
+        if fresh:
+            self.counted = self.counted.copy()
+            for name in fresh:
+                at, sign = _place(name)
+                self.counted[at] += sign
+
+    def vector(self) -> np.ndarray:
+        """The path, with the last two tags once more as such."""
+        if self.own is None:
+            self.own = self.counted.copy()
+            for name in [f"last <{self.tag}>"] + ([f"above <{self.parent.tag}>"] if self.parent else []):
+                at, sign = _place(name)
+                self.own[at] += sign
+        return self.own
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    inside: Open | None
     link_chars: int
-    label: int | None
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and names around the block, the outermost first."""
+        found, at = [], self.inside
+        while at is not None:
+            found.append(at.names)
+            at = at.parent
+        return tuple(name for names in reversed(found) for name in names)
+
+    @property
+    def label(self) -> int | None:
+        return self.inside.label if self.inside else None
 
 
 _TAG = re.compile(
@@ -79,8 +129,12 @@ RAW_TAGS = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed",
 class _Blocks:
     """Leaf blocks of a page with the path of tags and names above each."""
 
-    def __init__(self) -> None:
-        self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    def __init__(self, labelled: bool = False) -> None:
+        self.labelled = labelled
+        self.stack: list[Open] = []
+        #: How often each name is on the path, and each tag is open.
+        self.names: dict[str, int] = {}
+        self.tags: dict[str, int] = {}
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.links = self.hidden = self.anchors = 0
@@ -123,9 +177,7 @@ class _Blocks:
             text = unescape(text)
         text = " ".join(text.split())
         if text:
-            path = tuple(name for _, names, _ in self.stack for name in names)
-            label = next((y for _, _, y in reversed(self.stack) if y is not None), None)
-            self.blocks.append(Block(text, path, min(self.links, len(text)), label))
+            self.blocks.append(Block(text, self.stack[-1] if self.stack else None, min(self.links, len(text))))
         self.parts, self.links = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -143,11 +195,18 @@ class _Blocks:
         if "=" in attributes:
             for key, *values in _NAMES.findall(attributes):
                 value = "".join(values)
-                if key.lower() == "data-label":
-                    label = int(value) if value.isdigit() else None
-                else:
+                if key.lower() != "data-label":
                     names += re.findall("[a-z]+", value.lower())
-        self.stack.append((tag, tuple(names), label))
+                elif self.labelled:
+                    label = int(value)
+        fresh = []
+        for name in names:
+            n = self.names.get(name, 0)
+            self.names[name] = n + 1
+            if not n:
+                fresh.append(name)
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        self.stack.append(Open(self.stack[-1] if self.stack else None, tag, tuple(names), fresh, label))
         self.hidden += tag in HIDDEN_TAGS
         self.anchors += tag == "a"
         if attributes.endswith("/") and tag not in INLINE_TAGS and tag not in CLOSES_P:
@@ -163,28 +222,33 @@ class _Blocks:
 
     def close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         """Leave the innermost open ``tag`` and all that is open in it; nothing if none is open (before a ``stop``)."""
+        if not self.tags.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            open_tag = self.stack[i][0]
+            open_tag = self.stack[i].tag
             if open_tag == tag:
-                for gone, _, _ in self.stack[i:]:
-                    self.hidden -= gone in HIDDEN_TAGS
-                    self.anchors -= gone == "a"
+                for gone in self.stack[i:]:
+                    self.hidden -= gone.tag in HIDDEN_TAGS
+                    self.anchors -= gone.tag == "a"
+                    self.tags[gone.tag] -= 1
+                    for name in gone.names:
+                        self.names[name] -= 1
                 del self.stack[i:]
                 return
             if open_tag in stop or (tag == "p" and open_tag not in INLINE_TAGS):
                 return
 
 
-def page_blocks(html: str | None) -> list[Block]:
-    return _Blocks().read(html or "")
+def page_blocks(html: str | None, labelled: bool = False) -> list[Block]:
+    """Blocks of a page; ``data-label`` counts in generated layouts alone (``labelled``)."""
+    return _Blocks(labelled).read(html or "")
 
 
 def _told(block: Block) -> int | None:
     """What a page's own markup says of a block: main text, something else, or nothing."""
-    tags = {p[1:-1] for p in block.path if p.startswith("<")}
-    if tags & SIDE_TAGS or set(block.path) & SIDE_NAMES:
-        return 0
-    return 1 if tags & MAIN_TAGS else None
+    if block.inside is None:
+        return None
+    return 0 if block.inside.side else 1 if block.inside.main else None
 
 
 # Generated layouts: names as they are common on the web.
@@ -259,17 +323,8 @@ def _layout(draw: np.random.Generator, words: list[str]) -> str:
     return f"<html><body>{before}{main}{after}</body></html>"
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    x = np.zeros(PATH_SIZE, np.float32)
-    tags = [p for p in path if p.startswith("<")]
-    for name in {*path, *(f"last {t}" for t in tags[-1:]), *(f"above {t}" for t in tags[-2:-1])}:
-        code = zlib.crc32(name.encode())
-        x[code % PATH_SIZE] += 1.0 if code >> 31 else -1.0
-    return x
-
-
-def block_vectors(blocks: list[Block], known: dict[tuple[str, ...], np.ndarray]) -> np.ndarray:
-    """One row per block of a page.  ``known`` keeps vectors of paths."""
+def block_vectors(blocks: list[Block]) -> np.ndarray:
+    """One row per block of a page."""
     x = np.zeros((len(blocks), INPUT), np.float32)
     texts = [b.text.encode() for b in blocks]
     offsets = np.zeros(len(texts) + 1, np.int64)
@@ -279,13 +334,9 @@ def block_vectors(blocks: list[Block], known: dict[tuple[str, ...], np.ndarray])
     bucket = words.text * WORD_SIZE + (words.hash >> np.uint64(40)).astype(np.int64) % WORD_SIZE
     found = np.bincount(bucket, minlength=len(blocks) * WORD_SIZE).reshape(-1, WORD_SIZE)
     x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = found / np.maximum(1, np.sqrt(n_words))[:, None]
-    if len(known) > 50_000:
-        known.clear()
     for i, (block, n) in enumerate(zip(blocks, n_words)):
-        vector = known.get(block.path)
-        if vector is None:
-            vector = known[block.path] = _path_vector(block.path)
-        x[i, :PATH_SIZE] = vector
+        if block.inside is not None:
+            x[i, :PATH_SIZE] = block.inside.vector()
         text = block.text
         x[i, PATH_SIZE + WORD_SIZE :] = (
             np.log1p(len(text)) / 8,
@@ -293,7 +344,7 @@ def block_vectors(blocks: list[Block], known: dict[tuple[str, ...], np.ndarray])
             block.link_chars / len(text),
             min(1.0, (text.count(".") + text.count(",")) / max(1, n) * 4),
             text[-1] in ".!?:;\"')",
-            min(1.0, len(block.path) / 16),
+            min(1.0, (block.inside.size if block.inside else 0) / 16),
             len(text) < 30,
             n > 20,
             i / len(blocks),
@@ -386,8 +437,8 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(pages: list[list[Block]], labels: list[list[int | None]], seed: int = 11) -> Labeller:
     """Train on blocks with a label (1: main text); blocks without one are read but not scored."""
-    model, draw, known = Labeller(), np.random.default_rng(seed), {}
-    both = [(block_vectors(b, known), y) for b, y in zip(pages, labels) if b]
+    model, draw = Labeller(), np.random.default_rng(seed)
+    both = [(block_vectors(b), y) for b, y in zip(pages, labels) if b]
     moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in model.weights.items()}
     step = 0
     for epoch in range(EPOCHS):
@@ -428,13 +479,13 @@ def train(pages: DataFrame) -> Labeller:
     words = sorted({w for b in own for x in b for w in x.text.split()[:40]}) or ["the", "of", "and", "word", "text"]
     draw = np.random.default_rng(5)
     for _ in range(LAYOUTS):
-        made = page_blocks(_layout(draw, words))
+        made = page_blocks(_layout(draw, words), labelled=True)
         blocks.append(made)
         labels.append([x.label for x in made])
     return fit(blocks, labels)
 
 
-def label_pages(model: Labeller, pages: list[list[Block]], known: dict) -> list[np.ndarray]:
+def label_pages(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """Which blocks of each page are main text.  Pages of similar length are read together."""
     out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
     order = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i]))
@@ -443,7 +494,7 @@ def label_pages(model: Labeller, pages: list[list[Block]], known: dict) -> list[
         longest = len(pages[batch[0]])
         while order and longest * (len(batch) + 1) <= BATCH_BLOCKS:
             batch.append(order.pop())
-        x, mask = _padded([block_vectors(pages[i], known) for i in batch])
+        x, mask = _padded([block_vectors(pages[i]) for i in batch])
         logits = model.logits(x, mask)
         for k, i in enumerate(batch):
             out[i] = logits[: len(pages[i]), k] > 0
@@ -452,12 +503,11 @@ def label_pages(model: Labeller, pages: list[list[Block]], known: dict) -> list[
 
 def _extracted(model: Labeller):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 pages = [page_blocks(h) for h in some.column("html").to_pylist()]
-                texts = ["\n".join(b.text for b, main in zip(blocks, chosen) if main) for blocks, chosen in zip(pages, label_pages(model, pages, known))]
+                texts = ["\n".join(b.text for b, main in zip(blocks, chosen) if main) for blocks, chosen in zip(pages, label_pages(model, pages))]
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 

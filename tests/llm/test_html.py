@@ -1,3 +1,5 @@
+import time
+import tracemalloc
 import html as entities
 import random
 import re
@@ -84,13 +86,46 @@ def test_main_text(pages):
 def test_generated_layouts_held_out():
     draw = np.random.default_rng(77)
     words = [f"w{i}" for i in range(300)]
-    made = [html.page_blocks(html._layout(draw, words)) for _ in range(420)]
+    made = [html.page_blocks(html._layout(draw, words), labelled=True) for _ in range(420)]
     labels = [[b.label for b in p] for p in made]
     model = html.fit(made[:320], labels[:320])
-    found = html.label_pages(model, made[320:], {})
+    found = html.label_pages(model, made[320:])
     pairs = [(bool(a), bool(b)) for p, q in zip(found, labels[320:]) for a, b in zip(p, q)]
     assert sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
 
 
 def test_no_pages(spark):
     assert html.main_text(spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")).count() == 0
+
+
+def test_odd_attributes_and_deep_pages(spark):
+    """Values that look like numbers, and nesting beyond any real page: quickly, and in little memory."""
+    odd = '<table><tr><td data-label="²">a cell</td><td data-label="' + "9" * 5000 + '">another</td><td data-label=x>one more</td></tr></table>'
+    assert [b.text for b in html.page_blocks(odd)] == ["a cell", "another", "one more"]
+    assert {b.label for b in html.page_blocks(odd)} == {None}
+    pages = [
+        "<div>a" * 50_000, "<div class=x>a" * 20_000 + "</span>" * 20_000, "<b>" * 30_000 + "<p>a" * 30_000, "<ul><li>a" * 20_000, "</p>" * 100_000,
+    ]
+    for page in pages:
+        tracemalloc.start()
+        start = time.process_time()
+        blocks = html.page_blocks(page)
+        took, peak = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert took < 10 and peak < 100 << 20  # tracing makes it several times slower
+        assert len(blocks) == page.count(">a")
+    start = time.process_time()
+    assert len(html.page_blocks(pages[0])) == 50_000 and time.process_time() - start < 3
+
+
+def test_paths_of_blocks_and_their_vectors():
+    page = "<div class='a b'><section id=b><p>one</p></section><p class=a>two</div>three"
+    one, two, three = html.page_blocks(page)
+    assert one.path == ("<div>", "a", "b", "<section>", "b", "<p>") and two.path == ("<div>", "a", "b", "<p>", "a") and three.path == ()
+    for block in (one, two):
+        want = np.zeros(html.PATH_SIZE)
+        tags = [p for p in block.path if p.startswith("<")]
+        for name in {*block.path, f"last {tags[-1]}", f"above {tags[-2]}"}:
+            at, sign = html._place(name)
+            want[at] += sign
+        assert (block.inside.vector() == want).all()
