@@ -175,4 +175,7 @@ def test_scoring_reads_the_documents_once(spark, posts):
     scored = nb.score(posts, model, keep=("label",), broadcast_bytes=0)
     leaves = [leaf for leaf in str(scored._jdf.queryExecution().optimizedPlan().collectLeaves()).split("LogicalRDD")[1:] if "text" in leaf]
     assert len(leaves) == 1
-    assert scored.orderBy("doc_id").collect() == nb.score(posts, model, keep=("label",)).orderBy("doc_id").collect()
+    # Occurrences are added one by one in one form and by word in the other, so sums may differ in the last digit.
+    for a, b in zip(scored.orderBy("doc_id").collect(), nb.score(posts, model, keep=("label",)).orderBy("doc_id").collect(), strict=True):
+        assert a[:2] == b[:2] and a["predicted"] == b["predicted"]
+        assert (a["score1"], a["score0"]) == pytest.approx((b["score1"], b["score0"]), rel=1e-12)

@@ -50,8 +50,11 @@ def test_lookup_join_with_hot_keys_equals_plain_join(spark, how):
     assert split._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
 
 
-def test_bag_of_words_counts_within_the_row(spark):
+def test_bag_of_words_adds_up_before_the_shuffle(spark):
     docs = spark.createDataFrame([(1, "Red red blue"), (2, None), (3, ""), (4, "an if"), (5, "two two two")], "doc_id BIGINT, text STRING")
     bag = words.bag_of_words(docs)
     assert sorted(bag.collect()) == [(1, "blue", 1), (1, "red", 2), (5, "two", 3)]
-    assert "Exchange" not in bag._jdf.queryExecution().executedPlan().toString()
+    plan = words.bag_of_words(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count" in plan[plan.index("Exchange") :]
+    # Documents that lie by id are not moved again.
+    assert words.bag_of_words(docs.repartition(4, "doc_id"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
