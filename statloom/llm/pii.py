@@ -6,21 +6,26 @@ numbers, long keys, spelled-out addresses.  A gradient-boosted ensemble of
 small trees scores each by its format and what stands before it; a threshold
 per generator, set for precision on held-out proposals, selects the redactions.
 
-There are no labelled spans, so the trees learn from what is sure: proposals
-that overlap a fixed format or follow a key's name (``token = ``) are positive,
-proposals without digits and without such a name are negative; the rest takes
+There are no labelled spans, so the trees learn from what is sure.  In the documents,
+proposals that overlap a fixed format and long keys that follow a key's name (``token = ``)
+are positive; keys and addresses without digits or such a name, numbers inside longer
+words and what follows a harmless name (``order``, ``commit``) are negative; the rest takes
 no part in learning.  Spelled-out addresses overlap no e-mail: the e-mails, spelled
-out, are their positives, and their negatives have neither a written dot nor brackets
-nor a known top-level domain.  Learning reads a bounded sample; searching, scoring and
-redacting are column expressions over whole texts and run in the JVM only.
+out, are positives, and negatives have neither a written dot nor brackets
+nor a known top-level domain.  As documents rarely hold the harmless look-alikes (dates, years,
+order numbers, ISBNs, hashes, UUIDs), ``TAUGHT`` generated spans of both classes are
+added (``taught``).  Learning reads a bounded sample; searching, scoring and redacting are column
+expressions over whole texts and run in the JVM only.
 
 Defined cases: a null text counts as empty; equal texts get equal spans;
-without documents to learn from only the fixed formats are found; offsets count
+without documents to learn from only the generated spans teach; offsets count
 code points, the end is exclusive.
 """
 
 from __future__ import annotations
 
+import json
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +38,9 @@ from statloom.llm.common import let
 TRAINING_DOCUMENTS = 5_000
 TRAINING_SPANS = 40_000
 PRECISION = 0.98
-TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 24
+#: Generated spans that are learnt from as well.
+TAUGHT = 6_000
+TREES, DEPTH, RATE, BINS = 24, 4, 0.3, 24
 
 # Fixed formats.  Runs of single-character classes only (no repeated groups without a bound), so that neither depth nor
 # time of matching grows beyond the length of a text; the look-behinds skip starts that cannot do better than the first.
@@ -46,13 +53,21 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
-# Generators: kind, pattern, and what a text must contain to be searched.  Keys and names may have any length.
+#: What stands between the parts of a spelled-out domain.
+_DOT = r"(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)"
+_SECRET = r"token|key|secret|password|passwd|credential|credentials|auth"
+# Generators: kind, pattern, and what a text must contain to be searched.  Keys and names may have any length; a key that
+# is assigned to a name may be short.
 GENERATORS = {
     "address": (
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++ ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++"
+        rf"(?:(?:{_DOT}[A-Za-z0-9-]++){{0,4}}{_DOT}[A-Za-z]{{2,24}}| ?\. ?[A-Za-z]{{2,24}})",
         r"(?:\[at\]|\(at\)| at )",
     ),
-    "key": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", r"[A-Za-z0-9_-]{24}"),
+    "key": (
+        rf"(?<![A-Za-z0-9_-])(?:[A-Za-z0-9_-]{{24,}}+|(?<=(?i:{_SECRET})[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_-]{{8,}}+)",
+        rf"[A-Za-z0-9_-]{{24}}|(?i:{_SECRET})[\"']? ?[=:]",
+    ),
     "number": (r"(?<![0-9])[0-9]{9,19}(?![0-9])", r"[0-9]{9}"),
     "formatted": (
         r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{4}(?![0-9])",
@@ -62,14 +77,26 @@ GENERATORS = {
 
 KINDS = ["email", "ip", "card", "phone"]
 SPAN = "struct<start:int,end:int,s:string,before:string>"
-FEATURES = ["generator", "size", "digits", "letters", "capitals", "others", "past_f", "varied", "keyed", "contact", "luhn", "spelled"]
-_KEY_NAME = r"(?i)(?:token|key|secret|passw|credential|auth)[^A-Za-z0-9]*$"
+FEATURES = [
+    "generator", "size", "digits", "letters", "capitals", "others", "past_f", "varied", "luhn", "spelled",
+    "first", "opened", "years", "glued", "keyed", "contact", "harmless",
+]
+# What stands before a span: the name of a secret, of personal data, or of a number that belongs to no person.
+_KEY_NAME = rf"(?i)(?:{_SECRET})[\"']? ?[=:]+>? ?[\"']?$"
+_NUMBERED = r"(?:[ _-]?(?:number|no|nr|id))?[^A-Za-z0-9]*$"
+_CONTACT_NAME = (
+    r"(?i)(?:phone|mobile|cell|tel|fax|sms|call|call (?:me|us)|mail|card|account|acct|iban|ssn|social security|passport|licen[cs]e)"
+    r"(?: (?:at|on|is))?" + _NUMBERED
+)
+_HARMLESS_NAME = (
+    r"(?i)(?<![a-z])(?:order|invoice|item|product|part|serial|ticket|batch|isbn|issn|ean|upc|doi|arxiv|time|timestamp|epoch|date|version|build|"
+    r"commit|sha|sha1|sha256|md5|hash|checksum|digest|revision|uuid|guid|id|population|total|sum|count|bytes|size|page|years?)" + _NUMBERED
+)
 #: What tells a spelled-out address from 'at' in running prose; and the part of an e-mail that would be proposed.
 _MARKED = r"\[at\]|\(at\)|\[dot\]|\(dot\)| dot "
 _TOP_LEVEL = r"\.(?:com|org|net|edu|gov|mil|info|biz|io|eu|uk|de|fr|es|nl|ch|jp|ru|cn|br)$"
 _PLAIN_EMAIL = r"^([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z]{2,24}).*$"
 _SPELLINGS = ("$1 [at] $2 [dot] $3", "$1 at $2 dot $3", "$1(at)$2(dot)$3", "$1 at $2.$3")
-_CONTACT_NAME = r"(?i)(?:phone|tel|fax|call|mail|card|account|iban|ssn)[^A-Za-z0-9]*$"
 
 
 def _spans(text: Column, pattern: str, needs: Column) -> Column:
@@ -130,10 +157,15 @@ def _features(kind: str, x: Column) -> Column:
         "others": F.length(F.regexp_replace(s, "[A-Za-z0-9]", "")),
         "past_f": count("g-zG-Z"),
         "varied": F.size(F.array_distinct(F.split(s, ""))),
-        "keyed": x["before"].rlike(_KEY_NAME).cast("int"),
-        "contact": x["before"].rlike(_CONTACT_NAME).cast("int"),
         "luhn": _luhn(s).cast("int"),
         "spelled": F.when(s.rlike(_MARKED), 2).when(s.rlike(_TOP_LEVEL), 1).otherwise(0) if kind == "address" else F.lit(0),
+        "first": F.length(F.regexp_extract(s, "[0-9]+", 0)),
+        "opened": s.rlike("^[(+]").cast("int"),
+        "years": F.size(F.regexp_extract_all(s, F.lit("(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), 0)),
+        "glued": x["before"].rlike("[A-Za-z0-9_-]$").cast("int"),
+        "keyed": x["before"].rlike(_KEY_NAME).cast("int"),
+        "contact": x["before"].rlike(_CONTACT_NAME).cast("int"),
+        "harmless": x["before"].rlike(_HARMLESS_NAME).cast("int"),
     }
     return F.struct(*(values[f].cast("int").alias(f) for f in FEATURES))
 
@@ -148,10 +180,14 @@ class Tree:
     left: Tree | None = None
     right: Tree | None = None
 
-    def column(self, f: Column) -> Column:
+    def column(self, f: Column, generator: int | None = None) -> Column:
+        """The value for features ``f``; a known generator needs no comparison."""
         if self.left is None:
             return F.lit(float(self.value))
-        return F.when(f[self.feature] <= self.threshold, self.left.column(f)).otherwise(self.right.column(f))
+        if self.feature == "generator" and generator is not None:
+            return (self.left if generator <= self.threshold else self.right).column(f, generator)
+        low, high = self.left.column(f, generator), self.right.column(f, generator)
+        return F.when(f[self.feature] <= self.threshold, low).otherwise(high)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.left is None:
@@ -166,10 +202,10 @@ class Model:
     #: By generator; none: nothing of it is selected.
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def score(self, f: Column) -> Column:
+    def score(self, f: Column, generator: int | None = None) -> Column:
         total = F.lit(float(self.bias))
         for tree in self.trees:
-            total = total + tree.column(f)
+            total = total + tree.column(f, generator)
         return total
 
 
@@ -233,8 +269,116 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
             model.thresholds[kind] = float(max(0.0, ranked[good[-1] : good[-1] + 2].mean())) if len(good) else float("inf")
 
 
+def taught() -> list[tuple[str, str, str, bool]]:
+    """Generated spans: kind, span, what stands before it, and whether it is personal.
+
+    Numbers are personal after a personal name, or as card numbers; formatted ones also by the form of a phone or social
+    security number; keys if assigned to the name of a secret, or if random in both cases and digits; addresses if spelled
+    out with a domain.  Short plain words, slugs, hashes, UUIDs, dates, years, counts, numbers of things and prose are not.
+    """
+    draw = random.Random(10)
+    small, capital, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    some = lambda chars, low, high=None: "".join(draw.choices(chars, k=draw.randint(low, high or low)))
+    word = lambda: some(small, 2, 9)
+
+    def plain() -> str:
+        return f"{word()} {word()}" + draw.choice([" ", ", ", ". ", ": ", " ("])
+
+    def personal() -> str:
+        name = draw.choice(["phone", "Phone", "tel", "Tel.", "mobile", "fax", "call", "call me at", "card", "account number", "IBAN", "SSN", "passport no"])
+        return f"{word()} {name}" + draw.choice([" ", ": ", " = "])
+
+    def harmless() -> str:
+        name = draw.choice(["order", "invoice no", "item", "serial number", "ISBN", "timestamp", "date", "version", "population", "total", "page", "id", "commit", "sha256", "uuid"])
+        return f"{word()} {name}" + draw.choice([" ", ": ", " = ", " #"])
+
+    def secret() -> str:
+        return word() + " " + draw.choice(["token", "api_key", "key", "secret", "password", "auth"]) + draw.choice([" = ", ": ", "=", ' = "', "='"])
+
+    def luhn(n: int) -> str:
+        body = some(digits, n - 1)
+        total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    def uuid() -> str:
+        return "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
+
+    def words() -> str:
+        return draw.choice("-_").join(some(small, 3, 9) for _ in range(draw.randint(4, 7))).ljust(24, "s")
+
+    def mixed(low: int, high: int) -> str:
+        return draw.choice(small) + draw.choice(capital) + draw.choice(digits) + some(small + capital + digits, low - 3, high - 3)
+
+    def number() -> tuple[str, str, bool]:
+        n = some("123456789", 1) + some(digits, 8, 18)
+        return draw.choice([
+            lambda: (n, plain(), False),
+            lambda: (n, harmless(), False),
+            lambda: ("1" + some("5678", 1) + some(digits, 8), harmless() if draw.random() < 0.5 else plain(), False),
+            lambda: ("978" + some(digits, 10), harmless(), False),
+            lambda: (n, plain() + some(hexes, 4) + draw.choice("abcdef-_"), False),
+            lambda: (some(digits, 9, 16), personal(), True),
+            lambda: (luhn(draw.choice([13, 15, 16])), plain(), True),
+            lambda: (luhn(draw.choice([13, 15, 16])), harmless(), False),
+        ])()
+
+    def formatted() -> tuple[str, str, bool]:
+        mark = draw.choice(" .-")
+        year = lambda: draw.choice(["19", "20"]) + some(digits, 2)
+        of = lambda *sizes: mark.join(some(digits, n) for n in sizes)
+        return draw.choice([
+            lambda: (mark.join([year(), year(), year()]), plain(), False),
+            lambda: (of(2, 2) + mark + (year() if draw.random() < 0.7 else some(digits, 4)), harmless() if draw.random() < 0.3 else plain(), False),
+            lambda: (of(4, 4, 4), plain(), False),
+            lambda: (of(*draw.choice([(3, 3, 4), (2, 4, 4), (4, 3, 4), (2, 3, 4)])), harmless(), False),
+            lambda: (of(3, 3, 4), plain(), True),
+            lambda: ("-".join([some(digits, 3), some(digits, 2), some(digits, 4)]), plain(), True),
+            lambda: (f"({some(digits, 2, 4)}) " + of(draw.choice([3, 4]), 4), plain(), True),
+            lambda: (f"+{some('123456789', 1, 2)} " + of(draw.choice([2, 3]), 3, 4), plain(), True),
+            lambda: (of(*draw.choice([(3, 3, 4), (2, 4, 4), (4, 3, 4), (2, 3, 4)])), personal(), True),
+        ])()
+
+    def key() -> tuple[str, str, bool]:
+        return draw.choice([
+            lambda: (some(hexes, draw.choice([32, 40, 64, 128])), harmless() if draw.random() < 0.5 else plain(), False),
+            lambda: (uuid(), harmless() if draw.random() < 0.5 else plain(), False),
+            lambda: (words(), plain(), False),
+            lambda: (draw.choice("-_=").replace("=", "_") * draw.randint(24, 80), plain(), False),
+            lambda: (some(small, 8, 16), secret(), False),
+            lambda: (mixed(24, 300), plain(), True),
+            lambda: (some(hexes, 24, 128), secret(), True),
+            lambda: (some(small, 24, 64), secret(), True),
+            lambda: (mixed(8, 40), secret(), True),
+            lambda: (some(small, 4, 8) + some(digits, 4, 8), secret(), True),
+        ])()
+
+    def address() -> tuple[str, str, bool]:
+        at, dot = draw.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" at ", " dot "), (" at ", ".")])
+        name = word() + draw.choice(["", "", some(digits, 1, 4), "." + word(), "_" + word(), "-" + word()])
+        domain = word() + draw.choice(["", "", dot + word(), "-" + word()])
+        ending = draw.choice(["com", "org", "net", "edu", "io", "de", "fr", "uk"])
+        return draw.choice([
+            lambda: (f"{name}{at}{domain}{dot}{ending}", plain(), True),
+            lambda: (f"{word()} at {word()}. {word().capitalize()}", plain(), False),
+            lambda: (f"{word()} at {some(digits, 1, 4)}. {word().capitalize()}", plain(), False),
+        ])()
+
+    makers = {"address": address, "key": key, "number": number, "formatted": formatted}
+    rows = [(kind, *makers[kind]()) for _ in range(TAUGHT // len(makers)) for kind in makers]
+    draw.shuffle(rows)  # every third row is held out
+    return rows
+
+
+def _taught_rows(docs: DataFrame) -> DataFrame:
+    """Features and class of the generated spans, by the expressions that read documents."""
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("kind", "s", "before", "y"), row)) for row in taught()])), "array<struct<kind:string,s:string,before:string,y:boolean>>")
+    spans = docs.sparkSession.range(1).select(F.explode(listed).alias("x")).select(F.col("x"))
+    features = F.coalesce(*(F.when(F.col("x.kind") == kind, _features(kind, F.struct("x.s", F.substring("x.before", -24, 24).alias("before")))) for kind in GENERATORS))
+    return spans.select(features.alias("f"), F.col("x.y").alias("y")).select(*(F.col("f")[c].alias(c) for c in FEATURES), "y")
+
+
 def learn(docs: DataFrame) -> Model:
-    """Learn from the proposals of at most ``TRAINING_DOCUMENTS`` documents."""
+    """Learn from the proposals of at most ``TRAINING_DOCUMENTS`` documents and ``TAUGHT`` generated spans."""
     hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).where("text IS NOT NULL")
     chosen = hashed.groupBy("at").agg(F.lit(1).alias("one")).select("at").orderBy("at").limit(TRAINING_DOCUMENTS)
     some = hashed.join(F.broadcast(chosen), "at").groupBy("at").agg(F.first("text").alias("text"))
@@ -259,13 +403,17 @@ def learn(docs: DataFrame) -> Model:
     listed = some.select("at", flat.alias("fixed"), base["email"].alias("emails"), *(a.alias(f"of_{kind}") for kind, a in offers.items()))
     examples = F.flatten(F.array(*(examples_of(kind) for kind in GENERATORS), *taught))
     rows = listed.select("at", F.explode(examples).alias("e")).select("at", "e.*")
-    told = rows.where((F.col("sure")) | (F.col("f.keyed") == 1) | ((F.col("f.digits") == 0) & (F.col("f.spelled") == 0)))
-    sampled = told.select(F.xxhash64("at", "start").alias("order"), *(F.col("f")[c].alias(c) for c in FEATURES), (F.col("sure") | (F.col("f.keyed") == 1)).alias("y"))
+    f = F.col("f")
+    generator = {kind: f["generator"] == i for i, kind in enumerate(GENERATORS)}
+    personal = F.col("sure") | (generator["key"] & (f["keyed"] == 1) & (f["size"] >= 24))
+    wordy = (generator["key"] | generator["address"]) & (f["digits"] == 0) & (f["spelled"] == 0) & (f["keyed"] == 0)
+    harmless = wordy | (generator["number"] & (f["glued"] == 1)) | ((f["harmless"] == 1) & (f["contact"] == 0) & (f["keyed"] == 0))
+    told = rows.where(personal | harmless)
+    sampled = told.select(F.xxhash64("at", "start").alias("order"), *(f[c].alias(c) for c in FEATURES), personal.alias("y"))
     got = sorted(tuple(r) for r in sampled.orderBy("order").limit(TRAINING_SPANS).collect())
-    if not got:
-        return Model()
-    x = np.array([r[1:-1] for r in got], float)
-    return boost(x, np.array([r[-1] for r in got], bool))
+    known = [r[1:] for r in got] + [tuple(r) for r in _taught_rows(docs).collect()]
+    x = np.array([r[:-1] for r in known], float)
+    return boost(x, np.array([r[-1] for r in known], bool))
 
 
 def all_spans(text: Column, model: Model) -> Column:
@@ -281,7 +429,7 @@ def all_spans(text: Column, model: Model) -> Column:
                 inside = F.lit(False)
                 for base in KINDS:
                     inside |= F.exists(b[base], lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]))
-                return ~inside & let(_features(kind, x), lambda f: model.score(f) > model.thresholds[kind])
+                return ~inside & let(_features(kind, x), lambda f: model.score(f, list(GENERATORS).index(kind)) > model.thresholds[kind])
 
             return F.transform(F.filter(offered, fits), plain)
 

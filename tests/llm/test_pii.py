@@ -116,3 +116,48 @@ def test_spelled_out_addresses_are_selected(spark, docs):
     both = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
     got = {r["doc_id"]: r["spans"] for r in pii.personal_data(both).where("doc_id >= 1000 AND doc_id < 3000").collect()}
     assert got == {d: f"address:16:{len(t) - 6}" if d < 2000 else "" for d, t in texts.items()}
+
+
+HARMLESS = [
+    "order 123456789012 came", "a population 1402112000 people", "timestamp 1700000000123", "ISBN 9783161484100", "ISBN 978 3 16 148410 0",
+    "commit 3f2a9c0d1e4b5a69788796a5b4c3d2e1f0a9b8c7", "fixed by 3f2a9c0d1e4b5a69788796a5b4c3d2e1f0a9b8c7 now", "see 550e8400-e29b-41d4-a716-446655440000",
+    "in 1990 2000 2010 and", "on 12 34 5678 it", "on 03.04.2020 we", "the key distinction between them", "password: required here",
+    "this-is-a-long-slug-of-a-page-title", "some_long_function_name_of_a_module", "they sat at tables. Nobody came", "we met at 10. Then we left",
+]
+PERSONAL = {
+    "token = abcdefghijklmnopqrstuvwxyzabcd": "abcdefghijklmnopqrstuvwxyzabcd",
+    "password: hunter2x9 here": "hunter2x9",
+    'api_key = "681c09b8e90e7e8c9575180f595f646cf2969054"': "681c09b8e90e7e8c9575180f595f646cf2969054",
+    "write to ana at mail dot example dot com or so": "ana at mail dot example dot com",
+    "write to ana [at] example [dot] com": "ana [at] example [dot] com",
+    "call 030 1234 5678 now": "030 1234 5678",
+    "or (030) 1234 5678 now": "(030) 1234 5678",
+    "phone 0301234567 now": "0301234567",
+    "SSN 123-45-6789": "123-45-6789",
+}
+
+
+def test_harmless_look_alikes_stay_and_personal_data_goes(spark, docs, no_docs):
+    for known in (docs, no_docs):
+        model = pii.learn(known)
+        df = spark.createDataFrame([(t,) for t in [*HARMLESS, *PERSONAL]], "text STRING")
+        got = {r["text"]: [r["text"][a:b] for spans in r["f"] for a, b in spans] for r in df.select("text", pii.all_spans(F.col("text"), model).alias("f")).collect()}
+        assert {t: got[t] for t in HARMLESS} == dict.fromkeys(HARMLESS, [])
+        assert {t: got[t] for t in PERSONAL} == {t: [s] for t, s in PERSONAL.items()}
+
+
+def test_trees_use_many_features_and_thresholds_hold_out(spark, docs):
+    model = pii.learn(docs)
+
+    def features(tree):
+        return set() if tree.left is None else {tree.feature} | features(tree.left) | features(tree.right)
+
+    assert len(set().union(*map(features, model.trees))) >= 8
+    draw = pii._taught_rows(docs).toPandas()
+    assert set(draw.groupby("generator")["y"].nunique()) == {2}
+    x, y = draw[pii.FEATURES].to_numpy(float), draw["y"].to_numpy()
+    scores = np.full(len(x), model.bias) + sum(t.scores(x) for t in model.trees)
+    for i, kind in enumerate(pii.GENERATORS):
+        own = x[:, 0] == i
+        chosen = scores[own] > model.thresholds[kind]
+        assert y[own][chosen].mean() > 0.97 and chosen[y[own]].mean() > 0.85, kind
