@@ -25,6 +25,7 @@ from statloom.plans.trees import stored_tree, tree_of_file
 from statloom.sources.feeds import paired_feeds
 from statloom.sources.files import labelled_folders, numeric_rows, with_bitmap, write_delimited
 from statloom.storage import materialize, new_path
+from statloom.streaming.folders import gather, gathered, labelled_stream, manifest
 from statloom.streaming.scoring import document_stream, score_stream, scored_documents
 
 TEST_SHARE = 0.2
@@ -190,6 +191,22 @@ def text_corpus(spark, folder):
     return files.select(item.alias("item_id"), "label", F.regexp_replace("text", r"\n$", "").alias("text"))
 
 
+def text_corpus_arriving(spark, folder):
+    """As above with the items arriving in two deliveries; the second start has lost its checkpoint, the third finds nothing new."""
+    path, out = new_path(spark, "corpus"), new_path(spark, "gathered")
+    items = table(spark, folder, "benchmark").select("item_id", "text", (F.col("item_id") % 2).alias("label"))
+    late = F.pmod(F.xxhash64("item_id"), F.lit(2)) == 1
+    for part in (~late, late, None):
+        if part is not None:
+            items.where(part).repartition("item_id").write.mode("append").partitionBy("label", "item_id").text(path)
+        arriving = labelled_stream(spark, f"{path}/label=1/*", f"{path}/label=0/*")
+        gather(arriving, out, new_path(spark, "gathered-checkpoint")).awaitTermination()
+    files = gathered(spark, out, "path STRING, text STRING, label INT").withColumn("text", F.regexp_replace("text", r"\n$", ""))
+    read = manifest(spark, out).select("path", "size")
+    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
+    return files.join(read, "path").select(item.alias("item_id"), "label", "text", (F.col("size") - 1).alias("size"))
+
+
 def paired_feed_rows(spark, folder):
     feeds = paired_feeds(documents(spark, folder), "src0", "src1")
     return feeds.select("doc_id", "source", "label")
@@ -514,7 +531,7 @@ def gram_product(spark, folder):
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    text_corpus, tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
+    text_corpus, text_corpus_arriving, tokenize_counts, whitespace_token_counts, vocabulary, set_of_words, bag_of_words, oov_words,
     top_words_30, vocab_without_top30,
     nb_train, nb_train_set, nb_train_vocab, nb_train_merged, nb_prior, nb_score, nb_error_rate, nb_errors, confusion,
     nb_save_load, nb_entries, nb_counted_holdout, paired_feed_rows, local_words_model,

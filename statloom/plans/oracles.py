@@ -231,6 +231,7 @@ PRIORITY_CODES = " ".join(f"WHEN '{name}' THEN {i + 1}" for i, name in enumerate
 
 ORACLES: dict[str, str] = {
     "text_corpus": "SELECT item_id, CAST(item_id % 2 AS INTEGER) AS label, text FROM benchmark",
+    "text_corpus_arriving": "SELECT item_id, CAST(item_id % 2 AS INTEGER) AS label, text, strlen(text) AS size FROM benchmark",
     "tokenize_counts": f"SELECT word, count(*) AS n FROM (SELECT {SPLIT} AS word FROM documents) GROUP BY word",
     "whitespace_token_counts": r"""SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\s+')) AS token
         FROM conversations) WHERE token <> '' GROUP BY token""",

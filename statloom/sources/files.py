@@ -33,9 +33,12 @@ def with_bitmap(df: DataFrame, text: str = "text", width: int = 32) -> DataFrame
 
 def bitmap_folder(spark: SparkSession, folder: str, width: int = 32) -> DataFrame:
     """Bitmaps ``<digit>_<n>.txt`` as ``(file, label, n, v, rows, words, n_bits)``."""
-    files = spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
-    )
+    files = spark.read.text(folder, wholetext=True)
+    return bitmaps_of(files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")), width)
+
+
+def bitmaps_of(files: DataFrame, width: int = 32) -> DataFrame:
+    """``files(file, text)`` named ``<digit>_<n>.txt`` as ``(file, label, n, v, rows, words, n_bits)``."""
 
     def part(i: int) -> Column:
         return F.regexp_extract("file", r"^(\d+)_(\d+)", i).cast("int")
