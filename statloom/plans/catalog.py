@@ -233,7 +233,8 @@ def nb_stream_score(spark, folder):
     model = naive_bayes.train(toxic_split(spark, folder))
     schema = table(spark, folder, "documents").schema
     out, checkpoint = new_path(spark, "scored"), new_path(spark, "scored-checkpoint")
-    arriving = document_stream(spark, folder, schema, "documents*.parquet")
+    # The table may be a file or a folder of files.
+    arriving = document_stream(spark, f"{folder}/documents*.parquet", schema, "*")
     query = score_stream(arriving, model, out, checkpoint)
     query.awaitTermination()
     scores = scored_documents(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom import storage
 from statloom.operators import naive_bayes as nb
+from statloom.plans import catalog
 from statloom.plans.documents import spam_evaluation
 from statloom.plans.points import bitmap_evaluation
 from statloom.sources import files
@@ -115,6 +116,25 @@ def test_redelivered_batch_replaces_itself(spark, posts, arriving, tmp_path):
     assert spark.read.parquet(out).count() == 3
 
 
+@pytest.fixture
+def tables(spark, posts, tmp_path):
+    """Documents and labels as folders of several part files."""
+    posts.select("doc_id", "text").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    posts.select("doc_id", F.col("label").alias("toxic")).repartition(2).write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_streams_read_tables_that_are_folders(spark, posts, tables):
+    """As a folder of parts and as one file the same scores."""
+    scores = sorted(catalog.nb_stream_score(spark, tables).collect())
+    want = {r["doc_id"]: r["predicted"] for r in nb.score(posts, nb.train(catalog.toxic_split(spark, tables))).collect()}
+    assert {r["doc_id"]: r["predicted"] for r in scores} == want and len(scores) == len(posts.collect())
+    (Path(tables) / "documents.parquet").rename(Path(tables) / "parts")
+    one = spark.read.parquet(f"{tables}/parts").toPandas()
+    one.to_parquet(f"{tables}/documents.parquet")
+    assert sorted(catalog.nb_stream_score(spark, tables).collect()) == scores
+
+
 def test_delimited_rows_survive_the_round_trip(spark, tmp_path):
     rows = [("a", "", "x"), (None, 'a"b', "y"), ("", None, "z"), ("c d", "\\", "w")]
     table = spark.createDataFrame(rows, "p STRING, q STRING, label STRING")
