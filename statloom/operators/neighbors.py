@@ -30,6 +30,8 @@ BROADCAST_BYTES = 32 << 20
 # Share of a core's part of the task memory that a block of points may take.
 BLOCK_SHARE = 1 / 64
 MAX_BLOCK_ROWS = 1 << 16
+# Whatever the memory, no block and no batch of copied vectors holds more bytes of vectors: Python workers hold a few times that.
+MAX_BLOCK_BYTES = 8 << 20
 MAX_PIVOTS = 1 << 14
 PIVOT_BYTES = 8 << 20
 PIVOT_SEED = 1
@@ -151,10 +153,13 @@ def _with_cell(train: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
 
 
 def _candidate_cells(
-    queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, k: int, dims: int
+    queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, k: int, dims: int, counts_only: bool = False
 ) -> DataFrame:
     """Pair every query with the cells that can hold one of its ``k`` nearest.
 
+    With ``counts_only``, ``(cell, n)`` instead: parts of the number of queries
+    that each cell will get, without any copy of a query.
+
     Pivots are training points, so the k-th nearest pivot bounds the k-th
     distance from above.  A cell is out when its ball, or the plane halfway
     between its pivot and the query's own, lies beyond that bound.  Bounds are
@@ -162,8 +167,10 @@ def _candidate_cells(
     """
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
     size = float(np.sqrt(np.einsum("ij,ij->i", pivots, pivots).max()))
+    copies = max(1, MAX_BLOCK_BYTES // (8 * dims))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.zeros(len(cells), np.int64)
         for batch in batches:
             points = _matrix(batch.column("x"), dims)
             step = max(1, TILE // len(pivots))
@@ -184,13 +191,17 @@ def _candidate_cells(
                 # The plane bound loses accuracy when two pivots almost coincide.
                 plane_slack = slack * (1.0 + (far + nearer) / np.maximum(gap, 1e-300))
                 near = (ball <= reach + slack) & (plane <= reach + plane_slack)
+                if counts_only:
+                    asked += near[:, cells].sum(axis=0)
+                    continue
                 qi, ci = np.nonzero(near[:, cells])
-                columns = [c.slice(start, len(q)).take(pa.array(qi)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(cells[ci].astype(np.int32))], names=[*batch.schema.names, "cell"]
-                )
+                for at in range(0, len(qi), copies):
+                    own, met = pa.array(qi[at : at + copies] + start), cells[ci[at : at + copies]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(c.take(own) for c in batch.columns), pa.array(met)], names=[*batch.schema.names, "cell"])
+        if counts_only:
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(asked)], names=["cell", "n"])
 
-    return queries.mapInArrow(pair, schema)
+    return queries.mapInArrow(pair, "cell int, n long" if counts_only else schema)
 
 
 def _blocks(rows: int, block_rows: int) -> int:
@@ -224,14 +235,18 @@ def _pruned_neighbors(
         fewer = placed.where(large).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
         placed = materialize(placed.where(~large).unionByName(fewer), "knn-cells")
         cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).toPandas()
-    pairs = materialize(_candidate_cells(queries, pivots, cells["cell"].to_numpy(), radius, k, dims), "knn-pairs")
-    wanted = pairs.groupBy("cell").agg(F.count("*").alias("wanted")).toPandas()
+    found_cells = (pivots, cells["cell"].to_numpy(), radius, k, dims)
+    # How many queries each cell gets is counted first: vectors are only copied to cells that rule out enough.
+    counted = _candidate_cells(queries, *found_cells, counts_only=True).groupBy("cell").agg(F.sum("n").alias("wanted")).where("wanted > 0")
+    wanted = counted.toPandas()
     n_queries = queries.count()
     sizes = list(cells.merge(wanted, on="cell")[["cell", "n", "wanted"]].itertuples(index=False))
     if _cost(sizes, block_rows) > _cost([(0, cells["n"].sum(), n_queries)], block_rows):
         # Cells rule out too little to be worth their copies: one cell, blocks only.
         sizes = [(0, cells["n"].sum(), n_queries)]
         placed, pairs = placed.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
+    else:
+        pairs = materialize(_candidate_cells(queries, *found_cells), "knn-pairs")
     plan = [(int(cell), _blocks(points, block_rows), _blocks(asked, block_rows)) for cell, points, asked in sizes]
     # At most MAX_PIVOTS rows: how many blocks each side of a cell is cut into.
     blocks = F.broadcast(literal_table(spark, plan, "cell INT, t_blocks INT, q_blocks INT"))
@@ -292,7 +307,11 @@ def _codes(placed: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
 
 def _between(queries: np.ndarray, decoded: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Query index, point index, lower and upper bound of the distance, of the points that can be among the ``k`` nearest."""
-    parts = []
+    return tuple(np.concatenate(p) for p in zip(*_between_tiles(queries, decoded, err, k)))
+
+
+def _between_tiles(queries: np.ndarray, decoded: np.ndarray, err: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What :func:`_between` finds, from no more than ``TILE`` distances (or one query's) at a time."""
     squares = np.einsum("ij,ij->i", decoded, decoded)
     step = max(1, TILE // len(decoded))
     for start in range(0, len(queries), step):
@@ -306,8 +325,7 @@ def _between(queries: np.ndarray, decoded: np.ndarray, err: np.ndarray, k: int)
         if len(decoded) < k:
             reach = np.full(len(q), np.inf)
         qi, ti = np.nonzero(low <= reach[:, None])
-        parts.append((qi + start, ti, low[qi, ti], high[qi, ti]))
-    return tuple(np.concatenate(p) for p in zip(*parts))
+        yield qi + start, ti, low[qi, ti], high[qi, ti]
 
 
 def _coded_neighbors(
@@ -326,17 +344,24 @@ def _coded_neighbors(
         T.StructField("qid", qid_type), T.StructField("row", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()),
     ])
 
-    def bounded(points: pa.Table, asked: pa.Table) -> pa.Table:
-        qids = _whole(asked["qid"])
-        if len(points) == 0 or len(asked) == 0:
-            qi, ti, low, high = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
-        else:
-            code = np.frombuffer(b"".join(points["code"].to_pylist()), np.int8).reshape(-1, dims)
-            home, unit, err = (points[c].to_numpy() for c in ("home", "unit", "err"))
-            qi, ti, low, high = _between(_matrix(asked["x"], dims), pivots[home] + code * unit[:, None], err, k)
-        return pa.table([qids.take(pa.array(qi)), _whole(points["row"]).take(pa.array(ti)), pa.array(low), pa.array(high)], bounds.names)
+    names = ["qid", "x", "row", "home", "code", "unit", "err"]
+    both = right.select(*key, "qid", "x").unionByName(left, allowMissingColumns=True)
 
-    kept = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(bounded, bounds)
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block holds few points and few queries; what they find may be more, and leaves tile by tile.
+        block = pa.Table.from_batches([batch.select(names) for batch in batches])
+        is_point = pc.is_valid(block["row"])
+        points, asked = block.filter(is_point), block.filter(pc.invert(is_point))
+        del block
+        if len(points) == 0 or len(asked) == 0:
+            return
+        code = np.frombuffer(b"".join(points["code"].to_pylist()), np.int8).reshape(-1, dims)
+        home, unit, err = (points[c].to_numpy() for c in ("home", "unit", "err"))
+        qids, rows = _whole(asked["qid"]), _whole(points["row"])
+        for qi, ti, low, high in _between_tiles(_matrix(asked["x"], dims), pivots[home] + code * unit[:, None], err, k):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(qi)), rows.take(pa.array(ti)), pa.array(low), pa.array(high)], bounds.names)
+
+    kept = both.groupBy(*key).applyInArrow(bounded, bounds)
     by_query = Window.partitionBy("qid")
     kth = F.nth_value("high", k).over(by_query.orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     candidates = kept.withColumn("reach", kth).where(F.col("reach").isNull() | (F.col("low") <= F.col("reach"))).select("qid", "row")
@@ -362,7 +387,7 @@ def _block_bytes(spark: SparkSession) -> int:
     units = {"k": 10, "m": 20, "g": 30, "t": 40}
     size = int(memory[:-1]) << units[memory[-1]] if memory[-1] in units else int(memory)
     cores = spark.sparkContext.defaultParallelism if local else int(spark.conf.get("spark.executor.cores", "1"))
-    return max(1 << 20, int(size * BLOCK_SHARE / max(1, cores)))
+    return min(MAX_BLOCK_BYTES, max(1 << 20, int(size * BLOCK_SHARE / max(1, cores))))
 
 
 def neighbors(

@@ -106,6 +106,24 @@ def test_many_dimensions_fall_back_to_blocks(spark):
     assert found(nb.neighbors(q, t, 3, method="pruned", block_rows=32)) == brute(queries, train, 3)
 
 
+def test_vectors_are_not_copied_to_cells_that_rule_out_nothing(spark, monkeypatch):
+    rng, written, write = np.random.default_rng(5), [], nb.materialize
+    monkeypatch.setattr(nb, "materialize", lambda df, name: written.append(name) or write(df, name))
+    train, queries = rng.standard_normal((300, 48)), rng.standard_normal((40, 48))
+    q, t = frame(spark, "qid", queries), frame(spark, "tid", train, [0] * 300)
+    assert found(nb.neighbors(q, t, 3, method="pruned", block_rows=32)) == brute(queries, train, 3)
+    assert "knn-cells" in written and "knn-pairs" not in written
+
+
+def test_what_a_block_finds_leaves_in_tiles(spark, monkeypatch):
+    """Equal points tie with each other, so no bound rules any of them out; a tile's worth is held at a time."""
+    monkeypatch.setattr(nb, "TILE", 300)
+    tiles = list(nb._between_tiles(np.zeros((50, 20)), np.ones((100, 20)), np.zeros(100), 2))
+    assert sum(len(qi) for qi, *_ in tiles) == 50 * 100 and max(len(qi) for qi, *_ in tiles) == 300
+    monkeypatch.setattr(nb, "BLOCK_SHARE", 1e6)
+    assert nb._block_bytes(spark) == nb.MAX_BLOCK_BYTES
+
+
 @pytest.mark.parametrize("method", ["broadcast", "pruned"])
 def test_more_neighbours_than_rows(spark, method):
     q, t = frame(spark, "qid", [[0.0]]), frame(spark, "tid", [[1.0], [2.0]], [7, 7])
