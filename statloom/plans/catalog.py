@@ -244,12 +244,14 @@ def nb_stream_score(spark, folder):
 
 
 def nb_stream_score_once(spark, folder):
-    """As above with every document delivered in two files, one of them in a later batch."""
+    """As above with every document delivered in two files, one of them in a later batch: a batch for each delivery."""
     model = naive_bayes.train(toxic_split(spark, folder))
     docs, arriving = table(spark, folder, "documents"), new_path(spark, "arriving")
     for name in ("early", "late"):
         docs.write.parquet(f"{arriving}/{name}")
-    stream = document_stream(spark, f"{arriving}/*", docs.schema, files_per_batch=1)
+    # Files come in order of time, so a batch of as many as the first delivery has is that delivery.
+    early = len(spark.read.schema(docs.schema).parquet(f"{arriving}/early").inputFiles())
+    stream = document_stream(spark, f"{arriving}/*", docs.schema, files_per_batch=early)
     out = new_path(spark, "scored")
     score_stream(stream, model, out, new_path(spark, "scored-checkpoint"), once=("arrived", "1 day")).awaitTermination()
     scores = scored_documents(spark, out, "doc_id BIGINT, score1 DOUBLE, score0 DOUBLE, predicted INT, batch_id INT")

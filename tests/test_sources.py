@@ -135,6 +135,14 @@ def test_streams_read_tables_that_are_folders(spark, posts, tables):
     assert sorted(catalog.nb_stream_score(spark, tables).collect()) == scores
 
 
+def test_a_delivery_of_many_files_is_one_batch(spark, tables, monkeypatch):
+    outs = []
+    monkeypatch.setattr(catalog, "scored_documents", lambda spark, out, schema: outs.append(out) or scored_documents(spark, out, schema))
+    assert sorted(catalog.nb_stream_score_once(spark, tables).collect()) == sorted(catalog.nb_stream_score(spark, tables).collect())
+    # Three files twice: two batches, and one without files that moves the watermark.
+    assert len(list(Path(outs[0]).glob("batch_id=*"))) <= 3
+
+
 def test_delimited_rows_survive_the_round_trip(spark, tmp_path):
     rows = [("a", "", "x"), (None, 'a"b', "y"), ("", None, "z"), ("c d", "\\", "w")]
     table = spark.createDataFrame(rows, "p STRING, q STRING, label STRING")
