@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ def lookup_join(
     broadcast_bytes: int | None = None,
     hot_keys: int | None = None,
     measured: tuple[int, int] | None = None,
+    gathered: Sequence[str] = (),
+    salt_by: str | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` (one row per ``on``) as inner, left or left_semi.
 
@@ -47,7 +51,10 @@ def lookup_join(
     proportion.  There can be no more than ``hot_keys`` of those and each is
     short, so the list of them that is broadcast is bounded whatever the data.
     ``left`` is read once; ``right`` more than once, so pass a stored table.
-    ``measured`` may bring what :func:`measure` gives.
+    ``measured`` may bring what :func:`measure` gives.  Columns ``gathered``
+    are listed per key and salt before the shuffle and taken apart after the
+    join; ``salt_by`` then names a column, such as the task, that keeps rows
+    together which can be listed.
     """
     broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     hot_keys = HOT_KEYS if hot_keys is None else hot_keys
@@ -61,8 +68,14 @@ def lookup_join(
     salts = F.lit(SALTS) + F.coalesce(more, F.lit(0))
     hot = right.where(is_hot).select(on, salts.alias("_salts"))
     hashed = [sql.name(f.name) for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    salt = F.pmod(F.xxhash64(*hashed), F.coalesce("_salts", F.lit(SALTS))).cast("int")
+    salt = F.pmod(F.xxhash64(*([salt_by] if salt_by else hashed)), F.coalesce("_salts", F.lit(SALTS))).cast("int")
     salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts")
+    if gathered:
+        salted = salted.groupBy(on, "_salt").agg(F.collect_list(F.struct(*map(sql.name, gathered))).alias("_rows"))
     counted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     copies = counted if how != "left_semi" else counted.select(on, "_salt")
-    return salted.join(copies.hint("merge"), [on, "_salt"], how).select(columns)
+    # Keys are unique on the right, so a semi join is an inner one; Spark would move the former below the listing.
+    joined = salted.join(copies.hint("merge"), [on, "_salt"], "inner" if gathered and how == "left_semi" else how)
+    if gathered:
+        joined = joined.select("*", F.inline("_rows"))
+    return joined.select([c for c in columns if not gathered or c != sql.name(salt_by or "")])

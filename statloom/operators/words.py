@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import explode_words
-from statloom.operators.lookup import lookup_join
+from statloom.operators import lookup
+from statloom.operators.lookup import lookup_join, measure
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,8 +42,17 @@ def set_of_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def in_vocabulary(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Word rows whose word is in the vocabulary ``counts(word, n)``."""
-    return lookup_join(rows, counts, "word", "n", how="left_semi")
+    """Word rows whose word is in the vocabulary ``counts(word, n)``.
+
+    Where the vocabulary is too large to broadcast, the rows of a task with one
+    word are shuffled together: a word moves once per task, not once per document.
+    """
+    measured = measure(counts, "n")
+    if measured[0] <= lookup.BROADCAST_BYTES:
+        return lookup_join(rows, counts, "word", "n", how="left_semi", measured=measured)
+    others = [c for c in rows.columns if c != "word"]
+    listed = rows.withColumn("_task", F.spark_partition_id())
+    return lookup_join(listed, counts, "word", "n", how="left_semi", measured=measured, gathered=others, salt_by="_task").select(rows.columns)
 
 
 def out_of_vocabulary(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from statloom.operators import words
+from statloom.operators import lookup, words
+from statloom.plans import catalog
 from statloom.operators.lookup import lookup_join
 
 
@@ -58,3 +59,24 @@ def test_bag_of_words_adds_up_before_the_shuffle(spark):
     assert plan.count("Exchange") == 1 and "partial_count" in plan[plan.index("Exchange") :]
     # Documents that lie by id are not moved again.
     assert words.bag_of_words(docs.repartition(4, "doc_id"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_words_move_once_per_task_where_the_vocabulary_is_large(spark, posts, monkeypatch):
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, "stupid zebra dog dog") for i in range(40)], "doc_id BIGINT, text STRING")
+    rows, counts = words.bag_of_words(docs).union(words.set_of_words(docs)), words.word_counts(posts)
+    want = sorted(words.in_vocabulary(rows, counts).collect(), key=str)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    found = words.in_vocabulary(rows, counts)
+    assert found.columns == rows.columns and sorted(found.collect(), key=str) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("SortMergeJoin") :]
+    assert "partial_collect_list" in moved and moved.index("Exchange") < moved.index("partial_collect_list")
+
+
+def test_bags_move_texts_in_place_of_words(spark, tmp_path):
+    spark.createDataFrame([(1, "red red blue"), (1, "blue"), (2, None)], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id BIGINT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    bag = catalog.bag_of_words(spark, str(tmp_path))
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert sorted(bag.collect()) == [(1, "blue", 2), (1, "red", 2)]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate explode")
