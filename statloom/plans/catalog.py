@@ -89,7 +89,10 @@ def set_of_words(spark, folder):
 
 
 def bag_of_words(spark, folder):
-    rows = words.bag_of_words(documents(spark, folder))
+    # Words are added up by document: a text is smaller than its rows of words.  Tasks stay as small as those of the scan.
+    docs = table(spark, folder, "documents")
+    tasks = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    rows = words.bag_of_words(docs.repartition(tasks, "doc_id"))
     return words.in_vocabulary(rows, _label_vocabulary(spark, folder))
 
 
