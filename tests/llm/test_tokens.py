@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statloom.llm import packing, unigram
@@ -109,6 +110,37 @@ def test_word_ids_equal_whole_texts(tokenizer, doc_rows):
         assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_letters_go_to_the_model_alone(tokenizer):
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCZßàéöøýþÿÀÉÖØÞ"
+    words = ["".join(draw.choices(letters, k=draw.randrange(1, 12))) + draw.choice(["", ".", "'", "!?", "***"]) for _ in range(3000)]
+    other = ["it's", "i̇İ", "7th", "naı̈ve", "a×b", "слово.", "x" * 90 + "é;", "a<|", "<|endoftext|>."]
+    text = " ".join(words)
+    encoder, asked = packing.WordEncoder(packing.default_tokenizer()), []
+
+    class Asked:
+        def encode_batch_fast(self, batch, **options):
+            asked.extend(batch)
+            return tokenizer.encode_batch_fast(batch, **options)
+
+    encoder.tokenizer = Asked()
+    for _ in range(2):  # the second time from what is known
+        assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert sorted(asked) == ["!?", "'", "***", "."]
+    for word in other:
+        assert np.frombuffer(encoder.ids([word])[0], "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+    assert max(map(len, encoder.known)) <= packing.CACHED_CHARS
+
+
+def test_blocks_hold_every_row_once():
+    texts = pa.array([None, "", "ab", "x" * packing.BLOCK_BYTES, "é" * packing.BLOCK_BYTES, None, "c"] + ["y" * 1000] * 10_000)
+    for some in (texts, texts.slice(2), texts.slice(0, 0), texts.slice(0, 1)):
+        found = list(packing._blocks(some))
+        assert [i for first, last in found for i in range(first, last)] == list(range(len(some)))
+        for first, last in found:
+            assert last == first + 1 or sum(len((t or "").encode()) for t in some[first:last].to_pylist()) <= packing.BLOCK_BYTES
+
+
 def check_packed(rows, tokenizer, texts, capacity):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
